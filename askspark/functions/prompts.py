@@ -58,8 +58,7 @@ def apply_text_fn(
         for batch in batches:
             yield safe(batch)
 
-    run.__annotations__ = {}
-    udf = F.pandas_udf(run, "value string, error string", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(run, "value string, error string")
     given = df.withColumn("__r", udf(fill_template(template, df.columns)))
     value = F.col("__r.value")
     if fallback is not None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from workload import analytics
+from workload import analytics, documents
 
 flagship = analytics.top_customers
-QUERIES = {**analytics.QUERIES}
-ORACLES = {**analytics.ORACLES}
+PARTS = (analytics, documents)
+QUERIES = {name: fn for part in PARTS for name, fn in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

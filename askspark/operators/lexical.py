@@ -7,29 +7,37 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askspark.functions import text as T
 from askspark.operators.search import top_k_join
+from askspark.session import cut_lineage
 
 TOKENIZERS = {"words": T.words, "whitespace": T.whitespace_words}
 
 
 class TermIndex(NamedTuple):
-    """Keyword index: chunks (key, tokens, n_tokens), postings (key, term, tf), terms (term, df), one-row stats."""
+    """Keyword index: chunks (key, tokens, n_tokens), postings (key, term, tf), terms (term, df), one-row stats.
+
+    ``stored`` tells that the tables are files, so that reading one does not tokenize the corpus again.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     tokenizer: str
+    stored: bool = False
 
 
 def term_stats(chunks: DataFrame, key: str, col: str = "text", tokenizer: str = "words") -> TermIndex:
     """Index tables of a chunk table; each is lazy, and can be written as Parquet and read back."""
     tokens = chunks.select(F.col(key).alias("key"), TOKENIZERS[tokenizer](F.col(col)).alias("tokens"))
-    tokens = tokens.withColumn("n_tokens", F.size("tokens"))
+    return _tables(tokens.withColumn("n_tokens", F.size("tokens")), tokenizer)
+
+
+def _tables(tokens: DataFrame, tokenizer: str) -> TermIndex:
     # Repeats of a term are combined inside the task that read the chunk, before the shuffle.
     postings = tokens.select("key", F.explode("tokens").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -37,6 +45,21 @@ def term_stats(chunks: DataFrame, key: str, col: str = "text", tokenizer: str =
     return TermIndex(tokens, postings, terms, stats, tokenizer)
 
 
+def store_index(index: TermIndex, path: str) -> None:
+    """Write the index tables; postings and terms are sorted by term, so that a search reads few of their blocks."""
+    index.chunks.write.parquet(f"{path}/chunks")
+    chunks = index.chunks.sparkSession.read.parquet(f"{path}/chunks")
+    again = _tables(chunks, index.tokenizer)
+    again.postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    again.terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    again.stats.write.parquet(f"{path}/stats")
+
+
+def load_index(spark: SparkSession, path: str, tokenizer: str = "words") -> TermIndex:
+    """Index written by ``store_index``."""
+    return TermIndex(*[spark.read.parquet(f"{path}/{name}") for name in TermIndex._fields[:4]], tokenizer, True)
+
+
 def _bm25(k1: float, b: float, mean_tokens: float):
     """Scorer factory for ``top_k_join``; query rows are (qid, term, weight)."""
 
@@ -76,6 +99,31 @@ def _bm25(k1: float, b: float, mean_tokens: float):
     return prepare
 
 
+CORPUS = ""  # stands for the whole corpus among the terms: no token is empty
+
+
+def _term_counts(index: TermIndex, wanted: DataFrame, whole: bool) -> DataFrame:
+    """(term, df, n_tokens) of the wanted terms, or all, plus one row for the corpus: its chunks and their tokens.
+
+    One pass over the chunks, whose small result is kept, or none if the index is stored.
+    """
+    spark = index.chunks.sparkSession
+    if index.stored:
+        terms = index.terms.withColumn("n_tokens", F.lit(0).cast("bigint"))
+        total = F.round(F.col("n_chunks") * F.col("mean_tokens")).cast("bigint")
+        counts = terms.unionByName(index.stats.select(F.lit(CORPUS).alias("term"), F.col("n_chunks").alias("df"), total.alias("n_tokens")))
+    else:
+        counts = index.chunks.select(
+            "n_tokens", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(CORPUS)))).alias("term")
+        )
+    if not whole:
+        kept = wanted.unionByName(spark.range(1).select(F.lit(CORPUS).alias("term"))).distinct()
+        counts = counts.join(kept, "term", "left_semi")
+    if not index.stored:
+        counts = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n_tokens").alias("n_tokens"))
+    return cut_lineage(counts, "term-counts")
+
+
 def bm25_top_k(
     queries: DataFrame,
     index: TermIndex,
@@ -96,21 +144,19 @@ def bm25_top_k(
         .groupBy("qid", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    stats = index.stats.first()
-    n_chunks, mean_tokens = stats["n_chunks"], stats["mean_tokens"]
-    if not n_chunks or not mean_tokens:
-        mean_tokens = 1.0
-    odds = (F.lit(n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    if idf not in ("plus_one", "okapi"):
+        raise ValueError("idf must be 'plus_one' or 'okapi'")
+    counted = _term_counts(index, asked.select("term"), whole=idf == "okapi")
+    corpus = counted.where(F.col("term") == CORPUS).first()
+    if corpus is None or not corpus["n_tokens"]:
+        return top_k_join(index.chunks, asked.limit(0).withColumn("weight", F.lit(0.0)), _bm25(k1, b, 1.0), k, largest=True)
+    odds = (F.lit(corpus["df"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    df = counted.where(F.col("term") != CORPUS)
     if idf == "plus_one":
         value = F.log1p(odds)
-    elif idf == "okapi":
-        mean = index.terms.agg(F.avg(F.log(odds)).alias("m")).first()["m"] or 0.0
-        value = F.when(F.log(odds) < 0, epsilon * mean).otherwise(F.log(odds))
     else:
-        raise ValueError("idf must be 'plus_one' or 'okapi'")
-    # Only the queries' own terms are counted: the semi-join runs below the count.
-    df = index.chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).join(
-        asked.select("term").distinct(), "term", "left_semi"
-    ).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        mean = df.agg(F.avg(F.log(odds)).alias("m")).first()["m"]
+        value = F.when(F.log(odds) < 0, epsilon * mean).otherwise(F.log(odds))
+    mean_tokens = corpus["n_tokens"] / corpus["df"]
     weighted = asked.join(df, "term").select("qid", "term", (F.col("qtf") * value).alias("weight"))
     return top_k_join(index.chunks, weighted, _bm25(k1, b, mean_tokens), k, largest=True, max_shared_rows=max_shared_rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,17 +58,22 @@ def dense_top_k(
     )
 
 
-def embed_text(df: DataFrame, col: str = "text", dim: int = 256, weights: DataFrame | None = None) -> DataFrame:
-    """Add ``vector``: a unit-length hashed term vector, weighted by the terms' rarity in ``weights`` (default: ``df``).
+def _counted(df: DataFrame, col: str, dim: int) -> DataFrame:
+    tokens = df.withColumn("__tokens", F.coalesce(words(F.col(col)), F.array().cast("array<string>")))
+    return HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim).transform(tokens)
 
-    Deterministic and offline; stands where a model server would be asked. Pass the corpus as ``weights`` when embedding
-    queries, so that both sides share one weighting. Texts without words get a zero vector.
-    """
-    hashed = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim)
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return hashed.transform(rows.withColumn("__tokens", F.coalesce(words(F.col(col)), F.array().cast("array<string>"))))
+def rarity_weights(corpus: DataFrame, col: str = "text", dim: int = 256) -> IDFModel:
+    """Weights of the hashed terms of a corpus: one pass, and ``dim`` numbers as a result."""
+    return IDF(inputCol="__tf", outputCol="__idf").fit(_counted(corpus, col, dim))
+
 
-    model = IDF(inputCol="__tf", outputCol="__idf").fit(counted(df if weights is None else weights))
-    unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(model.transform(counted(df)))
+def embed_text(df: DataFrame, col: str = "text", dim: int = 256, weights: IDFModel | None = None) -> DataFrame:
+    """Add ``vector``: a unit-length hashed term vector, weighted by the terms' rarity (by default in ``df`` itself).
+
+    Deterministic and offline; stands where a model server would be asked. Pass the corpus weights when embedding queries,
+    so that both sides share them. Texts without words get a zero vector.
+    """
+    model = weights or rarity_weights(df, col, dim)
+    unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(model.transform(_counted(df, col, dim)))
     return unit.withColumn("vector", vector_to_array("__unit", "float32")).drop("__tokens", "__tf", "__idf", "__unit")

@@ -42,3 +42,14 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str, few_files: int = 32) -> DataFrame:
+    """Rows of a table in a handful of files over all cores, for work that is heavy per row.
+
+    A scan has at most one task per file block, so a table in fewer files than cores leaves cores idle. Tables in more
+    files come back as they are: at scale nothing is shuffled. Rows are placed by ``key``, which repeats after a failure.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores, key) if 0 < files < min(cores, few_files) else df

@@ -28,15 +28,19 @@ def _batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
 
-def stream_chunks(source: DataFrame, out: str, checkpoint: str, size: int = 500, overlap: int = 50) -> StreamingQuery:
+def stream_chunks(
+    source: DataFrame, out: str, checkpoint: str, size: int = 500, overlap: int = 50, tasks: int | None = None
+) -> StreamingQuery:
     """New documents (doc_id, text) to chunks and postings, appended under ``out``/chunks and ``out``/postings.
 
-    A document arrives once, so its postings are complete within its batch.
+    A document arrives once, so its postings are complete within its batch. Give ``tasks`` when batches come in fewer files
+    than there are cores.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         path = _batch_folder(f"{out}/chunks", batch_id)
         documents = drop_empty_documents(batch.select("doc_id", "text"))
+        documents = documents.repartition(tasks, "doc_id") if tasks else documents
         chunk_documents(documents, size, overlap).write.mode("overwrite").parquet(path)
         chunks = batch.sparkSession.read.parquet(path)
         keyed = chunks.withColumn("key", F.concat_ws("#", "doc_id", "chunk_no"))

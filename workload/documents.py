@@ -9,9 +9,10 @@ from askspark.operators import chunking as C
 from askspark.operators import lexical as L
 from askspark.operators import retrieval as S
 from askspark.operators import vectors as V
+from askspark.session import cut_lineage
 from askspark.sources.files import extract_page_text
 from workload import tables as I
-from workload.tables import table
+from workload.tables import table, texts
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,13 +37,13 @@ def query(name: str, sql: str | None = None):
     SELECT page_id AS doc_id, 1::INTEGER AS page, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text, url AS source
     FROM b WHERE length(trim(regexp_replace(h, '\s+', ' ', 'g'))) > 0""")
 def _(spark, d):
-    return extract_page_text(table(spark, d, "pages"))
+    return extract_page_text(texts(spark, d, "pages", "page_id"))
 
 
 @query("d01_drop_empty_documents", r"""
     SELECT doc_id, n_chars FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 100""")
 def _(spark, d):
-    return C.drop_empty_documents(table(spark, d, "documents"), min_chars=100).select("doc_id", "n_chars")
+    return C.drop_empty_documents(texts(spark, d, "documents", "doc_id"), min_chars=100).select("doc_id", "n_chars")
 
 
 TIER_SQL = """
@@ -52,7 +53,7 @@ TIER_SQL = """
 
 
 def tiered(spark, d):
-    return C.chunk_tier(table(spark, d, "documents"), F.ceil(F.col("n_chars") / 3000))
+    return C.chunk_tier(texts(spark, d, "documents", "doc_id"), F.ceil(F.col("n_chars") / 3000))
 
 
 @query("d02_chunk_tier", f"SELECT doc_id, chunk_size, chunk_overlap FROM ({TIER_SQL})")
@@ -105,7 +106,7 @@ def _(spark, d):
     "SELECT doc_id, text, 300 AS chunk_size, 0 AS chunk_overlap FROM documents",
     "doc_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, max(length(text))::INTEGER AS longest") + " GROUP BY doc_id")
 def _(spark, d):
-    chunks = C.chunk_documents(table(spark, d, "documents").select("doc_id", "text"), 300, 0)
+    chunks = C.chunk_documents(texts(spark, d, "documents", "doc_id").select("doc_id", "text"), 300, 0)
     return chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.max(F.length("text")).alias("longest"))
 
@@ -115,7 +116,7 @@ BARE_SQL = r"SELECT doc_id AS key, list_filter(regexp_split_to_array(text, '\s+'
 
 
 def index(spark, d, tokenizer="words"):
-    return L.term_stats(table(spark, d, "documents"), "doc_id", tokenizer=tokenizer)
+    return L.term_stats(texts(spark, d, "documents", "doc_id"), "doc_id", tokenizer=tokenizer)
 
 
 @query("d04_postings", f"""
@@ -304,13 +305,13 @@ def _(spark, d):
          FROM hits JOIN documents ON key = doc_id GROUP BY qid)
     SELECT item_id AS qid, context, context IS NOT NULL AS found FROM benchmark LEFT JOIN ctx ON item_id = qid""")
 def _(spark, d):
-    chunks = table(spark, d, "documents").selectExpr("doc_id AS key", "text")
+    chunks = texts(spark, d, "documents", "doc_id").selectExpr("doc_id AS key", "text")
     return S.assemble_context(asked(spark, d), hits(spark, d), chunks)
 
 
 @query("d14_embed_text", "SELECT doc_id, 256::INTEGER AS dim, 1.0::DOUBLE AS norm FROM documents")
 def _(spark, d):
-    made = V.embed_text(table(spark, d, "documents").select("doc_id", "text"))
+    made = V.embed_text(texts(spark, d, "documents", "doc_id").select("doc_id", "text"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return made.select("doc_id", F.size("vector").alias("dim"), F.round(norm, 5).alias("norm"))
 
@@ -319,10 +320,10 @@ def _(spark, d):
 def _(spark, d):
     """Chunks found for benchmark passages by hashed vectors alone."""
     chunks = C.chunk_documents(tiered(spark, d).select("doc_id", "text", "chunk_size", "chunk_overlap"))
-    keyed = chunks.select(F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text")
-    corpus = V.embed_text(keyed)
-    queries = V.embed_text(asked(spark, d), weights=keyed)
-    return V.dense_top_k(queries, corpus).withColumn("score", F.round("score", 6))
+    keyed = cut_lineage(chunks.select(F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text"), "chunks")
+    weights = V.rarity_weights(keyed)
+    queries = V.embed_text(asked(spark, d), weights=weights)
+    return V.dense_top_k(queries, V.embed_text(keyed, weights=weights)).withColumn("score", F.round("score", 6))
 
 
 @query("u01_apply_text_fn", r"""

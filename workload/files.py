@@ -105,7 +105,9 @@ FIXED_SQL = "SELECT doc_id, text, 500 AS chunk_size, 50 AS chunk_overlap FROM do
 
 def _ingest(spark, d):
     out = scratch_path(spark, "ingest")
-    jobs.stream_chunks(stream(spark, d, "documents"), out, scratch_path(spark, "ingest-progress")).awaitTermination()
+    few = len(table(spark, d, "documents").inputFiles()) < 8
+    tasks = spark.sparkContext.defaultParallelism if few else None
+    jobs.stream_chunks(stream(spark, d, "documents"), out, scratch_path(spark, "ingest-progress"), tasks=tasks).awaitTermination()
     return out
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from askspark.session import spread
+
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """Table for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def paths(sf_dir: str) -> dict[str, str]:
     return {name: f"{sf_dir}/{name}.parquet" for name in NAMES}
 

@@ -9,7 +9,7 @@ from askspark.operators import conversations as V
 from askspark.operators import routing as G
 from askspark.operators import traces
 from workload import tables as I
-from workload.tables import NAMES, table
+from workload.tables import NAMES, table, texts
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def events(spark, d, **given):
-    return table(spark, d, "events").selectExpr("event_id", *[f"{e} AS {n}" for n, e in given.items()])
+    return texts(spark, d, "events", "event_id").selectExpr("event_id", *[f"{e} AS {n}" for n, e in given.items()])
 
 
 def chats(spark, d, *more):
@@ -52,7 +52,7 @@ ASKED_SQL = f"""
 @query("g01_classify_questions", f"""
     SELECT qid, {class_sql('question')} AS question_class, {class_sql('question', True)} AS word_class FROM ({ASKED_SQL})""")
 def _(spark, d):
-    asked = table(spark, d, "events").selectExpr("concat('e', event_id) AS qid", f"{I.QUESTION} AS question")
+    asked = texts(spark, d, "events", "event_id").selectExpr("concat('e', event_id) AS qid", f"{I.QUESTION} AS question")
     said = table(spark, d, "conversations").selectExpr("concat('c', conv_id, ':', turn) AS qid", "text AS question")
     both = G.classify_questions(asked.unionByName(said), "question")
     return G.classify_questions(both, "question", "word", "word_class").drop("question")

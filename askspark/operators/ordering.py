@@ -1,28 +1,23 @@
 """Exact order statistics that never put one group into one task.
 
-Rows are first reduced to (keys, value, count). Values are then cut into ranges by approximate quantiles, so each
-(keys, range) pair is a small window even when one key holds most of the rows. The quantiles only steer the balance:
-every result is exact whatever the cut points are.
+Values are cut into ranges by approximate quantiles, and work is done per (group, range): a small piece even when one
+group holds most of the rows. The quantiles only steer the balance; every result is exact whatever the cut points are.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys (grouping keeps NULL keys, so joins back to the groups must as well)."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys), F.lit(True))
+MIN_RANGES = 64
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that treats NULL keys as equal and keeps one copy of the key columns."""
+    """Equi-join that treats NULL keys as equal, as grouping does, and keeps one copy of the key columns."""
     if not keys:
         return left.crossJoin(right)  # right is a global aggregate: one row
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
@@ -30,98 +25,123 @@ def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def add_range(df: DataFrame, col: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """Number the value range of ``col`` (any type that casts to double in order); NULL gives NULL."""
-    spread = df.select(F.col(col).cast("double").alias("v"))
-    cuts = sorted(set(spread.approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    numbered = Bucketizer(splits=splits, inputCol="__v", outputCol=out, handleInvalid="keep").transform(
-        df.withColumn("__v", F.col(col).cast("double"))
-    )
-    return numbered.drop("__v")
-
-
-def prefix_counts(counts: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Add to (keys, value, n): rows before the value (``before``) and distinct values before it (``values_before``)."""
-    cut = add_range(counts, value, "__range", ranges)
-    per_range = cut.groupBy(*keys, "__range").agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__d"))
-    by_range = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
-        *keys,
-        "__range",
-        F.coalesce(F.sum("__n").over(by_range), F.lit(0)).alias("__n0"),
-        F.coalesce(F.sum("__d").over(by_range), F.lit(0)).alias("__d0"),
-    )
-    inside = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        join_back(cut, offsets, [*keys, "__range"])
-        .withColumn("before", F.col("__n0") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .withColumn("values_before", F.col("__d0") + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
-        .drop("__range", "__n0", "__d0")
-    )
+def _how_many(df: DataFrame, ranges: int | None) -> int:
+    """As many ranges as there are shuffle partitions, so that pieces shrink as the cluster's settings grow."""
+    return ranges or max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _cuts(df: DataFrame, columns: list[str], ranges: int) -> list[list[float]]:
+    """Approximate quantiles of each column in one pass, ascending, repeated where one value spans several."""
+    return df.approxQuantile(columns, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+
+
+def _number(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
+    """Number the range of a double column; missing values get the number after the last range."""
+    edges = [-math.inf, *splits, math.inf]
+    if len(edges) == 2:
+        return df.withColumn(out, F.when(F.col(col).isNull(), 1.0).otherwise(0.0))
+    return Bucketizer(splits=edges, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles per key, one column per entry of ``probs``; NULL values are ignored."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def exact_percentiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], ranges: int | None = None
+) -> DataFrame:
+    """Linear-interpolated percentiles per key, one column per entry of ``probs``; NULL values are ignored.
+
+    Counting rows per (key, range) tells which ranges hold the wanted positions. Only rows of those ranges are then
+    counted by value and ordered.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    (cuts,) = _cuts(rows, ["__x"], _how_many(df, ranges))
+    rows = _number(rows, "__x", sorted(set(cuts)), "__range")
+
+    def places(p: float) -> list[Column]:
+        place = F.lit(float(p)) * (F.col("__total") - 1)
+        return [F.floor(place), F.ceil(place)]
+
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.array(*[c for p in probs.values() for c in places(p)])
+    targets = (
+        rows.groupBy(*keys, "__range")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        .withColumn("__total", F.sum("__n").over(of_key))
+        .where(F.exists(wanted, lambda at: (at >= F.col("__start")) & (at < F.col("__start") + F.col("__n"))))
+        .drop("__n")
     )
-    placed = prefix_counts(counts, keys, "__x")
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    ranked = join_back(placed, totals, keys)
+    counted = (
+        join_back(rows, targets, [*keys, "__range"])
+        .groupBy(*keys, "__range", "__start", "__total", "__x")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    smaller = Window.partitionBy(*keys, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__n").over(smaller), F.lit(0)))
 
-    def at(position: Column) -> Column:
-        hit = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
+    def at(place: Column) -> Column:
+        hit = (F.col("__before") <= place) & (place < F.col("__before") + F.col("__n"))
         return F.max(F.when(hit, F.col("__x")))
 
-    ends, result = [], []
+    ends, result = [F.max("__total").alias("__n")], []
     for name, p in probs.items():
-        place = F.lit(float(p)) * (F.col("__total") - 1)
-        ends += [at(F.floor(place)).alias(f"__lo_{name}"), at(F.ceil(place)).alias(f"__hi_{name}")]
-        fraction = F.lit(float(p)) * (F.col("__n") - 1) - F.floor(F.lit(float(p)) * (F.col("__n") - 1))
+        low, high = places(p)
+        ends += [at(low).alias(f"__lo_{name}"), at(high).alias(f"__hi_{name}")]
+        place = F.lit(float(p)) * (F.col("__n") - 1)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        result.append((low + fraction * (high - low)).alias(name))
-    return ranked.groupBy(*keys).agg(F.max("__total").alias("__n"), *ends).select(*keys, *result)
+        result.append((low + (place - F.floor(place)) * (high - low)).alias(name))
+    return placed.groupBy(*keys).agg(*ends).select(*keys, *result)
 
 
-def exact_ranks(df: DataFrame, part: list[str], by: str, tie: str, descending: bool = True) -> DataFrame:
+def exact_ranks(
+    df: DataFrame, part: list[str], by: str, tie: str, descending: bool = True, ranges: int | None = None
+) -> DataFrame:
     """row_number, rank and dense_rank of *every* row, exact for hot groups and for hot values inside a group.
 
-    rank and dense_rank depend on values only and come from the counts. The place among equal values is found inside
-    ranges of the tie column, so one value that fills a third of the table is still spread over many tasks. ``by`` is a
-    numeric or time column, ``tie`` a numeric unique key; rows without a value come last.
+    Each group is cut into ranges of the value. A value common enough to span several quantiles has a range of its own,
+    cut again by ranges of the tie column. Rows are numbered inside these pieces and shifted by the sizes of the pieces
+    before theirs. ``by`` is a numeric or time column, ``tie`` a numeric key, unique within its group; rows without a value come last.
     """
-    # Ranking below ascends: descending order negates the value, and NULLs get a flag that sorts last.
     value = F.col(by).cast("double")
-    ordered = (
-        df.withColumn("__null", F.col(by).isNull().cast("int"))
-        .withColumn("__x", F.coalesce(-value if descending else value, F.lit(0.0)))
-    )
-    groups = [*part, "__null"]
-    tied = add_range(ordered, tie, "__tie_range")
-    per_tie = tied.groupBy(*groups, "__x", "__tie_range").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_tie.groupBy(*groups, "__x").agg(F.sum("n").alias("n"))
-    filled = counts.where("__null = 0").groupBy(*part).agg(
-        F.sum("n").alias("__filled"), F.count(F.lit(1)).alias("__values")
-    )
-    before = prefix_counts(counts, groups, "__x").drop("n")
-    before = join_back(before, filled, part, "left").select(
-        *groups,
-        "__x",
-        (F.col("before") + F.col("__null") * F.coalesce("__filled", F.lit(0)) + 1).alias("rank"),
-        (F.col("values_before") + F.col("__null") * F.coalesce("__values", F.lit(0)) + 1).alias("dense_rank"),
+    rows = df.withColumns({
+        "__group": F.to_json(F.struct(*part)),  # never NULL, so that the join below keeps the windows' partitioning
+        "__x": F.nullif(-value if descending else value, F.lit(math.nan)),
+        "__tie": F.col(tie).cast("double"),
+    })
+    cuts, tie_cuts = _cuts(rows, ["__x", "__tie"], _how_many(df, ranges))
+    common = {a for a, b in zip(cuts, cuts[1:]) if a == b}
+    splits = sorted({*cuts, *(math.nextafter(v, math.inf) for v in common)})
+    rows = _number(_number(rows, "__x", splits, "__range"), "__tie", sorted(set(tie_cuts)), "__piece")
+    # Range number i + 1 starts at splits[i]; the last number stands for missing values, which are all alike.
+    one_value = [float(splits.index(v) + 1) for v in common] + [float(len(splits) + 1)]
+    rows = rows.withColumn("__piece", F.when(F.col("__range").isin(one_value), F.col("__piece")).otherwise(0.0))
+
+    cell = ["__group", "__range", "__piece"]
+    sizes = (
+        rows.groupBy(*cell, "__x").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*cell).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
     )
-    by_tie = Window.partitionBy(*groups, "__x").orderBy("__tie_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = join_back(
-        per_tie.withColumn("__offset", F.coalesce(F.sum("n").over(by_tie), F.lit(0))).drop("n"), before, [*groups, "__x"]
+    earlier = Window.unboundedPreceding, -1
+    by_range = Window.partitionBy("__group").orderBy("__range").rowsBetween(*earlier)
+    by_piece = Window.partitionBy("__group", "__range").orderBy("__piece").rowsBetween(*earlier)
+    # Pieces of one range share its values: a range has as many values as any of its pieces.
+    starts = (
+        sizes.groupBy("__group", "__range").agg(F.sum("n").alias("n"), F.max("d").alias("d"))
+        .select(
+            "__group", "__range",
+            F.coalesce(F.sum("n").over(by_range), F.lit(0)).alias("__n0"),
+            F.coalesce(F.sum("d").over(by_range), F.lit(0)).alias("__d0"),
+        )
     )
-    among = Window.partitionBy(*groups, "__x", "__tie_range").orderBy(tie)
-    return (
-        join_back(tied, offsets, [*groups, "__x", "__tie_range"])
-        .withColumn("row_number", F.col("rank") + F.col("__offset") + F.row_number().over(among) - 1)
-        .drop("__null", "__x", "__tie_range", "__offset")
+    offsets = sizes.select(*cell, F.coalesce(F.sum("n").over(by_piece), F.lit(0)).alias("__p0")).join(starts, ["__group", "__range"])
+    inside = Window.partitionBy(*cell)
+    numbered = rows.withColumns({
+        "__row": F.row_number().over(inside.orderBy("__x", tie)),
+        "__rank": F.rank().over(inside.orderBy("__x")),
+        "__dense": F.dense_rank().over(inside.orderBy("__x")),
+    })
+    return numbered.join(offsets, cell).select(
+        *df.columns,
+        (F.col("__n0") + F.col("__p0") + F.col("__row")).alias("row_number"),
+        (F.col("__n0") + F.col("__rank")).alias("rank"),
+        (F.col("__d0") + F.col("__dense")).alias("dense_rank"),
     )

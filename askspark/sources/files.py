@@ -32,12 +32,11 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def extract_page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Readable text of fetched web pages; pages without any are left out."""
+    # A filter on the text would be moved below and evaluate it twice; a generator keeps one evaluation.
+    readable = F.filter(F.array(page_text(F.col(html_col))), lambda t: t != "")
     return pages.select(
-        F.col(id_col).alias("doc_id"),
-        F.lit(1).alias("page"),
-        page_text(F.col(html_col)).alias("text"),
-        F.col(url_col).alias("source"),
-    ).where(F.length("text") > 0)
+        F.col(id_col).alias("doc_id"), F.lit(1).alias("page"), F.explode(readable).alias("text"), F.col(url_col).alias("source")
+    )
 
 
 def load_images(spark: SparkSession, path: str) -> DataFrame:

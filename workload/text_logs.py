@@ -53,7 +53,7 @@ ASKED_SQL = f"""
     SELECT qid, {class_sql('question')} AS question_class, {class_sql('question', True)} AS word_class FROM ({ASKED_SQL})""")
 def _(spark, d):
     asked = texts(spark, d, "events", "event_id").selectExpr("concat('e', event_id) AS qid", f"{I.QUESTION} AS question")
-    said = table(spark, d, "conversations").selectExpr("concat('c', conv_id, ':', turn) AS qid", "text AS question")
+    said = texts(spark, d, "conversations", "conv_id").selectExpr("concat('c', conv_id, ':', turn) AS qid", "text AS question")
     both = G.classify_questions(asked.unionByName(said), "question")
     return G.classify_questions(both, "question", "word", "word_class").drop("question")
 

@@ -39,8 +39,10 @@ def _number(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame
     """Number the range of a double column; missing values get the number after the last range."""
     edges = [-math.inf, *splits, math.inf]
     if len(edges) == 2:
-        return df.withColumn(out, F.when(F.col(col).isNull(), 1.0).otherwise(0.0))
-    return Bucketizer(splits=edges, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+        numbered = df.withColumn(out, F.when(F.col(col).isNotNull(), 0.0))
+    else:
+        numbered = Bucketizer(splits=edges, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    return numbered.withColumn(out, F.coalesce(out, F.lit(float(len(edges) - 1))))
 
 
 def exact_percentiles(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from askspark.functions.text import asset_family, file_extension, image_mime, page_text
 
-BAD_BYTES = "\N{REPLACEMENT CHARACTER}"
+BAD_BYTES = "\N{REPLACEMENT CHARACTER}"  # what undecodable bytes become
 MAX_ATTACHMENT_MB = 50.0
 
 
@@ -21,7 +21,8 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file (page 1 of its document). Undecodable bytes are dropped, blank files left out."""
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    text = F.replace(F.col("value"), F.lit(BAD_BYTES), F.lit(""))
+    value = F.col("value")
+    text = F.when(F.is_valid_utf8(value), value).otherwise(F.replace(F.make_valid_utf8(value), F.lit(BAD_BYTES), F.lit("")))
     return raw.select(
         F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"),
         F.lit(1).alias("page"),

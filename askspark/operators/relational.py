@@ -189,7 +189,8 @@ def range_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str,
     """
     kind = left.schema[at].dataType
     first = F.date_trunc(grain, F.col(start)).cast("timestamp_ntz")
-    touched = F.sequence(first, F.col(end).cast("timestamp_ntz"), F.expr(f"interval 1 {grain}"))
+    step = "interval 3 months" if grain == "quarter" else f"interval 1 {grain}"
+    touched = F.sequence(first, F.col(end).cast("timestamp_ntz"), F.expr(step))
     ranges = right.withColumn("__bucket", F.explode(touched)).withColumn("__bucket", F.col("__bucket").cast(kind))
     points = left.withColumn("__bucket", F.date_trunc(grain, F.col(at)).cast(kind))
     return (

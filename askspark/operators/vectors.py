@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askspark.functions.text import words
 from askspark.operators.search import top_k_join
+from askspark.session import cut_lineage
+
+
+MAX_QUERIES = 50_000  # query vectors sent to every task
 
 
 def _distance(metric: str):
@@ -54,10 +62,105 @@ def dense_top_k(
         _distance(metric),
         k,
         largest=False,
-        max_shared_rows=max_shared_rows or 50_000,
+        max_shared_rows=max_shared_rows or MAX_QUERIES,
     )
 
 
+class Cells(NamedTuple):
+    """Vectors grouped around pivots: rows (key, vector, cell, radius), pivot vectors, and each cell's largest radius."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    radii: np.ndarray
+
+
+def build_cells(vectors: DataFrame, n_cells: int = 256) -> Cells:
+    """Assign every vector to its nearest pivot and store the result, sorted by cell within each file.
+
+    The pivots are ``n_cells`` vectors of the corpus chosen by key hash. They only decide how much a search can skip.
+    """
+    given = vectors.where("vector IS NOT NULL").select("key", "vector")
+    chosen = given.orderBy(F.xxhash64("key"), "key").limit(n_cells).toArrow()
+    pivots = np.array(chosen.column("vector").to_pylist(), dtype=np.float64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            square = (v * v).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (v @ pivots.T)
+            cell = square.argmin(axis=1)
+            radius = np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), lists, pa.array(cell, pa.int32()), pa.array(radius, pa.float64())],
+                names=["key", "vector", "cell", "radius"],
+            )
+
+    schema = T.StructType([*given.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+    rows = cut_lineage(given.mapInArrow(task, schema).sortWithinPartitions("cell"), "cells")
+    radii = np.full(len(pivots), -np.inf)
+    for r in rows.groupBy("cell").agg(F.max("radius").alias("radius")).collect():  # one row per cell
+        radii[r["cell"]] = r["radius"]
+    return Cells(rows, pivots, radii)
+
+
+def _reach(pivots: np.ndarray, k: int):
+    """Function of query vectors: distances to every pivot, and a bound on the distance of the k-th neighbour.
+
+    Pivots are vectors of the corpus, so the k nearest pivots give the bound. The margin covers rounding.
+    """
+
+    def reach(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        square = (q * q).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (q @ pivots.T)
+        far = np.sqrt(np.maximum(square, 0.0))
+        if far.shape[1] < k:
+            return far, np.full(len(q), np.inf)
+        return far, np.partition(far, k - 1, axis=1)[:, k - 1] + 1e-5
+
+    return reach
+
+
+def dense_top_k_in_cells(queries: DataFrame, cells: Cells, k: int = 4) -> DataFrame:
+    """Same result as ``dense_top_k`` with squared Euclidean distance, skipping cells that cannot hold a neighbour.
+
+    By the triangle inequality a vector at ``radius`` from its pivot is at least ``|distance to pivot - radius|`` away.
+    Cells no query can reach are not read, and the others are compared only with the queries that reach them.
+    """
+    radii, reach = cells.radii, _reach(cells.pivots, k)
+    asked = queries.where("vector IS NOT NULL").select("qid", "vector")
+    few = asked.select("vector").limit(MAX_QUERIES + 1).toArrow()
+    rows = cells.rows
+    if few.num_rows <= MAX_QUERIES and few.num_rows:
+        far, bound = reach(np.array(few.column("vector").to_pylist(), dtype=np.float64))
+        reached = np.flatnonzero((far - radii[None, :] <= bound[:, None]).any(axis=0))
+        if len(reached) < len(radii):
+            rows = rows.where(F.col("cell").isin(reached.tolist()))
+
+    def prepare(table: pa.Table):
+        q = np.array(table.column("vector").to_pylist(), dtype=np.float64)
+        far, bound = reach(q)
+        q_square = (q * q).sum(axis=1)[:, None]
+
+        def score(batch) -> np.ndarray:
+            lists = batch.column("vector")
+            v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            cell, radius = batch.column("cell").to_numpy(), batch.column("radius").to_numpy()
+            found = np.full((len(q), len(v)), np.inf)
+            for c in np.unique(cell):
+                near = np.flatnonzero(far[:, c] - radii[c] <= bound)
+                here = np.flatnonzero(cell == c)
+                if not len(near):
+                    continue
+                part = v[here]
+                square = np.maximum(q_square[near] + (part * part).sum(axis=1)[None, :] - 2.0 * (q[near] @ part.T), 0.0)
+                out_of_reach = np.abs(far[near, c][:, None] - radius[here][None, :]) > bound[near][:, None]
+                found[np.ix_(near, here)] = np.where(out_of_reach, np.inf, square)
+            return found
+
+        return table.column("qid").combine_chunks(), score
+
+    return top_k_join(rows, asked, prepare, k, largest=False, max_shared_rows=MAX_QUERIES)
+
+
 def _counted(df: DataFrame, col: str, dim: int) -> DataFrame:
     tokens = df.withColumn("__tokens", F.coalesce(words(F.col(col)), F.array().cast("array<string>")))
     return HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim).transform(tokens)

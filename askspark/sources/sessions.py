@@ -41,12 +41,16 @@ def write_sessions(sessions: DataFrame, messages: DataFrame, path: str) -> None:
         .groupBy("session_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("turns"))
     )
+    # Heads are repeated for each part of their session, so that a long session is joined under many keys.
+    last = messages.groupBy("session_id").agg(F.floor(F.max("turn") / PART_TURNS).cast("int").alias("last"))
+    heads = sessions.join(last, "session_id", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))
+    )
     no_turns = F.array().cast("array<struct<role:string,content:string>>")
-    row = sessions.join(parts, "session_id", "left").select(
+    row = heads.join(parts, ["session_id", "part"], "left").select(
         F.col("session_id").cast("string").alias("id"),
         F.struct(
-            "title", "file_metadata", "created_at", "updated_at", "summary",
-            F.coalesce("part", F.lit(0)).alias("part"),
+            "title", "file_metadata", "created_at", "updated_at", "summary", "part",
             F.coalesce(
                 F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))), no_turns
             ).alias("messages"),

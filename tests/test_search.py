@@ -81,6 +81,22 @@ def test_dense(spark, metric, shared):
         assert [r["score"] for r in got] == pytest.approx([d for d, _ in want], abs=1e-6)
 
 
+def test_cells_give_the_same_hits_and_skip(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8)) * 20
+    points = np.vstack([c + rng.normal(size=(50, 8)) for c in centres])
+    points[:100] = points[0]  # copies fill a third of the corpus
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "key bigint, vector array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, points[i].tolist()) for i in (0, 120, 121, 299)], "qid bigint, vector array<double>")
+    for n_cells in (40, 3):  # with fewer pivots than k there is no bound, and nothing is skipped
+        cells = V.build_cells(vectors, n_cells)
+        hits = V.dense_top_k_in_cells(queries, cells, k=4)
+        assert sorted((r["qid"], r["rank"], r["key"]) for r in hits.collect()) == sorted(
+            (r["qid"], r["rank"], r["key"]) for r in V.dense_top_k(queries, vectors, k=4).collect())
+        plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+        assert ("In(cell" in plan) == (n_cells == 40)
+
+
 def test_no_queries(spark):
     vectors = spark.createDataFrame([(1, [1.0])], "key bigint, vector array<float>")
     assert V.dense_top_k(vectors.limit(0).withColumnRenamed("key", "qid"), vectors).count() == 0

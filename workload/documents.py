@@ -209,6 +209,12 @@ def _(spark, d):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("d07_dense_top_k_in_cells", DENSE_SQL)
+def _(spark, d):
+    hits = V.dense_top_k_in_cells(query_vectors(spark, d), V.build_cells(vectors(spark, d), 64))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 FUSED_CTE = """
     both_ranks AS (SELECT qid, key, 0.3 / (60 + rank) AS part FROM sparse UNION ALL SELECT qid, key, 0.7 / (60 + rank) FROM dense),
     merged AS (SELECT qid, key, round(sum(part), 12) AS score FROM both_ranks GROUP BY qid, key),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -9,12 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from askspark.functions import text as T
+from askspark.functions.text import whitespace_words, words
 from askspark.operators.search import top_k_join
 from askspark.session import cut_lineage
 
-TOKENIZERS = {"words": T.words, "whitespace": T.whitespace_words}
+TOKENIZERS = {"words": words, "whitespace": whitespace_words}
 
 
 class TermIndex(NamedTuple):
@@ -32,14 +34,33 @@ class TermIndex(NamedTuple):
 
 
 def term_stats(chunks: DataFrame, key: str, col: str = "text", tokenizer: str = "words") -> TermIndex:
-    """Index tables of a chunk table; each is lazy, and can be written as Parquet and read back."""
+    """Index tables of a chunk table with unique keys; each is lazy, and can be written as Parquet and read back."""
     tokens = chunks.select(F.col(key).alias("key"), TOKENIZERS[tokenizer](F.col(col)).alias("tokens"))
     return _tables(tokens.withColumn("n_tokens", F.size("tokens")), tokenizer)
 
 
+def _term_counter():
+    """Task body: batches of (key, tokens) to (key, term, tf)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            coded = lists.flatten().dictionary_encode()
+            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            width = max(1, len(coded.dictionary))
+            pair, tf = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(pair // width)), coded.dictionary.take(pa.array(pair % width)), pa.array(tf, pa.int64())],
+                names=["key", "term", "tf"],
+            )
+
+    return task
+
+
 def _tables(tokens: DataFrame, tokenizer: str) -> TermIndex:
-    # Repeats of a term are combined inside the task that read the chunk, before the shuffle.
-    postings = tokens.select("key", F.explode("tokens").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # A chunk is one row, so its terms are counted where it was read; grouping by (key, term) would shuffle the corpus.
+    kind = T.StructType([tokens.schema["key"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    postings = tokens.select("key", "tokens").mapInArrow(_term_counter(), kind)
     terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = tokens.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_tokens").alias("mean_tokens"))
     return TermIndex(tokens, postings, terms, stats, tokenizer)

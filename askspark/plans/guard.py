@@ -40,8 +40,11 @@ def is_aggregate(sql: str) -> bool:
     return any(mark in upper for mark in AGGREGATE_MARKS)
 
 
-def guarded_session(spark: SparkSession, tables: dict[str, str]) -> SparkSession:
-    """Session that knows the given tables (name to Parquet path) as views, and reads no files named in SQL."""
+def guarded_session(spark: SparkSession, tables: dict[str, str], sql: str) -> SparkSession:
+    """Session that knows the given tables (name to Parquet path) as views, and reads no files named in SQL.
+
+    Only tables whose name occurs in the text are opened, as opening one reads its schema.
+    """
     session = spark.newSession()
     for name in INHERITED_SETTINGS:
         value = spark.conf.get(name, None)
@@ -49,6 +52,8 @@ def guarded_session(spark: SparkSession, tables: dict[str, str]) -> SparkSession
             session.conf.set(name, value)
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     for name, path in tables.items():
+        if name.lower() not in sql.lower():
+            continue
         session.read.parquet(path).createOrReplaceTempView(name)
     return session
 
@@ -79,7 +84,7 @@ def guarded_sql(
     the files.
     """
     bare = sql.strip().rstrip(";").strip()
-    rows = check_query(guarded_session(spark, tables), bare)
+    rows = check_query(guarded_session(spark, tables, bare), bare)
     if max_rows is not None and not is_aggregate(bare):
         rows = rows.limit(max_rows)
     return GuardedResult(rows, rows.agg(F.count(F.lit(1)).alias("n")), rows.limit(preview))

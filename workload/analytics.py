@@ -124,15 +124,13 @@ def _(spark, d):
 
 
 @query("r08_rank_hot_values", """
-    SELECT line_id, l_returnflag, l_quantity,
-        row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, line_id) AS row_number,
-        rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS rank,
-        dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS dense_rank
-    FROM (SELECT DISTINCT l_returnflag, l_quantity, l_orderkey * 100 + l_linenumber AS line_id FROM lineitem)""")
+    WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT event_id, event_type, k, row_number() OVER (PARTITION BY event_type ORDER BY k, event_id) AS row_number,
+        rank() OVER (PARTITION BY event_type ORDER BY k) AS rank, dense_rank() OVER (PARTITION BY event_type ORDER BY k) AS dense_rank FROM e""")
 def _(spark, d):
-    # Fifty quantities only: each value holds many rows, and the tie column orders them.
-    lines = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_id")).distinct()
-    return R.rank_in_group(lines, ["l_returnflag"], "l_quantity", "line_id", ascending=True)
+    # A hundred values only: each holds many rows, and the tie column orders them.
+    events = table(spark, d, "events").selectExpr("event_id", "event_type", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    return R.rank_in_group(events, ["event_type"], "k", "event_id", ascending=True)
 
 
 @query("r08_top_k_in_group", _ranked("WHERE row_number <= 5"))

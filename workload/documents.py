@@ -9,6 +9,7 @@ from askspark.operators import chunking as C
 from askspark.operators import lexical as L
 from askspark.operators import retrieval as S
 from askspark.operators import vectors as V
+from askspark.plans.documents import answer_questions, index_documents
 from askspark.session import cut_lineage
 from askspark.sources.files import extract_page_text
 from workload import tables as I
@@ -280,10 +281,13 @@ SUBS_SQL = f"""
             SELECT item_id, text, {I.STRATEGY} AS strategy, {I.BENCH_REPLY} AS reply FROM benchmark)))"""
 
 
-def subs(spark, d):
-    questions = table(spark, d, "benchmark").selectExpr(
+def questions(spark, d):
+    return table(spark, d, "benchmark").selectExpr(
         "item_id AS qid", "text AS question", f"{I.STRATEGY} AS strategy", f"{I.BENCH_REPLY} AS reply")
-    found = S.sub_queries(questions).withColumn("key", F.col("qid") + F.col("sub_no"))
+
+
+def subs(spark, d):
+    found = S.sub_queries(questions(spark, d)).withColumn("key", F.col("qid") + F.col("sub_no"))
     return found.join(vectors(spark, d), "key").drop("key")
 
 
@@ -332,6 +336,13 @@ def _(spark, d):
     return V.dense_top_k(queries, V.embed_text(keyed, weights=weights)).withColumn("score", F.round("score", 6))
 
 
+@query("ask_documents")
+def _(spark, d):
+    """The whole flow: chunk and index the documents, search by strategy, assemble contexts, answer."""
+    documents = texts(spark, d, "documents", "doc_id").withColumn("n_pages", F.ceil(F.col("n_chars") / 3000))
+    return answer_questions(questions(spark, d), index_documents(documents))
+
+
 @query("u01_apply_text_fn", r"""
     SELECT conv_id, turn, regexp_replace(regexp_extract('Asked by ' || role || ': ' || text, '(?s)^\s*((?:[^.]*\.){1,2}|.*)', 1),
         '^\s+|\s+$', '', 'g') AS answer, NULL::VARCHAR AS answer_error FROM conversations""")

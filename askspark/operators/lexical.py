@@ -81,8 +81,12 @@ def load_index(spark: SparkSession, path: str, tokenizer: str = "words") -> Term
     return TermIndex(*[spark.read.parquet(f"{path}/{name}") for name in TermIndex._fields[:4]], tokenizer, True)
 
 
+DENSE_SHARE = 50  # a term is common where it touches more than 1 in 50 of all (query, chunk) pairs
+
+
 def _bm25(k1: float, b: float, mean_tokens: float):
     """Scorer factory for ``top_k_join``; query rows are (qid, term, weight)."""
+    dense_share = DENSE_SHARE
 
     def prepare(queries: pa.Table):
         coded = pc.dictionary_encode(queries.column("qid").combine_chunks())
@@ -108,10 +112,24 @@ def _bm25(k1: float, b: float, mean_tokens: float):
             total = np.zeros((len(coded.dictionary), n))
             hit = np.zeros(total.shape, dtype=bool)
             present, starts = np.unique(code, return_index=True)
-            for c, lo, hi in zip(present, starts, [*starts[1:], len(code)]):
-                rows, qs = row[lo:hi], slice(edges[c], edges[c + 1])
-                cells = np.ix_(query[qs], rows)
-                total[cells] += np.outer(weight[qs], gain[lo:hi])
+            ends = np.append(starts[1:], len(code))
+            # Terms in many queries and chunks at once go through one matrix product, the others one by one.
+            pairs = (ends - starts) * (edges[present + 1] - edges[present])
+            common = np.flatnonzero(pairs > total.size // dense_share)
+            if len(common):
+                asked, held = np.zeros((len(total), len(common))), np.zeros((len(common), n))
+                named, found = np.zeros(asked.shape, np.float32), np.zeros(held.shape, np.float32)
+                for i, at in enumerate(common):
+                    c, lo, hi = present[at], starts[at], ends[at]
+                    asked[query[edges[c] : edges[c + 1]], i] = weight[edges[c] : edges[c + 1]]
+                    held[i, row[lo:hi]] = gain[lo:hi]
+                    named[query[edges[c] : edges[c + 1]], i] = found[i, row[lo:hi]] = 1
+                total += asked @ held
+                hit |= named @ found > 0
+            for at in np.setdiff1d(np.arange(len(present)), common):
+                c, lo, hi = present[at], starts[at], ends[at]
+                cells = np.ix_(query[edges[c] : edges[c + 1]], row[lo:hi])
+                total[cells] += np.outer(weight[edges[c] : edges[c + 1]], gain[lo:hi])
                 hit[cells] = True
             return np.where(hit, total, -np.inf)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,13 @@ SYSTEM_DATABASES = ["information_schema", "mysql", "performance_schema", "sys"]
 NOT_LISTED = "(unable to list tables)"
 
 
+def catalog_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """(db, tbl, db_pos, tbl_pos) rows as a local table, whose size the optimizer knows when it plans joins."""
+    kinds = [("db", pa.string()), ("tbl", pa.string()), ("db_pos", pa.int32()), ("tbl_pos", pa.int32())]
+    columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)]
+    return spark.createDataFrame(pa.table(columns, schema=pa.schema(kinds)))
+
+
 def list_catalog(spark: SparkSession) -> DataFrame:
     """(db, tbl, db_pos, tbl_pos) of the session catalog; a database that cannot be listed keeps a marker row."""
     rows = []
@@ -21,7 +29,7 @@ def list_catalog(spark: SparkSession) -> DataFrame:
         except Exception:
             names = [NOT_LISTED]
         rows += [(db.name, name, db_pos, tbl_pos) for tbl_pos, name in enumerate(names)] or [(db.name, None, db_pos, None)]
-    return spark.createDataFrame(rows, "db string, tbl string, db_pos int, tbl_pos int")
+    return catalog_table(spark, rows)
 
 
 def table_sizes(tables: dict[str, DataFrame], db: str) -> DataFrame:

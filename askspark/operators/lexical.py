@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askspark.functions.text import whitespace_words, words
-from askspark.operators.search import top_k_join
+from askspark.operators.search import MAX_SHARED_ROWS, top_k_join
 from askspark.session import cut_lineage
 
 TOKENIZERS = {"words": words, "whitespace": whitespace_words}
@@ -144,22 +144,25 @@ CORPUS = ""  # stands for the whole corpus among the terms: no token is empty
 def _term_counts(index: TermIndex, wanted: DataFrame, whole: bool) -> DataFrame:
     """(term, df, n_tokens) of the wanted terms, or all, plus one row for the corpus: its chunks and their tokens.
 
-    One pass over the chunks, whose small result is kept, or none if the index is stored.
+    One pass over the chunks, whose small result is kept, or none if the index is stored. Up to ``MAX_SHARED_ROWS`` wanted
+    terms are sent to every task and other tokens are dropped before counting; more are picked out after counting, when
+    each term is one row.
     """
     spark = index.chunks.sparkSession
+    kept = cut_lineage(wanted.unionByName(spark.range(1).select(F.lit(CORPUS).alias("term"))).distinct(), "query-terms")
+    few = not whole and kept.count() <= MAX_SHARED_ROWS
     if index.stored:
-        terms = index.terms.withColumn("n_tokens", F.lit(0).cast("bigint"))
         total = F.round(F.col("n_chunks") * F.col("mean_tokens")).cast("bigint")
-        counts = terms.unionByName(index.stats.select(F.lit(CORPUS).alias("term"), F.col("n_chunks").alias("df"), total.alias("n_tokens")))
+        corpus = index.stats.select(F.lit(CORPUS).alias("term"), F.col("n_chunks").alias("df"), total.alias("n_tokens"))
+        counts = index.terms.withColumn("n_tokens", F.lit(0).cast("bigint")).unionByName(corpus)
     else:
-        counts = index.chunks.select(
+        tokens = index.chunks.select(
             "n_tokens", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(CORPUS)))).alias("term")
         )
-    if not whole:
-        kept = wanted.unionByName(spark.range(1).select(F.lit(CORPUS).alias("term"))).distinct()
+        tokens = tokens.join(F.broadcast(kept), "term", "left_semi") if few else tokens
+        counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n_tokens").alias("n_tokens"))
+    if not whole and (index.stored or not few):
         counts = counts.join(kept, "term", "left_semi")
-    if not index.stored:
-        counts = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n_tokens").alias("n_tokens"))
     return cut_lineage(counts, "term-counts")
 
 

@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askspark.session import cut_lineage
+
 MIN_RANGES = 64
 
 
@@ -72,6 +74,8 @@ def exact_percentiles(
         .where(F.exists(wanted, lambda at: (at >= F.col("__start")) & (at < F.col("__start") + F.col("__n"))))
         .drop("__n")
     )
+    # Stored, so that its size is known: a small list of ranges then filters the rows without a shuffle.
+    targets = cut_lineage(targets, "percentile-ranges")
     counted = (
         join_back(rows, targets, [*keys, "__range"])
         .groupBy(*keys, "__range", "__start", "__total", "__x")

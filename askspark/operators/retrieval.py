@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from askspark.functions import text as T
 from askspark.operators.lexical import TermIndex, bm25_top_k
 from askspark.operators.vectors import dense_top_k
+from askspark.session import cut_lineage
 
 # Weights of the keyword and the vector ranking, hits per retriever, hits kept per (sub-)query.
 WEIGHTS = (0.3, 0.7)
@@ -101,10 +102,11 @@ def retrieve(
 def assemble_context(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, context, found): texts of the hits (qid, key, rank) in rank order, one row per question.
 
-    The hits of a question are few by construction, so joining them into one text is bounded; chunk texts are looked up by
-    key, so a chunk that many questions hit is read once and repeated only as often as it is shown.
+    The hits of a question are few by construction, so joining them into one text is bounded. They are stored first: their
+    size is then known, and while it is small the chunks are filtered where they are read instead of being shuffled.
     """
-    texts = hits.select("qid", "key", "rank").join(chunks.select("key", "text"), "key")
+    shown = cut_lineage(hits.select("qid", "key", "rank"), "hits")
+    texts = chunks.select("key", "text").join(shown, "key")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     context = F.array_join(F.transform(ordered, lambda h: h["text"]), CONTEXT_SEPARATOR)
     grouped = texts.groupBy("qid").agg(context.alias("context"))

@@ -8,7 +8,7 @@ SF_DIR = "/root/testdata/sf0.01"
 # Work that columns cannot express well: chunk packing, counting terms inside a row, top-k scoring, and the text hook.
 PYTHON = {
     "d03_chunk_documents", "d03_chunk_totals", "d04_postings", "d05_bm25_top_k", "d05_bm25_okapi", "d06_dense_top_k", "d06_dense_top_k_blocks", "d07_dense_top_k_in_cells",
-    "d08_fuse_ranks", "d10_retrieve", "d13_assemble_context", "d14_search_by_text", "ask_documents", "u01_apply_text_fn",
+    "d08_fuse_ranks", "d10_retrieve", "d14_search_by_text", "ask_documents", "u01_apply_text_fn",
 }
 WRITES_FIRST = {n for n in registry.QUERIES if n.startswith(("s01", "s03", "s05", "s06", "s07", "x"))}
 
@@ -58,3 +58,8 @@ def test_row_wise_work_has_no_shuffle(spark):
     # Tables in few files are spread first; that is the only exchange.
     for name in ("d03_chunk_documents", "d02_chunk_tier", "s04_extract_page_text", "g06_extract_fenced_block", "v07_normalize_content"):
         assert plan(registry.QUERIES[name](spark, SF_DIR), "simple").count("Exchange") <= 1
+
+
+@pytest.mark.parametrize("name", ["g03_unknown_table_refs", "k04_resolve_table", "t01_trace_rollup", "r13_describe_numeric", "d13_assemble_context"])
+def test_small_sides_of_known_size_are_broadcast(plans, name):
+    assert "BroadcastHashJoin" in plans[name]

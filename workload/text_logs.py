@@ -8,6 +8,7 @@ from askspark.functions import text as T
 from askspark.operators import conversations as V
 from askspark.operators import routing as G
 from askspark.operators import traces
+from askspark.operators.catalog import catalog_table
 from workload import tables as I
 from workload.tables import NAMES, table, texts
 
@@ -75,7 +76,7 @@ CATALOG_SQL = "SELECT * FROM (VALUES " + ", ".join(map(str, CATALOG)) + ") AS c(
 
 
 def catalog(spark):
-    return spark.createDataFrame(CATALOG, "db string, tbl string, db_pos int, tbl_pos int")
+    return catalog_table(spark, CATALOG)
 
 
 @query("g02_extract_table_refs", REFS_SQL)

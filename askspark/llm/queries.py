@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, token_counts
-from askspark.llm.common import table
+from askspark.llm import bpe, decontaminate, license_scan, revisits, token_counts, url_filter
+from askspark.llm.common import md5_number, table
 
 ORACLES: dict[str, str] = {}
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -15,10 +15,136 @@ WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), {ALPHABET}), '[^\
 TOKENS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), {ALPHABET}), '[^\\x20\\x09-\\x0D]+')"
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records derived from ``pages``: six captures each, half a day apart. The first is a full response, the fourth
+    sometimes, with a new entity tag; the others are revisits, of which some carry an old tag and some only a date."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"), F.length("html").alias("n"))
+    key = F.concat(F.col("page_id").cast("string"), F.lit(":"), F.col("k").cast("string"))
+    rows = pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).withColumn("record_id", key)
+    anew = md5_number(F.concat(F.col("page_id").cast("string"), F.lit(":new")), 3) == 0
+    is_response = (F.col("k") == 0) | ((F.col("k") == 3) & anew)
+    version = F.when((F.col("k") >= 3) & anew, "b").otherwise("a")
+    stale = md5_number(key, 7) == 0
+    etag = F.concat(F.lit('"'), F.substring("digest", 1, 8), F.when(~is_response & stale, "old").otherwise(version), F.lit('"'))
+    at = F.lit(1_700_000_000) + F.col("page_id") % 1000 * 60 + F.col("k") * 43_200
+    text = lambda x: x.cast("string")
+    response = F.create_map(
+        F.lit("ETag"), etag, F.lit("Last-Modified"), text(F.col("page_id") % 100), F.lit("Content-Type"), F.lit("text/html"),
+        F.lit("Content-Length"), text(F.coalesce("n", F.lit(0))), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Server"), F.lit("a"),
+    )
+    dated = F.create_map(F.lit("Last-Modified"), text(F.col("page_id") % 100), F.lit("Date"), text(at), F.lit("Server"), F.lit("b"))
+    tagged = F.create_map(F.lit("ETag"), etag, F.lit("Date"), text(at), F.lit("Cache-Control"), F.lit("max-age=300"), F.lit("Content-Type"), F.lit("text/plain"))
+    return rows.select(
+        "record_id", "url", at.cast("long").alias("captured_at"), F.when(is_response, "response").otherwise("revisit").alias("record_type"),
+        F.when(is_response, 200).otherwise(304).alias("status"),
+        F.when(is_response, response).when(md5_number(key, 5) == 1, dated).otherwise(tagged).alias("headers"), "digest",
+    )
+
+
+def op1_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(captures(spark, sf_dir))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.withColumn("headers", F.array_join(lines, "; "))
+
+
+ORACLES["op1_resolve_revisits"] = r"""
+WITH page AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest, coalesce(length(html), 0) AS n FROM pages),
+captured AS (SELECT *, page_id || ':' || k AS record_id, ('0x' || left(md5(page_id || ':new'), 8))::BIGINT % 3 = 0 AS anew
+  FROM page, (SELECT unnest(generate_series(0, 5)) AS k)),
+kind AS (SELECT *, k = 0 OR (k = 3 AND anew) AS is_response, ('0x' || left(md5(record_id), 8))::BIGINT AS h,
+  1700000000 + page_id % 1000 * 60 + k * 43200 AS moment FROM captured),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '(?s)^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS u FROM kind),
+parts AS (SELECT *,
+    regexp_replace(translate(regexp_extract(u, '(?s)^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.|:(80|443)$', '', 'g')
+    || regexp_replace(regexp_extract(u, '(?s)^[^/?]*([^?]*)', 1), '/+$', '')
+    || regexp_replace(regexp_replace(regexp_extract(u, '(?s)(\?.*)$', 1), '([?&])utm_[a-z]+=[^&]*(&|$)', '\1', 'g'), '[?&]$', '') AS canon,
+    '"' || left(digest, 8) || CASE WHEN NOT is_response AND h % 7 = 0 THEN 'old' WHEN k >= 3 AND anew THEN 'b' ELSE 'a' END || '"' AS tag,
+    CAST(page_id % 100 AS VARCHAR) AS modified FROM bare),
+record AS (SELECT *, NOT is_response AND h % 5 = 1 AS dated FROM parts),
+paired AS (
+  SELECT r.*, o.record_id AS o_id, o.moment AS o_moment, o.tag AS o_tag, o.modified AS o_modified, o.n AS o_n, o.digest AS o_digest,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY o.moment DESC, o.record_id DESC) AS place
+  FROM record r LEFT JOIN record o ON o.canon = r.canon AND o.is_response AND o.moment < r.moment WHERE NOT r.is_response),
+judged AS (SELECT *, CASE WHEN o_id IS NULL THEN 'no_original'
+    WHEN CASE WHEN dated THEN modified = o_modified ELSE tag = o_tag END THEN 'resolved'
+    ELSE 'validator_mismatch' END AS verdict FROM paired WHERE place = 1)
+SELECT record_id, canon AS canonical_url, CAST(moment AS BIGINT) AS captured_at, o_id AS original_id, CAST(o_moment AS BIGINT) AS original_at, verdict,
+  CASE WHEN verdict = 'resolved' THEN 'cache-control: ' || CASE WHEN dated THEN 'max-age=60' ELSE 'max-age=300' END || '; content-length: ' || o_n
+      || '; content-type: text/html; date: ' || moment || '; etag: ' || o_tag || '; last-modified: ' || o_modified || '; server: a'
+    WHEN dated THEN 'date: ' || moment || '; last-modified: ' || modified || '; server: b'
+    ELSE 'cache-control: max-age=300; content-type: text/plain; date: ' || moment || '; etag: ' || tag END AS headers,
+  CASE WHEN verdict = 'resolved' THEN o_digest END AS digest
+FROM judged
+"""
+
+#: The rules of the contract.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op2_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _rule_sql(host: str, path: str) -> str:
+    fits = []
+    for rule, verdict in URL_RULES:
+        r_host, _, rest = rule.partition("/")
+        fits.append(f"CASE WHEN ({host} = '{r_host}' OR ends_with({host}, '.{r_host}')) AND starts_with({path}, '/{rest}') THEN {{'n': {len(rule)}, 'rule': '{rule}', 'verdict': '{verdict}'}} END")
+    return f"list_max(list_filter([{', '.join(fits)}], lambda x: x IS NOT NULL))"
+
+
+def _url_sql(url: str, group: int) -> str:
+    part = rf"regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', {group})"
+    return f"translate({part}, {ALPHABET})" if group == 1 else part
+
+
+ORACLES["op2_filter_urls"] = rf"""
+WITH RECURSIVE part AS (SELECT page_id, url, {_url_sql('url', 1)} AS host, {_url_sql('url', 2)} AS path, {_url_sql('url', 3)} AS query FROM pages),
+page AS (SELECT *, {_rule_sql('host', 'path')} AS own,
+    CASE WHEN host <> '' THEN lower(regexp_extract(url, '(?s)^(.*?)://', 1)) || '://' || host || path || query END AS node,
+    CASE WHEN host <> '' THEN 'https://' || regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/+)$', '')
+      || regexp_replace(regexp_replace(query, '([?&])(utm_[a-z]+|ref)=[^&]*(&|$)', '\1', 'g'), '[?&]$', '') END AS plain FROM part),
+edge AS (SELECT DISTINCT node AS a, plain AS b FROM page WHERE node <> plain),
+pair AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT a AS node, a AS other FROM pair UNION SELECT reach.node, pair.b FROM reach JOIN pair ON reach.other = pair.a),
+grouped AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+ruled AS (SELECT component, node, {_rule_sql(_url_sql('node', 1), _url_sql('node', 2))} AS own FROM grouped),
+flag AS (SELECT component, bool_or(own.verdict = 'allow') AS allowed, bool_or(own.verdict = 'block') AS blocked FROM ruled GROUP BY component)
+SELECT page_id, host, path, own.rule AS rule, coalesce(own.verdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, component
+FROM page LEFT JOIN grouped USING (node) LEFT JOIN flag USING (component)
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLES["op6_scan_licenses"] = f"""
+WITH doc AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+template(template, label, exact, n_grams, t_at, gram) AS (VALUES {", ".join(str(r).replace("True", "true").replace("False", "false") for r in license_scan.templates())}),
+place AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 3)) AS i FROM doc WHERE len(w) >= 3)),
+vote AS (SELECT doc_id, template, label, exact, n_grams, t_at, i, i - t_at AS diagonal FROM place JOIN template USING (gram)),
+line AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS apart
+  FROM (SELECT DISTINCT doc_id, template, exact, diagonal FROM vote)),
+part AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM line),
+span AS (SELECT doc_id, template, label, exact, n_grams, part, count(DISTINCT t_at) AS hits, min(i) AS first
+  FROM vote JOIN part USING (doc_id, template, exact, diagonal) GROUP BY ALL),
+judged AS (SELECT *, hits / n_grams AS share, exact AND hits = n_grams AS base, NOT exact AND hits / n_grams >= 0.8 AS notice FROM span),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base OR notice))), ',') AS labels, max(share) AS score
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM doc LEFT JOIN found USING (doc_id)
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -52,4 +178,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text", "round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_decontaminate, op10_bpe_round_trip)}
+QUERIES = {
+    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op6_scan_licenses, op8_decontaminate, op10_bpe_round_trip)
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, license_scan, revisits, token_counts, url_filter
+from askspark.llm import bpe, decontaminate, lattice_lm, license_scan, quality, revisits, token_counts, url_filter
 from askspark.llm.common import md5_number, table
 
 ORACLES: dict[str, str] = {}
@@ -119,6 +119,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op5_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return lattice_lm.score_texts(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -179,5 +189,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op6_scan_licenses, op8_decontaminate, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op8_decontaminate, op10_bpe_round_trip)
 }

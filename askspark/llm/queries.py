@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, lattice_lm, license_scan, quality, revisits, token_counts, url_filter
+from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, quality, revisits, token_counts, url_filter
 from askspark.llm.common import md5_number, table
 
 ORACLES: dict[str, str] = {}
@@ -183,11 +183,30 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op9_similar_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+ORACLES["op9_similar_components"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 4, 0))) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+step AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS node, b AS other FROM step UNION SELECT reach.node, step.b FROM reach JOIN step ON reach.other = step.a),
+least_of AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least_of ON node = doc_id
+"""
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text", "round_trip")
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op8_decontaminate, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op8_decontaminate, op9_similar_components, op10_bpe_round_trip)
 }

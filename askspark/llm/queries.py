@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, quality, revisits, token_counts, url_filter
+from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, quality, revisits, token_counts, url_filter
 from askspark.llm.common import md5_number, table
 
 ORACLES: dict[str, str] = {}
@@ -155,6 +155,19 @@ FROM doc LEFT JOIN found USING (doc_id)
 """
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op7_nearest"] = """
+WITH vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM vec q JOIN vec c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -208,5 +221,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op8_decontaminate, op9_similar_components, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op7_nearest, op8_decontaminate, op9_similar_components, op10_bpe_round_trip)
 }

@@ -20,9 +20,8 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from askspark.llm.common import per_worker
+from askspark.llm.common import append_arrow, per_worker
 
 #: Fixed value: the public split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -228,17 +227,17 @@ def bpe_round_trip(
     Short runs of text are encoded once per worker while they fit its memory of runs; a piece of any length goes through
     the transducer in windows.
     """
-    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "round_trip boolean"]
-    made += ["ids array<long>", "decoded string"] * with_ids
-    names = [m.split()[0] for m in made]
-    rows = docs.drop(*(n for n in names if n not in (id_col, text_col))) if keep_columns else docs.select(id_col, text_col)
+    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "round_trip": "boolean"}
+    made |= {"ids": "array<bigint>", "decoded": "string"} if with_ids else {}
+    rows = docs.drop(*(n for n in made if n not in (id_col, text_col))) if keep_columns else docs.select(id_col, text_col)
     place = rows.columns.index(text_col)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.string()][: len(made)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         encoder = per_worker(f"bpe {tokenizer_file}", lambda: Encoder(tokenizer_file))
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
+
+        def encode(batch: pa.RecordBatch) -> list[pa.Array]:
+            out: list[list] = [[] for _ in types]
             for value in batch.column(place):
                 text = value.as_py() or ""
                 ids = encoder.encode(text)
@@ -246,11 +245,11 @@ def bpe_round_trip(
                 little = array("I", ids)
                 if array("H", [1]).tobytes() == b"\x00\x01":
                     little.byteswap()
-                got = (len(ids), hashlib.sha256(little.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text)
-                for name, x in zip(names, (*got, list(ids), decoded)):
-                    out[name].append(x)
-            types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.string()]
-            arrays = [pa.array(out[n], t) for n, t in zip(names, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
-
-    return rows.mapInArrow(run, ", ".join([*kinds, *made]))
+                digests = (hashlib.sha256(x).hexdigest() for x in (little.tobytes(), decoded.encode()))
+                for column, x in zip(out, (len(ids), *digests, decoded == text, *((list(ids), decoded) if with_ids else ()))):
+                    column.append(x)
+            return [pa.array(x, t) for x, t in zip(out, types)]
+
+        return encode
+
+    return append_arrow(rows, begin, made)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def append_arrow(
+    df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], made: dict[str, str], instead_of: int = 0
+) -> DataFrame:
+    """``df`` with the columns ``made`` (name: type) at its end, in place of its last ``instead_of`` columns. ``begin`` runs
+    once per task and gives the function from a batch to the new arrays. Column names of any kind pass."""
+    names = df.columns
+    kept = len(names) - instead_of
+    inner = [f"c{i}" for i in range(kept + len(made))]
+    kinds = [*(f.dataType.simpleString() for f in df.schema.fields[:kept]), *made.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = begin()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *function(batch)], names=inner)
+
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(inner, kinds))).toDF(*names[:kept], *made)

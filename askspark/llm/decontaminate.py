@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askspark.llm.common import UPPER, WORD_CHARS, lower_ascii
+from askspark.llm.common import UPPER, WORD_CHARS, append_arrow, lower_ascii
 
 #: Patterns and bytes of pattern text that one pass over the documents searches for; more patterns take more passes.
 PASS_PATTERNS = 200_000
@@ -75,11 +75,9 @@ def passes_of(windows: DataFrame) -> Iterator[list]:
 def _pass(docs: DataFrame, text_col: str, windows: list) -> DataFrame:
     """Adds what this group of windows hits to ``_n_words``, ``_spans`` and ``_items``."""
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in windows])
-    low, high = UPPER, UPPER.lower()
-    columns = docs.columns
-    places_of = {c: columns.index(c) for c in (text_col, "_spans", "_items")}
+    at = docs.columns.index(text_col)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         items: dict[tuple[str, ...], set[str]] = {}
         for window, item in shared.value:
             items.setdefault(tuple(window.split(" ")), set()).add(item)
@@ -87,11 +85,11 @@ def _pass(docs: DataFrame, text_col: str, windows: list) -> DataFrame:
         for p in items:
             by_length.setdefault(len(p), []).append(p)
         searches = [WuManber(ps) for ps in by_length.values()]
-        find, lower = re.compile(WORD_CHARS).findall, str.maketrans(low, high)
-        for batch in batches:
+        find, lower = re.compile(WORD_CHARS).findall, str.maketrans(UPPER, UPPER.lower())
+
+        def search(batch: pa.RecordBatch) -> list[pa.Array]:
             n_words, spans, found = [], [], []
-            texts, old_spans, old_items = (batch.column(places_of[c]) for c in (text_col, "_spans", "_items"))
-            for value, old_span, old_item in zip(texts, old_spans, old_items):
+            for value, old_span, old_item in zip(batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
                 words = find((value.as_py() or "").translate(lower))
                 flat = old_span.as_py()
                 places, hit = list(zip(flat[::2], flat[1::2])), set(old_item.as_py())
@@ -108,10 +106,11 @@ def _pass(docs: DataFrame, text_col: str, windows: list) -> DataFrame:
                 n_words.append(len(words))
                 spans.append(merged)
                 found.append(sorted(hit))
-            arrays = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], names=columns)
+            return [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+
+        return search
 
-    return docs.mapInArrow(search, docs.schema)
+    return append_arrow(docs, begin, {"_n_words": "bigint", "_spans": "array<bigint>", "_items": "array<string>"}, instead_of=3)
 
 
 def find_benchmark(
@@ -127,10 +126,9 @@ def find_benchmark(
     """
     made = ["n_words", "n_hit", "n_items", "items", "hit_spans", "contaminated"]
     windows = item_windows(benchmark, size, item_col, item_text_col)
-    found = docs.drop(*made).withColumns({
+    found = docs.drop(*made, "_n_words", "_spans", "_items").withColumns({
         "_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>"),
     })
-    found = found.select(*[F.col(f"`{c}`") for c in found.columns])
     for group in passes_of(windows):
         found = _pass(found, text_col, group)
     signed = F.transform("_spans", lambda at, i: F.when(i % 2 == 1, at).otherwise(-at))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askspark.llm.common import append_arrow
 from askspark.session import cut_lineage
 
 BITS = 18
@@ -150,18 +151,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
 def with_evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     """Adds the log likelihood ratios ``_poor`` and ``_toxic``, kept within 12 either way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, columns = docs.columns.index(text_col), docs.columns
+    at = docs.columns.index(text_col)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         m = shared.value
-        for batch in batches:
+
+        def score(batch: pa.RecordBatch) -> list[pa.Array]:
             x = np.array([measures(t, word_buckets(t), m.words) for t in (v.as_py() or "" for v in batch.column(at))]).reshape(batch.num_rows, -1)
             z = np.hstack([np.ones((len(x), 1)), (x - m.scale[0]) / m.scale[1]]) if len(x) else np.zeros((0, len(m.weights[0])))
-            ratios = [pa.array(np.clip(z @ w, -12, 12)) for w in m.weights]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *ratios], names=[*columns, "_poor", "_toxic"])
+            return [pa.array(np.clip(z @ w, -12, 12)) for w in m.weights]
+
+        return score
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(score, ", ".join([*kinds, "_poor double", "_toxic double"]))
+    return append_arrow(docs, begin, {"_poor": "double", "_toxic": "double"})
 
 
 def _logit(p: Column) -> Column:
@@ -224,4 +226,4 @@ def score_quality(
     scored = with_evidence(plain, model, text_col).withColumns({"_host": host, "_path": path}).join(priors, ["_host", "_path"], "left")
     p = {c: _sigmoid(F.col(f"_{c}") + _logit(F.col(f"prior_{c}"))) for c in CLASSES}
     scored = scored.withColumns({f"p_{c}": x for c, x in p.items()}).withColumn("keep", (F.col("p_poor") <= most) & (F.col("p_toxic") <= most))
-    return scored.select(*plain.columns, "p_poor", "p_toxic", "prior_poor", "prior_toxic", "keep")
+    return scored.select(*(F.col(f"`{c}`") for c in plain.columns), "p_poor", "p_toxic", "prior_poor", "prior_toxic", "keep")

@@ -12,7 +12,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import public_tokenizers  # noqa: E402
-from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from askspark.llm.bpe import bpe_round_trip  # noqa: E402
@@ -23,9 +23,13 @@ from askspark.llm.quality import score_quality  # noqa: E402
 from askspark.session import scratch_path  # noqa: E402
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("keep").select(docs.columns)
+    return score_quality(docs, table(spark, sf_dir, "labels")).where("keep").select(columns(docs))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +37,13 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     are copies of nothing and stay. Of repeated rows with one id, one stays."""
     groups = similar_components(docs, 5, 80, 100)
     chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(chosen.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(chosen.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(columns(docs)).dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id IS NULL"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    return find_benchmark(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
+    return find_benchmark(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ import bisect
 import hashlib
 import heapq
 import math
-import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askspark.llm.common import NON_SPACE, UPPER, per_worker
+from askspark.llm.common import per_worker
 from askspark.llm.components import connected_components
 from askspark.session import cut_lineage
 
@@ -30,30 +29,47 @@ from askspark.session import cut_lineage
 FREQUENT = 1_000_000
 #: Candidates that one search takes at a time.
 BLOCK = 256
+#: Bits of the sketch that rules out pairs before their texts are fetched.
+BITS = 1024
 #: Fixed odd multipliers of the positions in an n-gram.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
+class WordCodes(dict):
+    """64-bit hashes of words, kept while there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 2_000_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
 def gram_hashes(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of words; of all words together if there are fewer than ``n``."""
-    import xxhash
+    """Sorted distinct 64-bit hashes of the n-grams of words; of all words together if there are fewer than ``n``.
 
-    known = per_worker("gram words", dict)
-    words = re.findall(NON_SPACE, text.translate(str.maketrans(UPPER, UPPER.lower())))
+    Splitting and lower-casing bytes takes exactly the white space and the letters of ASCII."""
+    words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(known) > 2_000_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(per_worker("word codes", WordCodes).__getitem__, words), np.uint64, len(words))
     m = min(n, len(words))
-    with np.errstate(over="ignore"):
-        h = np.full(len(words) - m + 1, m, np.uint64)
-        for k in range(m):
-            h = (h ^ codes[k : len(codes) - m + 1 + k]) * FACTORS[k % len(FACTORS)]
-            h ^= h >> np.uint64(29)
-    return np.unique(h.view(np.int64))
+    h = np.full(len(words) - m + 1, m, np.uint64)
+    for k in range(m):
+        h ^= codes[k : len(codes) - m + 1 + k]
+        h *= FACTORS[k % len(FACTORS)]
+        h ^= h >> np.uint64(29)
+    h = np.sort(h.view(np.int64))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def parity_bits(grams: np.ndarray) -> list[int]:
+    """``BITS`` bits as 64-bit numbers: whether an odd number of n-grams falls on each. Two sets differ in at least as many
+    n-grams as their bits differ."""
+    odd = (np.bincount(grams & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -128,30 +144,32 @@ def frequent_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per row: ``id``, ``n`` (size of the set), ``same`` (128 bits of the whole set) and ``prefix``, its rarest n-grams: as
-    many as make sure that a similar set shares one."""
+    """Per row: ``id``, ``n`` (size of the set), ``same`` (128 bits of the whole set), ``bits`` (its parity bits) and
+    ``prefix``, its rarest n-grams: as many as make sure that a similar set shares one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = shared.value
         for batch in batches:
-            sizes, same, prefix = [], [], []
+            sizes, same, bits, prefix = [], [], [], []
             for value in batch.column("text"):
                 grams = gram_hashes(value.as_py() or "", n)
                 size = len(grams)
                 sizes.append(size)
                 same.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                weight = np.zeros(size, np.int64)
+                bits.append(parity_bits(grams))
+                first = size - -(-num * size // den) + 1 if size else 0
                 if len(frequent) and size:
                     place = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                     weight = np.where(frequent[place] == grams, times[place], 0)
-                first = size - -(-num * size // den) + 1 if size else 0
-                prefix.append(grams[np.lexsort((grams, weight))[:first]].tolist())
-            arrays = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "same", "prefix"])
+                    grams = grams[np.argsort(weight, kind="stable")]  # ascending grams stay so among equal counts
+                prefix.append(grams[:first].tolist())
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (bits, prefix)]
+            arrays = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "same", "bits", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, n long, same binary, prefix array<long>")
+    return docs.mapInArrow(sign, f"id {kind}, n long, same binary, bits array<long>, prefix array<long>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -191,22 +209,27 @@ def similar_components(
     signed = cut_lineage(signatures(rows, n, num, den), "signatures")
     some = signed.where("n > 0")
     copies = some.groupBy("same").agg(F.min("id").alias("first"))
-    whole = some.where(F.col("id").isNotNull()).groupBy("same").agg(F.min(F.struct("id", "n", "prefix")).alias("s")).select("s.*")
+    whole = some.where(F.col("id").isNotNull()).groupBy("same").agg(F.min(F.struct("id", "n", "bits", "prefix")).alias("s")).select("s.*")
     spread = whole.select("id", "n", F.explode("prefix").alias("gram"))
     shared = spread.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1").select("gram")
     lists = cut_lineage(spread.join(shared, "gram"), "lists")
     wanted = lists.select("id").distinct()
     texts = cut_lineage(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
+    sketches = whole.select("id", "n", "bits")
+
     def apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-        """Pairs whose sizes allow a link and that are not connected so far."""
+        """Pairs that are not connected so far and that sizes and parity bits leave possible."""
         fits = F.least("n", "m") * den >= F.greatest("n", "m") * num
         pairs = pairs.where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if found is None:
-            return pairs
-        x, y = found.select(F.col("node").alias("a"), F.col("component").alias("x")), found.select(F.col("node").alias("b"), F.col("component").alias("y"))
-        pairs = pairs.join(x, "a", "left").join(y, "b", "left")
-        return pairs.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        if found is not None:
+            x, y = found.select(F.col("node").alias("a"), F.col("component").alias("x")), found.select(F.col("node").alias("b"), F.col("component").alias("y"))
+            pairs = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        for side in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        # at least (n_a + n_b - 2 * the intersection) n-grams differ, and the intersection must reach its least
+        return pairs.where((num + den) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     links: DataFrame | None = None
     found: DataFrame | None = None

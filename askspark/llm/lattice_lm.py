@@ -12,7 +12,6 @@ the corpus is worked out once, however often it occurs.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askspark.llm.common import NON_SPACE, UPPER
 from askspark.session import cut_lineage
 
 #: Words frequent enough to be among about so many are looked up in the scan; rarer ones are joined. Bounds a broadcast.
@@ -103,11 +101,15 @@ class Lattice:
         return b
 
 
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8; splitting and lower-casing bytes takes exactly the white space and the letters of ASCII."""
+    return (text or "").encode().lower().split()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(``word``, ``c``): every word of the texts and its count in those that are not held out, pre-summed in each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, lower = re.compile(NON_SPACE).findall, str.maketrans(UPPER, UPPER.lower())
         c, seen = Counter(), set()
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -116,14 +118,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words = list(c)
             for k in range(0, len(words), 50_000):
                 part = words[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([c[w] for w in part], pa.int64())], names=["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([c[w] for w in part], pa.int64())], names=["word", "c"])
             c.clear()
             seen.clear()
 
         for batch in batches:
             for value, held in zip(batch.column("text"), batch.column("held_out").to_pylist()):
-                words = find((value.as_py() or "").translate(lower))
-                (seen if held else c).update(words)
+                (seen if held else c).update(tokens_of(value.as_py()))
                 if len(c) + len(seen) > 500_000:
                     yield from rows()
         yield from rows()
@@ -222,16 +223,22 @@ def score_texts(
             break
         least = r["step"]
     frequent = [] if least is None else scored.where((F.col("c") > 0) & short & (step >= least)).select("word", "base", "lattice").collect()
-    known = spark.sparkContext.broadcast({r["word"]: (r["base"], r["lattice"]) for r in frequent})
+    known = spark.sparkContext.broadcast({r["word"].encode(): (r["base"], r["lattice"]) for r in frequent})
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, lower, get = re.compile(NON_SPACE).findall, str.maketrans(UPPER, UPPER.lower()), known.value.get
+        get = known.value.get
         names = ["row", "word", "times", "tokens", "known", "base", "lattice"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, t in zip(zip(*out), types)]
+            columns[1] = columns[1].cast(pa.string())
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
             out: list[tuple] = []
             for row, value in zip(batch.column("row").to_pylist(), batch.column("text")):
-                tokens = find((value.as_py() or "").translate(lower))
+                tokens = tokens_of(value.as_py())
                 n_known = 0
                 base_sum = lattice_sum = 0.0
                 for word, times in Counter(tokens).items():
@@ -244,10 +251,10 @@ def score_texts(
                         lattice_sum += times * hit[1]
                 out.append((row, None, 0, len(tokens), n_known, base_sum, lattice_sum))
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+                    yield flush()
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+                yield flush()
 
     met = rows.select("row", "text").mapInArrow(look_up, "row long, word string, times long, tokens long, known long, base double, lattice double")
     met = cut_lineage(met, "tokens")

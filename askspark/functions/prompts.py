@@ -23,15 +23,6 @@ def fill_template(template: str, columns: list[str]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def lead_sentences() -> Callable[[pd.Series], pd.Series]:
-    """Default text function, without a model: the first two sentences of the prompt."""
-
-    def run(prompts: pd.Series) -> pd.Series:
-        return prompts.str.extract(r"(?s)^\s*((?:[^.]*\.){1,2}|.*)", expand=False).str.strip()
-
-    return run
-
-
 def apply_text_fn(
     df: DataFrame,
     template: str,
@@ -42,9 +33,13 @@ def apply_text_fn(
     """Add ``out`` and ``out_error``: the function applied to each row's filled template, in Arrow batches.
 
     ``fn`` maps a batch of prompts to a batch of texts. If a batch fails, its rows are tried one by one, so that one bad
-    row costs one error. Failed rows get the column named by ``fallback``, or NULL.
+    row costs one error. Failed rows get the column named by ``fallback``, or NULL. Without ``fn`` nothing is asked: the
+    answer is NULL, and so is the error.
     """
-    call = fn or lead_sentences()
+    if fn is None:
+        fill_template(template, df.columns)
+        return df.withColumns({out: F.lit(None).cast("string"), f"{out}_error": F.lit(None).cast("string")})
+    call = fn
 
     def safe(batch: pd.Series) -> pd.DataFrame:
         try:

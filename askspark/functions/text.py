@@ -68,6 +68,7 @@ def fenced_block(c: Column, lang: str) -> Column:
 def reply_lines(c: Column) -> Column:
     """Non-blank lines of a model reply without their bullets or numbers."""
     kept = F.filter(lines(c), lambda line: strip(line) != "")
+    # Fixed value: what a bullet or number looks like.
     return F.transform(kept, lambda line: strip(F.regexp_replace(line, r"(?U)^\s*[\d.\-*]+\s*", "")))
 
 
@@ -77,6 +78,17 @@ def query_variations(query: Column, reply: Column, n: int = 3) -> Column:
     return F.slice(F.when(F.array_contains(found, query), found).otherwise(F.concat(F.array(query), found)), 1, n + 1)
 
 
+def overlap_extract(text: Column, question: Column) -> Column:
+    """The sentence of ``text`` that shares most different words with the question, the first of equals; null if none does."""
+    asked = F.array_distinct(words(question))
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: strip(s) != "")
+    scored = F.transform(
+        sentences, lambda s, i: F.struct(F.size(F.array_intersect(words(s), asked)).alias("n"), (-i).alias("place"), strip(s).alias("sentence"))
+    )
+    best = F.array_max(scored)
+    return F.when(best["n"] > 0, best["sentence"])
+
+
 def sub_questions(query: Column, reply: Column) -> Column:
     """Non-empty reply lines, or the question itself if there are none."""
     found = F.filter(reply_lines(reply), lambda line: line != "")
@@ -92,23 +104,30 @@ def retrieval_strategy(reply: Column) -> Column:
 def message_text(content: Column) -> Column:
     """Plain text of a message stored as text, as a JSON list of blocks, or as a JSON object.
 
-    Text blocks of a list are joined by newlines. An object without text is kept as its JSON. Text that is not a JSON
-    list or object is already plain.
+    Text blocks of a list are joined by newlines. An object without text is kept as its JSON. The content counts as a list
+    of blocks only if all of it is one JSON list of strings and objects, and as an object only if all of it is one; anything
+    else, such as ``[1] see below``, is already plain.
     """
-    value = F.try_parse_json(content)
+    # Inside one more pair of brackets, text after the first value makes the list invalid or longer than one.
+    outer = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), content, F.lit("]"))), "$", "array<variant>")
+    value = F.when(F.size(outer) == 1, F.element_at(outer, 1))
     kind = F.schema_of_variant(value)
     blocks = F.try_variant_get(value, "$", "array<variant>")
 
+    def block_kind(block: Column) -> Column:
+        return F.schema_of_variant(block)
+
     def block_text(block: Column) -> Column:
-        plain = F.schema_of_variant(block) == "STRING"
+        plain = block_kind(block) == "STRING"
         inner = F.when(F.try_variant_get(block, "$.text", "string") != "", F.try_variant_get(block, "$.text", "string"))
         return F.when(plain, F.try_variant_get(block, "$", "string")).otherwise(inner)
 
     listed = F.array_join(F.filter(F.transform(blocks, block_text), lambda t: t.isNotNull()), "\n")
+    of_blocks = F.forall(blocks, lambda b: (block_kind(b) == "STRING") | block_kind(b).startswith("OBJECT"))
     single = F.try_variant_get(value, "$.text", "string")
     return (
         F.when(content.isNull(), F.lit(""))
-        .when(kind.startswith("ARRAY"), listed)
+        .when(kind.startswith("ARRAY") & of_blocks, listed)
         .when(kind.startswith("OBJECT"), F.when(F.length(single) > 0, single).otherwise(content))
         .otherwise(content)
     )
@@ -165,13 +184,11 @@ CALCULATION_WORDS = [
     "percentage", "ratio", "statistic", "stat", "metric",
     "metrics",
 ]
-# The last pattern asks for capitals in lower-cased text, so it never matches; kept so that the list stays complete.
 GENERAL_PATTERNS = [
     r"\bweather\b", r"\bforecast\b",
     r"\bjoke\b", r"\brecipe\b", r"\briddle\b",
     r"\b(movie|song|album)\s+name\b",
     r"\bstock\s+price\b", r"\bcryptocurrency\b", r"\bbitcoin\b",
-    r"\bwho\s+(is|was)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b",
 ]
 
 
@@ -240,6 +257,7 @@ def asset_family(asset: Column) -> Column:
     """document, dataset, image, database or unsupported, from a file extension or an asset type name."""
     kind = F.lower(asset)
     return (
+        # The types of each family.
         F.when(kind.isin(".pdf", ".docx", ".doc", ".txt", "url"), "document")
         .when(kind.isin(".csv", ".xlsx", ".xls"), "dataset")
         .when(kind.isin(".png", ".jpg", ".jpeg", ".webp", ".gif", "image"), "image")
@@ -252,6 +270,7 @@ def image_mime(extension: Column) -> Column:
     """MIME type of an image extension, image/jpeg if it is not a known one."""
     ext = F.lower(extension)
     return (
+        # The type of each extension.
         F.when(ext == ".png", "image/png")
         .when(ext.isin(".jpg", ".jpeg"), "image/jpeg")
         .when(ext == ".webp", "image/webp")

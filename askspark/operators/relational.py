@@ -97,8 +97,12 @@ def share_of_total(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def compare_groups(df: DataFrame, key: str, pivot_col: str, values: list[str], agg: str) -> DataFrame:
-    """One column per value of ``pivot_col``, and each later value minus the first. Values are given, not discovered."""
-    side = df.where(F.col(pivot_col).isin(*values)).groupBy(key).pivot(pivot_col, values).agg(F.expr(agg))
+    """One column per value of ``pivot_col``, and each later value minus the first. Values are given, not discovered.
+
+    Every group is kept; ``agg`` is one SQL aggregate, so a count of a value that a group lacks is 0.
+    """
+    quoted = {v: str(v).replace("\\", "\\\\").replace("'", "\\'") for v in values}
+    side = df.groupBy(key).agg(*(F.expr(f"{agg} FILTER (WHERE `{pivot_col}` = '{quoted[v]}')").alias(v) for v in values))
     diffs = {f"{v}_minus_{values[0]}": F.col(f"`{v}`") - F.col(f"`{values[0]}`") for v in values[1:]}
     return side.withColumns(diffs)
 
@@ -114,10 +118,22 @@ def trend(df: DataFrame, ts: str, grain: str, aggs: dict[str, str], keys: list[s
 def growth(df: DataFrame, ts: str, grain: str, value: str, keys: list[str] | None = None) -> DataFrame:
     """Total per period, the previous period's total, the change and the growth rate.
 
-    Rows are reduced to one per period before the window, so the window is as long as the calendar, not the table.
+    A period without rows between others has total 0. Rows are reduced to one per period before the window, so the window
+    is as long as the calendar, not the table.
     """
     keys = keys or []
-    series = trend(df, ts, grain, {"total": f"sum({value})"}, keys)
+    series = trend(df, ts, grain, {"total": f"sum({value})"}, keys).where("period IS NOT NULL")
+    step = F.expr("interval 3 months" if grain == "quarter" else f"interval 1 {grain}")
+    ends = series.groupBy(*keys).agg(F.min("period").alias("low"), F.max("period").alias("high")).where("low IS NOT NULL")
+    calendar = ends.select(*(F.col(k).alias(f"__{k}") for k in keys), F.explode(F.sequence("low", "high", step)).alias("__period"))
+    same = F.col("period") == F.col("__period")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    filled = calendar.join(series, same, "left")
+    series = filled.select(
+        *(F.col(f"__{k}").alias(k) for k in keys), F.col("__period").alias("period"),
+        F.when(F.col("period").isNull(), 0).otherwise(F.col("total")).alias("total"),
+    )
     previous = F.lag("total").over(Window.partitionBy(*keys).orderBy("period"))
     return (
         series.withColumn("previous", previous)
@@ -137,7 +153,7 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         F.max("value").alias("max"),
     )
     quartiles = exact_percentiles(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return plain.join(quartiles, "column")
+    return plain.join(quartiles, "column", "left")
 
 
 def correlation(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -185,8 +201,9 @@ def range_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str,
     """Pairs where ``start <= at < end``, found through calendar buckets instead of comparing all pairs.
 
     The ranges (right) are repeated once per period they touch; the points (left) keep one row. A hot period is split by
-    AQE's skew join, as nothing after the join relies on its partitioning.
+    AQE's skew join, as nothing after the join relies on its partitioning. A range that is empty or reversed holds nothing.
     """
+    right = right.where(F.col(start) < F.col(end))
     kind = left.schema[at].dataType
     first = F.date_trunc(grain, F.col(start)).cast("timestamp_ntz")
     step = "interval 3 months" if grain == "quarter" else f"interval 1 {grain}"

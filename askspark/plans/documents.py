@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askspark.functions.prompts import apply_text_fn
+from askspark.functions.text import overlap_extract
 from askspark.operators.chunking import chunk_documents, chunk_tier, drop_empty_documents
 from askspark.operators.lexical import TermIndex, term_stats
 from askspark.operators.retrieval import assemble_context, retrieve, sub_queries
@@ -44,14 +45,17 @@ def answer_questions(
 ) -> DataFrame:
     """(qid, strategy, found, context, answer, answer_error) for questions of (qid, question, strategy, reply).
 
-    ``reply`` is what a model wrote for the strategy: variations, sub-questions or a drafted answer. Questions without any
-    hit have no answer.
+    ``reply`` is what a model wrote for the strategy: variations, sub-questions or a drafted answer. Without ``fn`` the
+    answer is the sentence of the context that shares most words with the question. Questions without any hit have no
+    answer.
     """
     subs = embed_text(sub_queries(questions), dim=len(corpus.weights.idf), weights=corpus.weights)
     hits = retrieve(subs, corpus.index, corpus.vectors)
     contexts = assemble_context(questions, hits, corpus.chunks)
     filled = contexts.join(questions.select("qid", "question", "strategy"), "qid")
     answered = apply_text_fn(filled, PROMPT, fn)
+    if fn is None:
+        answered = answered.withColumn("answer", overlap_extract(F.col("context"), F.col("question")))
     return answered.select(
         "qid", "strategy", "found", "context", F.when(F.col("found"), F.col("answer")).alias("answer"), "answer_error"
     )

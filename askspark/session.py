@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +30,15 @@ def local_session(cores: int | str = 8, app: str = "askspark") -> SparkSession:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """New path under the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is made only where nothing is set (tests).
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where everything runs on one machine, a
+    temporary folder is made if nothing is set; it goes when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="askspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, "askspark", f"{purpose}-{uuid.uuid4().hex}")
 
@@ -44,12 +51,6 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str, few_files: int = 32) -> DataFrame:
-    """Rows of a table in a handful of files over all cores, for work that is heavy per row.
-
-    A scan has at most one task per file block, so a table in fewer files than cores leaves cores idle. Tables in more
-    files come back as they are: at scale nothing is shuffled. Rows are placed by ``key``, which repeats after a failure.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    return df.repartition(cores, key) if 0 < files < min(cores, few_files) else df
+def spread(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Rows over ``tasks`` tasks by ``key``, for work that is heavy per row on a table in few files; by default as they are."""
+    return df.repartition(tasks, key) if tasks else df

@@ -37,6 +37,7 @@ def main() -> None:
     only = [] if asked == "all" else [p for p in asked.split(",") if p] or HEADLINE
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("askspark.tasks", spark.sparkContext.defaultParallelism)  # each table is one file here
     seconds = {}
     for name, fn in registry.QUERIES.items():
         if only and not any(name.startswith(p) for p in only):

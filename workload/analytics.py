@@ -96,9 +96,11 @@ ORACLES["r06_join_tables_salted"] = JOIN_SQL
 
 def top_customers(spark, d):
     spend = R.group_totals(table(spark, d, "orders"), ["o_custkey"], {"total_spend": "round(sum(o_totalprice), 2)", "n_orders": "count(1)"})
-    # The ten winners are found before names are looked up, so the join has ten rows on one side.
-    best = R.top_k(spend, "total_spend", 10, ["o_custkey"]).withColumnRenamed("o_custkey", "c_custkey")
-    named = R.join_tables(best, table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    # Only customers that exist compete, and names are looked up for the ten winners alone.
+    customer = table(spark, d, "customer").select("c_custkey", "c_name")
+    spend = R.join_tables(spend.withColumnRenamed("o_custkey", "c_custkey"), customer.select("c_custkey"), ["c_custkey"], "left_semi")
+    best = R.top_k(spend, "total_spend", 10, ["c_custkey"])
+    named = R.join_tables(best, customer, ["c_custkey"])
     return named.orderBy(F.desc("total_spend"), "c_custkey")
 
 
@@ -158,6 +160,24 @@ def _(spark, d):
     return R.compare_groups(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "count(1)")
 
 
+@query("r10_compare_absent", """
+    SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS P, count(*) FILTER (o_orderstatus = 'none') AS "none",
+           count(*) FILTER (o_orderstatus = 'none') - count(*) FILTER (o_orderstatus = 'P') AS none_minus_P FROM orders GROUP BY o_custkey""")
+def _(spark, d):
+    return R.compare_groups(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ["P", "none"], "count(1)")
+
+
+@query("r07_top_k_orphans", """
+    SELECT c_custkey, round(sum(o_totalprice), 2) AS total_spend, c_name FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE c_custkey % 2 = 0 GROUP BY c_custkey, c_name ORDER BY total_spend DESC, c_custkey LIMIT 10""")
+def _(spark, d):
+    """Orders of customers that the second table lacks take no place among the ten."""
+    spend = R.group_totals(table(spark, d, "orders"), ["o_custkey"], {"total_spend": "round(sum(o_totalprice), 2)"})
+    some = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    known = R.join_tables(spend.withColumnRenamed("o_custkey", "c_custkey"), some.select("c_custkey"), ["c_custkey"], "left_semi")
+    return R.join_tables(R.top_k(known, "total_spend", 10, ["c_custkey"]), some, ["c_custkey"])
+
+
 @query("r11_trend_monthly", """
     SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
     FROM orders GROUP BY 1""")
@@ -184,6 +204,32 @@ def _(spark, d):
         "growth_rate": F.round("growth_rate", 6)})
 
 
+@query("r12_growth_gaps", """
+    WITH o AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::TIMESTAMP AS period, sum(o_totalprice) AS t FROM orders
+               WHERE month(o_orderdate) NOT IN (2, 7, 8) GROUP BY ALL),
+    cal AS (SELECT o_orderpriority, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS period FROM o GROUP BY o_orderpriority),
+    s AS (SELECT o_orderpriority, period, coalesce(t, 0) AS t FROM cal LEFT JOIN o USING (o_orderpriority, period)),
+    p AS (SELECT *, lag(t) OVER (PARTITION BY o_orderpriority ORDER BY period) AS b FROM s)
+    SELECT o_orderpriority, period, round(t, 2) AS total, round(b, 2) AS previous, round(t - b, 2) AS change,
+           round((t - b) / nullif(b, 0), 6) AS growth_rate FROM p""")
+def _(spark, d):
+    out = R.growth(table(spark, d, "orders").where("month(o_orderdate) NOT IN (2, 7, 8)"), "o_orderdate", "month", "o_totalprice", ["o_orderpriority"])
+    return out.withColumns({
+        "total": F.round("total", 2), "previous": F.round("previous", 2), "change": F.round("change", 2),
+        "growth_rate": F.round("growth_rate", 6)})
+
+
+@query("r13_describe_sparse", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stddev, min(x) AS "min", max(x) AS "max",
+           round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75
+    FROM (SELECT {e} AS x FROM lineitem)""" for c, e in (("l_tax", "l_tax"), ("nothing", "CAST(NULL AS DOUBLE)"))))
+def _(spark, d):
+    """A column without any value has a row as well."""
+    lines = table(spark, d, "lineitem").selectExpr("l_tax", "CAST(NULL AS DOUBLE) AS nothing")
+    out = R.describe_numeric(lines, ["l_tax", "nothing"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "q25", "q50", "q75")})
+
+
 DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -240,6 +286,17 @@ def _(spark, d):
     return R.group_totals(pairs, ["span_start"], {"n_orders": "sum(n)", "spend": "round(sum(spend), 2)"})
 
 
+@query("r06_range_join_reversed", """
+    SELECT e.event_id, r.event_id AS range_id FROM events e JOIN events r ON r.event_id % 50 = 0
+    AND e.ts >= r.ts AND e.ts < CASE WHEN r.event_id % 100 = 0 THEN r.ts + INTERVAL 30 MINUTES ELSE r.ts - INTERVAL 3 DAYS END""")
+def _(spark, d):
+    """Ranges that end before they start hold nothing."""
+    events = table(spark, d, "events")
+    end = F.when(F.col("event_id") % 100 == 0, F.col("ts") + F.expr("INTERVAL 30 MINUTES")).otherwise(F.col("ts") - F.expr("INTERVAL 3 DAYS"))
+    ranges = events.where("event_id % 50 = 0").select(F.col("event_id").alias("range_id"), F.col("ts").alias("low"), end.alias("high"))
+    return R.range_join(events.select("event_id", "ts"), ranges, "ts", "low", "high", "day").select("event_id", "range_id")
+
+
 def guarded(name: str, sql: str, oracle: str | None = None, max_rows: int | None = 100):
     QUERIES[name] = lambda spark, d: guarded_sql(spark, sql, paths(d), max_rows).rows
     ORACLES[name] = oracle or sql

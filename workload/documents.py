@@ -347,4 +347,7 @@ def _(spark, d):
     SELECT conv_id, turn, regexp_replace(regexp_extract('Asked by ' || role || ': ' || text, '(?s)^\s*((?:[^.]*\.){1,2}|.*)', 1),
         '^\s+|\s+$', '', 'g') AS answer, NULL::VARCHAR AS answer_error FROM conversations""")
 def _(spark, d):
-    return apply_text_fn(table(spark, d, "conversations"), "Asked by {role}: {text}").drop("role", "text")
+    def first_two_sentences(prompts):
+        return prompts.str.extract(r"(?s)^\s*((?:[^.]*\.){1,2}|.*)", expand=False).str.strip()
+
+    return apply_text_fn(table(spark, d, "conversations"), "Asked by {role}: {text}", first_two_sentences).drop("role", "text")

@@ -105,9 +105,9 @@ FIXED_SQL = "SELECT doc_id, text, 500 AS chunk_size, 50 AS chunk_overlap FROM do
 
 def _ingest(spark, d):
     out = scratch_path(spark, "ingest")
-    few = len(table(spark, d, "documents").inputFiles()) < 8
-    tasks = spark.sparkContext.defaultParallelism if few else None
-    jobs.stream_chunks(stream(spark, d, "documents"), out, scratch_path(spark, "ingest-progress"), tasks=tasks).awaitTermination()
+    tasks = spark.conf.get("askspark.tasks", None)
+    progress = scratch_path(spark, "ingest-progress")
+    jobs.stream_chunks(stream(spark, d, "documents"), out, progress, tasks=int(tasks) if tasks else None).awaitTermination()
     return out
 
 

@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """Table for work that is heavy per row."""
-    return spread(table(spark, sf_dir, name), key)
+    """Table for work that is heavy per row; the setting ``askspark.tasks`` spreads it over so many tasks."""
+    tasks = spark.conf.get("askspark.tasks", None)
+    return spread(table(spark, sf_dir, name), key, int(tasks) if tasks else None)
 
 
 def paths(sf_dir: str) -> dict[str, str]:
@@ -112,6 +113,11 @@ CONTENT = case("conv_id + turn", [
     "'{\"kind\":\"note\",\"n\":' || CAST(turn AS STRING) || '}'",
     "'[{\"type\":\"text\",\"text\":\"\"}]'",
     "'[broken ' || text",
+    "'[1, 2, 3]'",
+    "'[1] see ' || text",
+    "'[[\"a\"], \"b\"]'",
+    "'[\"a\", 2]'",
+    "'{\"text\":\"x\"} and more'",
 ])
 STRATEGY_REPLY = case("conv_id + turn", [
     "'hyde.'", "'**Expansion**'", "'unsure'", "' none '", "'DECOMPOSITION!'", "text", "'E-X-P-A-N-S-I-O-N'",

@@ -216,7 +216,7 @@ def _(spark, d):
 
 @query("v07_normalize_content", f"""
     SELECT conv_id, turn, CASE
-        WHEN json_type(j) = 'ARRAY' THEN coalesce((SELECT string_agg(t, chr(10) ORDER BY i) FROM (
+        WHEN json_type(j) = 'ARRAY' AND len(list_filter(json_extract(j, '$[*]'), lambda b: json_type(b) NOT IN ('VARCHAR', 'OBJECT'))) = 0 THEN coalesce((SELECT string_agg(t, chr(10) ORDER BY i) FROM (
             SELECT i, CASE WHEN json_type(b) = 'VARCHAR' THEN json_extract_string(b, '$') ELSE nullif(json_extract_string(b, '$.text'), '') END AS t
             FROM (SELECT unnest(json_extract(j, '$[*]')) AS b, unnest(range(len(json_extract(j, '$[*]')))) AS i))), '')
         WHEN json_type(j) = 'OBJECT' THEN coalesce(nullif(json_extract_string(j, '$.text'), ''), content)

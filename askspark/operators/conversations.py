@@ -1,7 +1,8 @@
 """Jobs over tables of chats: one row per message (conv_id, turn, role, text) or per session.
 
-``turn`` is a position column, unique within its chat. Chats of any length are handled in parts of ``PART_TURNS``
-consecutive positions, so no operator collects a whole chat into one task; a chat shorter than that is one part.
+``turn`` is a position column, unique within its chat. Texts of whole chats are made in parts of ``part_turns`` consecutive
+positions, so no operator collects a chat of any length into one task. Transcripts and exports always have one row per chat
+and part, in which position p belongs to part floor(p / part_turns); summaries always have one row per chat.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ def delete_sessions(sessions: DataFrame, ids: DataFrame) -> DataFrame:
     return sessions.join(ids.select("session_id"), "session_id", "left_anti")
 
 
-def _part(turn: Column) -> Column:
-    return F.floor(turn / PART_TURNS)
+def _part(turn: Column, part_turns: int = PART_TURNS) -> Column:
+    return F.floor(turn / part_turns)
 
 
 def split_for_summary(messages: DataFrame, trigger: int = SUMMARY_TRIGGER, keep: int = SUMMARY_KEEP) -> DataFrame:
@@ -101,17 +102,17 @@ def transcript_line(role: Column, text: Column, max_chars: int = LINE_CHARS) ->
 
 
 def _joined(value: str, separator: str) -> Column:
-    """The group's values in turn order; only for groups of at most ``PART_TURNS`` rows."""
+    """The group's values in turn order; only for groups of bounded size."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", value)))
     return F.array_join(F.transform(ordered, lambda t: t[value]), separator)
 
 
-def format_transcript(messages: DataFrame, max_chars: int = LINE_CHARS) -> DataFrame:
+def format_transcript(messages: DataFrame, max_chars: int = LINE_CHARS, part_turns: int = PART_TURNS) -> DataFrame:
     """Transcript per chat and part (conv_id, part, transcript); parts joined by newlines give the whole."""
     return (
         messages.select(
             "conv_id",
-            _part(F.col("turn")).alias("part"),
+            _part(F.col("turn"), part_turns).alias("part"),
             "turn",
             transcript_line(F.col("role"), F.col("text"), max_chars).alias("line"),
         )
@@ -120,10 +121,28 @@ def format_transcript(messages: DataFrame, max_chars: int = LINE_CHARS) -> DataF
     )
 
 
-def cut_to_budget(previous: Column, transcript: Column, max_chars: int = SUMMARY_CHARS) -> Column:
-    """Default summary without a model: the previous summary and the oldest lines, cut to a character budget."""
-    whole = F.when(F.length(previous) > 0, F.concat(previous, F.lit("\n"), transcript)).otherwise(transcript)
-    return F.substring(whole, 1, max_chars)
+def fade_to_budget(previous: Column, transcript: Column, max_chars: int = SUMMARY_CHARS) -> Column:
+    """Default summary without a model: the end of the new lines and the end of the previous summary, in a character budget.
+
+    New lines get at least half of it, so later turns always enter; what is oldest fades first.
+    """
+    room = F.greatest(F.lit(max_chars // 2), max_chars - F.length(previous) - 1)
+    lines = F.right(transcript, room)
+    before = F.right(previous, max_chars - F.length(lines) - 1)
+    return F.when(F.length(before) > 0, F.concat(before, F.lit("\n"), lines)).otherwise(F.right(transcript, F.lit(max_chars)))
+
+
+def _fold(parts: DataFrame, summarize: Callable[[Column, Column], Column], fan: int) -> DataFrame:
+    """(conv_id, transcript): one text per chat. Chats of several parts have them summarised, and the summaries joined as the
+    lines of fewer parts, until one is left."""
+    highest = parts.agg(F.max("part")).first()[0] or 0
+    while highest > 0:
+        several = parts.groupBy("conv_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+        line = F.when(F.col("several"), summarize(F.lit(""), F.col("transcript"))).otherwise(F.col("transcript"))
+        lines = parts.join(several, "conv_id").select("conv_id", F.col("part").alias("turn"), line.alias("line"))
+        parts = lines.groupBy("conv_id", _part(F.col("turn"), fan).alias("part")).agg(_joined("line", "\n").alias("transcript"))
+        highest //= fan
+    return parts.select("conv_id", "transcript")
 
 
 def compact_history(
@@ -132,32 +151,32 @@ def compact_history(
     summarize: Callable[[Column, Column], Column] | None = None,
     trigger: int = SUMMARY_TRIGGER,
     keep: int = SUMMARY_KEEP,
+    part_turns: int = PART_TURNS,
+    fan: int = 16,
 ) -> DataFrame:
-    """New summary per chat (conv_id, part, summary) from the previous one and the turns that became old.
+    """New summary per chat (conv_id, summary), one row each, from the previous one and the turns that became old.
 
-    Chats without old turns keep their summary. The default looks at the first ``SUMMARY_CHARS`` characters only, and
-    every line has at least one, so the earliest ``SUMMARY_CHARS`` turns are enough and nothing longer is collected. A
-    model given as ``summarize`` sees every old turn, one part of a chat at a time.
+    Chats without old turns keep their summary. The default shows at most ``SUMMARY_CHARS`` characters from the end, and
+    every line has at least one, so nothing before the latest ``SUMMARY_CHARS`` old turns can show and no more is collected.
+    A model given as ``summarize`` (previous summary, text) sees every old turn: a chat of several parts has each part
+    summarised, ``fan`` summaries at a time made into one, and the last text summarised with the previous summary.
     """
     old = split_for_summary(messages, trigger, keep).where("is_old").select("conv_id", "turn", "role", "text")
     if summarize is None:
-        earliest = Window.partitionBy("conv_id").orderBy("turn")
-        old = old.withColumn("rn", F.row_number().over(earliest)).where(F.col("rn") <= SUMMARY_CHARS).drop("rn")
+        latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+        old = old.withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= SUMMARY_CHARS).drop("rn")
         text = (
             old.withColumn("line", transcript_line(F.col("role"), F.col("text")))
             .groupBy("conv_id")
             .agg(_joined("line", "\n").alias("transcript"))
-            .withColumn("part", F.lit(0).cast("bigint"))
         )
-        summarize = cut_to_budget
+        summarize = fade_to_budget
     else:
-        text = format_transcript(old)
+        text = _fold(format_transcript(old, part_turns=part_turns), summarize, fan)
     kept = previous.select("conv_id", F.coalesce("summary", F.lit("")).alias("before"))
-    changed = text.join(kept, "conv_id").select("conv_id", "part", summarize(F.col("before"), F.col("transcript")).alias("summary"))
-    unchanged = kept.join(text.select("conv_id"), "conv_id", "left_anti").select(
-        "conv_id", F.lit(0).cast("bigint").alias("part"), F.col("before").alias("summary")
-    )
-    return changed.unionByName(unchanged)
+    both = kept.join(text, "conv_id", "left")
+    summary = F.when(F.col("transcript").isNull(), F.col("before")).otherwise(summarize(F.col("before"), F.col("transcript")))
+    return both.select("conv_id", summary.alias("summary"))
 
 
 def final_answer(messages: DataFrame) -> DataFrame:
@@ -196,16 +215,16 @@ def prepare_turns(messages: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> Dat
     })
 
 
-def export_markdown(messages: DataFrame, sessions: DataFrame, as_of: str) -> DataFrame:
+def export_markdown(messages: DataFrame, sessions: DataFrame, as_of: str, part_turns: int = PART_TURNS) -> DataFrame:
     """Markdown per chat and part (conv_id, part, markdown): head, optional summary, then every message.
 
-    Parts concatenated in order give the document; all chats of up to ``PART_TURNS`` turns have just one.
+    Parts concatenated in order give the document.
     """
     role = F.upper(F.coalesce("role", F.lit("unknown")))
     # Layout of the exported document.
     icon = F.when(role == "USER", "👤").otherwise("🤖")
     block = F.concat(F.lit("### "), icon, F.lit(" "), role, F.lit("\n\n"), strip(F.col("text")), F.lit("\n\n---\n\n"))
-    blocks = messages.select("conv_id", _part(F.col("turn")).alias("part"), "turn", block.alias("block"))
+    blocks = messages.select("conv_id", _part(F.col("turn"), part_turns).alias("part"), "turn", block.alias("block"))
     head = F.concat(
         F.lit("# 💬 "), F.col("title"), F.lit(f"\n\n**Exported**: {as_of}\n\n"),
         F.when(F.length("summary") > 0, F.concat(F.lit("## 📝 Conversation Summary\n\n"), F.col("summary"), F.lit("\n\n")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askspark.functions.text import whitespace_words, words
-from askspark.operators.search import MAX_SHARED_ROWS, top_k_join
+from askspark.operators.search import MAX_SHARED_BYTES, table_bytes, top_k_join
 from askspark.session import cut_lineage
 
 TOKENIZERS = {"words": words, "whitespace": whitespace_words}
@@ -35,7 +35,7 @@ class TermIndex(NamedTuple):
 
 def term_stats(chunks: DataFrame, key: str, col: str = "text", tokenizer: str = "words") -> TermIndex:
     """Index tables of a chunk table with unique keys; each is lazy, and can be written as Parquet and read back."""
-    tokens = chunks.select(F.col(key).alias("key"), TOKENIZERS[tokenizer](F.col(col)).alias("tokens"))
+    tokens = chunks.select(F.col(key).alias("key"), F.coalesce(TOKENIZERS[tokenizer](F.col(col)), F.array().cast("array<string>")).alias("tokens"))
     return _tables(tokens.withColumn("n_tokens", F.size("tokens")), tokenizer)
 
 
@@ -144,13 +144,13 @@ CORPUS = ""  # stands for the whole corpus among the terms: no token is empty
 def _term_counts(index: TermIndex, wanted: DataFrame, whole: bool) -> DataFrame:
     """(term, df, n_tokens) of the wanted terms, or all, plus one row for the corpus: its chunks and their tokens.
 
-    One pass over the chunks, whose small result is kept, or none if the index is stored. Up to ``MAX_SHARED_ROWS`` wanted
-    terms are sent to every task and other tokens are dropped before counting; more are picked out after counting, when
+    One pass over the chunks, whose small result is kept, or none if the index is stored. Up to ``MAX_SHARED_BYTES`` of
+    wanted terms are sent to every task and other tokens are dropped before counting; more are picked out after counting, when
     each term is one row.
     """
     spark = index.chunks.sparkSession
     kept = cut_lineage(wanted.unionByName(spark.range(1).select(F.lit(CORPUS).alias("term"))).distinct(), "query-terms")
-    few = not whole and kept.count() <= MAX_SHARED_ROWS
+    few = not whole and table_bytes(kept) <= MAX_SHARED_BYTES
     if index.stored:
         total = F.round(F.col("n_chunks") * F.col("mean_tokens")).cast("bigint")
         corpus = index.stats.select(F.lit(CORPUS).alias("term"), F.col("n_chunks").alias("df"), total.alias("n_tokens"))
@@ -174,7 +174,7 @@ def bm25_top_k(
     b: float = 0.75,
     idf: str = "plus_one",
     epsilon: float = 0.25,
-    max_shared_rows: int | None = None,
+    max_shared_bytes: int | None = None,
 ) -> DataFrame:
     """(qid, key, score, rank): best chunks by keywords for every query of (qid, text).
 
@@ -201,4 +201,4 @@ def bm25_top_k(
         value = F.when(F.log(odds) < 0, epsilon * mean).otherwise(F.log(odds))
     mean_tokens = corpus["n_tokens"] / corpus["df"]
     weighted = asked.join(df, "term").select("qid", "term", (F.col("qtf") * value).alias("weight"))
-    return top_k_join(index.chunks, weighted, _bm25(k1, b, mean_tokens), k, largest=True, max_shared_rows=max_shared_rows)
+    return top_k_join(index.chunks, weighted, _bm25(k1, b, mean_tokens), k, largest=True, max_shared_bytes=max_shared_bytes)

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_SHARED_ROWS = 200_000  # query rows sent to every task; above it queries are shuffled in blocks
-SLICE_ROWS = 100_000  # corpus rows per group when queries are shuffled
+MAX_SHARED_BYTES = 64 << 20  # queries sent to every task; above it queries are shuffled in blocks of this size
+SLICE_BYTES = 256 << 20  # corpus per group when queries are shuffled
 SCORES_AT_ONCE = 4_000_000
 SCORE_DIGITS = 9  # scores closer than this tie, and ties go to the smaller key
 
@@ -36,6 +37,7 @@ def _best(prepare: Callable, k: int, largest: bool) -> Callable:
                 part = batch.slice(offset, step)
                 # query x row; -inf where nothing matches
                 found = np.round(sign * score(part), digits)
+                found[np.isnan(found)] = -np.inf
                 if found.shape[1] > k:
                     bar = np.maximum(floor, np.partition(found, -k, axis=1)[:, -k])
                 else:
@@ -73,39 +75,53 @@ def _best(prepare: Callable, k: int, largest: bool) -> Callable:
     return table
 
 
+def table_bytes(df: DataFrame) -> int:
+    """About what the rows take in memory: bytes of text, eight for each number."""
+
+    def size(name: str, kind: T.DataType):
+        c = F.col(name)
+        if isinstance(kind, T.ArrayType):
+            text = isinstance(kind.elementType, T.StringType)
+            return F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16) if text else F.size(c) * 8
+        return F.octet_length(c) + 16 if isinstance(kind, T.StringType | T.BinaryType) else F.lit(8)
+
+    row = sum((F.greatest(F.coalesce(size(f.name, f.dataType), F.lit(0)), F.lit(0)) for f in df.schema), F.lit(16))
+    return int(df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0])
+
+
 def top_k_join(
     corpus: DataFrame,
     queries: DataFrame,
     prepare: Callable,
     k: int,
     largest: bool,
-    max_shared_rows: int | None = None,
-    slice_rows: int | None = None,
+    max_shared_bytes: int | None = None,
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """(qid, key, score, rank) of the best ``k`` corpus rows per query.
 
     ``corpus`` has a column ``key``, ``queries`` a column ``qid`` and one or more rows per query. ``prepare(queries)``
-    runs in tasks and gives the query ids and a function that scores a batch of the corpus. Query tables up to
-    ``max_shared_rows`` rows are sent to every task and the corpus is not shuffled. Larger ones are cut into blocks that
-    meet every slice of the corpus in bounded groups.
+    runs in tasks and gives the query ids and a function that scores a batch of the corpus. Query tables of up to
+    ``max_shared_bytes`` are sent to every task and the corpus is not shuffled. Larger ones are cut into blocks of about that
+    size that meet every slice of the corpus, of about ``slice_bytes``, in bounded groups. The rows are the same either way.
     """
-    limit = max_shared_rows or MAX_SHARED_ROWS
+    limit = max_shared_bytes or MAX_SHARED_BYTES
     spark = corpus.sparkSession
     qid, key = queries.schema["qid"].dataType.simpleString(), corpus.schema["key"].dataType.simpleString()
     out = f"qid {qid}, key {key}, score double"
     arrow = pa.schema([("qid", _arrow_type(qid)), ("key", _arrow_type(key)), ("score", pa.float64())])
     best = _best(prepare, k, largest)
-    few = queries.limit(limit + 1).toArrow()
-    if few.num_rows <= limit:
-        shared = spark.sparkContext.broadcast(few)
+    size = table_bytes(queries)
+    if size <= limit:
+        shared = spark.sparkContext.broadcast(queries.toArrow())
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from best(shared.value, batches, arrow).to_batches()
 
         local = corpus.mapInArrow(task, out)
     else:
-        blocks = math.ceil(queries.count() / limit)
-        slices = math.ceil(corpus.count() / (slice_rows or SLICE_ROWS))
+        blocks = math.ceil(size / limit)
+        slices = max(1, math.ceil(table_bytes(corpus) / (slice_bytes or SLICE_BYTES)))
         q = queries.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn(
             "__slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
         )

@@ -18,11 +18,40 @@ from askspark.operators.search import top_k_join
 from askspark.session import cut_lineage
 
 
-MAX_QUERIES = 50_000  # query vectors sent to every task
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows whose vector is there and holds numbers only; others have no distance."""
+    return df.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
-def _distance(metric: str):
-    """Scorer factory for ``top_k_join``; query rows are (qid, vector)."""
+def _settle():
+    """Function that makes squared distances exact where they can matter: (queries, vectors, squares from products, k).
+
+    A square from products is off by a small part of the norms, so each query keeps what is within that of its k-th best;
+    those are summed from differences, and the rest cannot be among the k best.
+    """
+
+    def settle(q: np.ndarray, v: np.ndarray, square: np.ndarray, k: int) -> np.ndarray:
+        if not square.size:
+            return square
+        error = 8 * np.finfo(np.float64).eps * q.shape[1] * ((q * q).sum(axis=1).max() + (v * v).sum(axis=1).max())
+        bar = np.partition(square, k - 1, axis=1)[:, k - 1] if square.shape[1] > k else np.full(len(q), np.inf)
+        i, j = np.nonzero((square <= bar[:, None] + 2 * error) & np.isfinite(square))
+        out = np.full(square.shape, np.inf)
+        for start in range(0, len(i), 50_000):
+            a, b = i[start : start + 50_000], j[start : start + 50_000]
+            out[a, b] = ((q[a] - v[b]) ** 2).sum(axis=1)
+        return out
+
+    return settle
+
+
+def _distance(metric: str, k: int):
+    """Scorer factory for ``top_k_join``; query rows are (qid, vector). The cosine with a zero vector is 0."""
+    settle = _settle()
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm > 0, norm, 1.0)
 
     def matrix(column) -> np.ndarray:
         lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -32,14 +61,14 @@ def _distance(metric: str):
     def prepare(queries: pa.Table):
         q = matrix(queries.column("vector"))
         if metric == "cosine":
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+            q = unit(q)
         q_square = (q * q).sum(axis=1)[:, None]
 
         def score(batch) -> np.ndarray:
             v = matrix(batch.column("vector"))
             if metric == "cosine":
-                return 1.0 - q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            return np.maximum(q_square + (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T), 0.0)
+                return 1.0 - q @ unit(v).T
+            return settle(q, v, np.maximum(q_square + (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T), 0.0), k)
 
         return queries.column("qid").combine_chunks(), score
 
@@ -47,22 +76,23 @@ def _distance(metric: str):
 
 
 def dense_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 4, metric: str = "l2", max_shared_rows: int | None = None
+    queries: DataFrame, vectors: DataFrame, k: int = 4, metric: str = "l2", max_shared_bytes: int | None = None
 ) -> DataFrame:
     """(qid, key, score, rank): exact nearest vectors for every query vector.
 
     ``queries`` is (qid, vector), one row per query; ``vectors`` is (key, vector). The score is the squared Euclidean
-    distance, or one minus the cosine with ``metric="cosine"``; smaller is nearer.
+    distance, or one minus the cosine with ``metric="cosine"`` (1 for a zero vector); smaller is nearer. Vectors that are
+    NULL or hold a NULL or NaN take no part.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
     return top_k_join(
-        vectors.where("vector IS NOT NULL").select("key", "vector"),
-        queries.where("vector IS NOT NULL").select("qid", "vector"),
-        _distance(metric),
+        _usable(vectors).select("key", "vector"),
+        _usable(queries).select("qid", "vector"),
+        _distance(metric, k),
         k,
         largest=False,
-        max_shared_rows=max_shared_rows or MAX_QUERIES,
+        max_shared_bytes=max_shared_bytes,
     )
 
 
@@ -77,9 +107,10 @@ class Cells(NamedTuple):
 def build_cells(vectors: DataFrame, n_cells: int = 256) -> Cells:
     """Assign every vector to its nearest pivot and store the result, sorted by cell within each file.
 
-    The pivots are ``n_cells`` vectors of the corpus chosen by key hash. They only decide how much a search can skip.
+    The pivots are ``n_cells`` vectors of the corpus chosen by key hash. They only decide how much a search can skip; about
+    the square root of the number of vectors balances finding cells and reading them.
     """
-    given = vectors.where("vector IS NOT NULL").select("key", "vector")
+    given = _usable(vectors).select("key", "vector")
     chosen = given.orderBy(F.xxhash64("key"), "key").limit(n_cells).toArrow()
     pivots = np.array(chosen.column("vector").to_pylist(), dtype=np.float64)
 
@@ -106,15 +137,18 @@ def build_cells(vectors: DataFrame, n_cells: int = 256) -> Cells:
 def _reach(pivots: np.ndarray, k: int):
     """Function of query vectors: distances to every pivot, and a bound on the distance of the k-th neighbour.
 
-    Pivots are vectors of the corpus, so the k nearest pivots give the bound. The margin covers rounding.
+    Pivots are vectors of the corpus, so the k nearest pivots give the bound. The margin covers rounding, which grows with
+    the norms.
     """
+    widest = float(np.sqrt((pivots * pivots).sum(axis=1).max())) if len(pivots) else 0.0
 
     def reach(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         square = (q * q).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (q @ pivots.T)
         far = np.sqrt(np.maximum(square, 0.0))
         if far.shape[1] < k:
             return far, np.full(len(q), np.inf)
-        return far, np.partition(far, k - 1, axis=1)[:, k - 1] + 1e-5
+        margin = 1e-5 + 16 * np.sqrt(np.finfo(np.float64).eps * q.shape[1]) * (np.sqrt((q * q).sum(axis=1)) + widest)
+        return far, np.partition(far, k - 1, axis=1)[:, k - 1] + margin
 
     return reach
 
@@ -125,15 +159,22 @@ def dense_top_k_in_cells(queries: DataFrame, cells: Cells, k: int = 4) -> DataFr
     By the triangle inequality a vector at ``radius`` from its pivot is at least ``|distance to pivot - radius|`` away.
     Cells no query can reach are not read, and the others are compared only with the queries that reach them.
     """
-    radii, reach = cells.radii, _reach(cells.pivots, k)
-    asked = queries.where("vector IS NOT NULL").select("qid", "vector")
-    few = asked.select("vector").limit(MAX_QUERIES + 1).toArrow()
+    radii, reach, settle = cells.radii, _reach(cells.pivots, k), _settle()
+    asked = _usable(queries).select("qid", "vector")
+
+    def reached_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(radii), bool)
+        for batch in batches:
+            if batch.num_rows:
+                far, bound = reach(np.array(batch.column("vector").to_pylist(), dtype=np.float64))
+                found |= (far - radii[None, :] <= bound[:, None]).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found).astype(np.int32))], names=["cell"])
+
+    # at most one row per cell comes back, however many queries there are
+    reached = [r["cell"] for r in asked.select("vector").mapInArrow(reached_cells, "cell int").distinct().collect()]
     rows = cells.rows
-    if few.num_rows <= MAX_QUERIES and few.num_rows:
-        far, bound = reach(np.array(few.column("vector").to_pylist(), dtype=np.float64))
-        reached = np.flatnonzero((far - radii[None, :] <= bound[:, None]).any(axis=0))
-        if len(reached) < len(radii):
-            rows = rows.where(F.col("cell").isin(reached.tolist()))
+    if len(reached) < len(radii):
+        rows = rows.where(F.col("cell").isin(reached))
 
     def prepare(table: pa.Table):
         q = np.array(table.column("vector").to_pylist(), dtype=np.float64)
@@ -154,11 +195,11 @@ def dense_top_k_in_cells(queries: DataFrame, cells: Cells, k: int = 4) -> DataFr
                 square = np.maximum(q_square[near] + (part * part).sum(axis=1)[None, :] - 2.0 * (q[near] @ part.T), 0.0)
                 out_of_reach = np.abs(far[near, c][:, None] - radius[here][None, :]) > bound[near][:, None]
                 found[np.ix_(near, here)] = np.where(out_of_reach, np.inf, square)
-            return found
+            return settle(q, v, found, k)
 
         return table.column("qid").combine_chunks(), score
 
-    return top_k_join(rows, asked, prepare, k, largest=False, max_shared_rows=MAX_QUERIES)
+    return top_k_join(rows, asked, prepare, k, largest=False)
 
 
 def _counted(df: DataFrame, col: str, dim: int) -> DataFrame:

@@ -23,26 +23,26 @@ def read_sessions(spark: SparkSession, path: str, whole_files: bool = True) -> D
     return parsed.select(F.explode("m").alias("session_id", "s")).select("session_id", "s.*")
 
 
-def session_messages(sessions: DataFrame) -> DataFrame:
-    """One row per message of read sessions, numbered from 0 within the session."""
+def session_messages(sessions: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """One row per message of read sessions, numbered from 0 within the session; ``part_turns`` is that of the writer."""
     return sessions.select("session_id", F.coalesce("part", F.lit(0)).alias("part"), F.posexplode("messages").alias("pos", "m")).select(
-        "session_id", (F.col("part").cast("bigint") * PART_TURNS + F.col("pos")).alias("turn"), "m.role", "m.content"
+        "session_id", (F.col("part").cast("bigint") * part_turns + F.col("pos")).alias("turn"), "m.role", "m.content"
     )
 
 
-def write_sessions(sessions: DataFrame, messages: DataFrame, path: str) -> None:
+def write_sessions(sessions: DataFrame, messages: DataFrame, path: str, part_turns: int = PART_TURNS) -> None:
     """Write history as text, one JSON object keyed by session id per line.
 
     ``messages`` (session_id, turn, role, content) has turns numbered from 0 without gaps. A session is written in
-    parts of ``PART_TURNS`` turns, so that no line and no task has to hold a chat of any length.
+    parts of ``part_turns`` turns, so that no line and no task has to hold a chat of any length.
     """
     parts = (
-        messages.withColumn("part", F.floor(F.col("turn") / PART_TURNS).cast("int"))
+        messages.withColumn("part", F.floor(F.col("turn") / part_turns).cast("int"))
         .groupBy("session_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("turns"))
     )
     # Heads are repeated for each part of their session, so that a long session is joined under many keys.
-    last = messages.groupBy("session_id").agg(F.floor(F.max("turn") / PART_TURNS).cast("int").alias("last"))
+    last = messages.groupBy("session_id").agg(F.floor(F.max("turn") / part_turns).cast("int").alias("last"))
     heads = sessions.join(last, "session_id", "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))
     )

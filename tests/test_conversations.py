@@ -36,9 +36,19 @@ def test_compact(spark, messages):
     previous = spark.createDataFrame([(1, "before"), (2, None), (3, "kept")], "conv_id bigint, summary string")
     out = {r["conv_id"]: r["summary"] for r in V.compact_history(messages, previous).collect()}
     assert out[3] == "kept" and out[2] == "\n".join(f"[{'USER' if i % 2 == 0 else 'ASSISTANT'}]: t{i}" for i in range(8))
-    assert out[1].startswith("before\n[USER]: m0\n") and len(out[1]) == V.SUMMARY_CHARS
-    hooked = V.compact_history(messages, previous, lambda before, text: F.concat(before, F.lit("|"), F.length(text).cast("string")))
-    assert hooked.where("conv_id = 1").count() == 3 and hooked.where("conv_id = 3").first()["summary"] == "kept"
+    assert out[1].startswith("before\n") and out[1].endswith(f"m{LONG - 7}") and len(out[1]) == V.SUMMARY_CHARS
+    full = spark.createDataFrame([(1, "s" * V.SUMMARY_CHARS)], "conv_id bigint, summary string")
+    again = V.compact_history(messages, full).first()["summary"]
+    assert again.endswith(f"m{LONG - 7}") and len(again) == V.SUMMARY_CHARS and again.startswith("sss")
+
+
+def test_a_model_sees_every_old_turn_once_and_leaves_one_summary(spark, messages):
+    previous = spark.createDataFrame([(1, "before"), (2, None), (3, "kept")], "conv_id bigint, summary string")
+    squeeze = lambda before, text: F.concat(before, F.lit("<"), F.regexp_replace(text, r"\[[A-Z]+\]: |\n", ""), F.lit(">"))
+    rows = V.compact_history(messages, previous, squeeze, part_turns=100, fan=4).collect()
+    out = {r["conv_id"]: r["summary"] for r in rows}
+    assert len(rows) == 3 and out[3] == "kept" and out[2] == "<" + "".join(f"t{i}" for i in range(8)) + ">"
+    assert out[1].startswith("before<") and out[1].replace("<", "").replace(">", "") == "before" + "".join(f"m{i}" for i in range(LONG - 6))
 
 
 def test_final_answer(spark):

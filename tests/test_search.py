@@ -39,11 +39,11 @@ def index(spark, tokenizer="words"):
     return L.term_stats(rows, "id", tokenizer=tokenizer)
 
 
-@pytest.mark.parametrize("kind,tokenizer,shared", [("plus_one", "words", None), ("plus_one", "words", 2), ("okapi", "whitespace", None)])
+@pytest.mark.parametrize("kind,tokenizer,shared", [("plus_one", "words", None), ("plus_one", "words", 64), ("okapi", "whitespace", None)])
 def test_bm25(spark, kind, tokenizer, shared):
     tokenize = (lambda t: re.findall("[a-z0-9]+", t.lower())) if tokenizer == "words" else str.split
     queries = spark.createDataFrame(list(QUERIES.items()), "qid int, text string")
-    rows = L.bm25_top_k(queries, index(spark, tokenizer), idf=kind, max_shared_rows=shared).collect()
+    rows = L.bm25_top_k(queries, index(spark, tokenizer), idf=kind, max_shared_bytes=shared).collect()
     for qid, text in QUERIES.items():
         got = [(r["key"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == qid]
         want = brute_bm25(TEXTS, text, 4, tokenize, kind)
@@ -60,7 +60,7 @@ def test_stored_index_gives_the_same_hits(spark, tmp_path):
     assert sorted(stored.postings.collect()) == sorted(fresh.postings.collect())
 
 
-@pytest.mark.parametrize("metric,shared", [("l2", None), ("l2", 3), ("cosine", None)])
+@pytest.mark.parametrize("metric,shared", [("l2", None), ("l2", 256), ("cosine", None)])
 def test_dense(spark, metric, shared):
     rng = np.random.default_rng(3)
     points = rng.normal(size=(300, 8)).astype(np.float32)
@@ -68,7 +68,7 @@ def test_dense(spark, metric, shared):
     asked = np.vstack([points[0], rng.normal(size=(9, 8))]).astype(np.float32)
     vectors = spark.createDataFrame([(f"k{i:03d}", p.tolist()) for i, p in enumerate(points)] + [("none", None)], "key string, vector array<float>")
     queries = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(asked)], "qid int, vector array<float>")
-    rows = V.dense_top_k(queries, vectors.repartition(6), k=5, metric=metric, max_shared_rows=shared).collect()
+    rows = V.dense_top_k(queries, vectors.repartition(6), k=5, metric=metric, max_shared_bytes=shared).collect()
     a, b = asked.astype(float), points.astype(float)
     if metric == "cosine":
         far = 1 - (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
@@ -139,3 +139,32 @@ def test_text_vectors_find_their_own_text(spark):
     hits = V.dense_top_k(asked, vectors, k=1).collect()
     assert all(h["qid"] == h["key"] and h["score"] == pytest.approx(0, abs=1e-5) for h in hits) and len(hits) == 3
     assert vectors.where("key = 3").select(F.array_max(F.transform("vector", F.abs))).first()[0] == 0
+
+
+@pytest.mark.parametrize("shared", [None, 300])
+def test_unusable_vectors_cost_no_hits(spark, shared):
+    good = [(i, [float(i), 1.0]) for i in range(4)]
+    bad = [(10, [None, 1.0]), (11, [float("nan"), 1.0]), (12, [0.0, 0.0]), (13, [0.0, 0.0])]
+    vectors = spark.createDataFrame(good + bad, "key int, vector array<double>")
+    queries = spark.createDataFrame([(1, [0.1, 1.0]), (2, [None, 1.0]), (3, [0.0, 0.0])], "qid int, vector array<double>")
+    near = V.dense_top_k(queries, vectors, k=2, max_shared_bytes=shared).collect()
+    assert {(r["qid"], r["key"]) for r in near} == {(1, 0), (1, 1), (3, 12), (3, 13)}
+    around = V.dense_top_k(queries, vectors, k=5, metric="cosine", max_shared_bytes=shared).collect()
+    assert [r["key"] for r in sorted(around, key=lambda r: (r["qid"], r["rank"]))] == [0, 1, 2, 3, 12, 0, 1, 2, 3, 12]
+
+
+def test_large_norms_stay_exact(spark):
+    rng = np.random.default_rng(9)
+    points = 1e5 + rng.normal(size=(400, 8)) * 2e-3
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "key bigint, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, points[i].tolist()) for i in range(0, 400, 40)], "qid bigint, vector array<double>")
+    exact = ((points[::40, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    want = {(40 * q, k) for q in range(10) for _, k in sorted((round(s, 9), k) for k, s in enumerate(exact[q]))[:4]}
+    for hits in (V.dense_top_k(queries, vectors), V.dense_top_k_in_cells(queries, V.build_cells(vectors, 20))):
+        assert {(r["qid"], r["key"]) for r in hits.collect()} == want
+
+
+def test_null_text_is_no_hit(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a cat")], "id bigint, text string")
+    queries = spark.createDataFrame([(1, "cat"), (2, None)], "qid int, text string")
+    assert [(r["qid"], r["key"]) for r in L.bm25_top_k(queries, L.term_stats(rows, "id")).collect()] == [(1, 2)]

@@ -302,6 +302,16 @@ def guarded(name: str, sql: str, oracle: str | None = None, max_rows: int | None
     ORACLES[name] = oracle or sql
 
 
+QUALIFIED = "SELECT o_orderkey, c_name FROM {orders} o JOIN {customer} c ON o_custkey = c_custkey WHERE o_totalprice > 300000 ORDER BY o_orderkey LIMIT 90"
+
+
+@query("g05_guarded_sql_qualified", QUALIFIED.format(orders="orders", customer="customer"))
+def _(spark, d):
+    """Generated SQL names its tables by database and backquotes; one table comes through a loader."""
+    tables = {f"shop.{n}": p for n, p in paths(d).items()} | {"shop.customer": lambda s: s.read.parquet(paths(d)["customer"])}
+    return guarded_sql(spark, QUALIFIED.format(orders="`shop`.`orders`", customer="shop.`customer`"), tables).rows
+
+
 guarded("g05_guarded_sql", """
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'
     ORDER BY o_totalprice DESC, o_orderkey""", """

@@ -206,10 +206,30 @@ def _(spark, d):
 @query("d06_dense_top_k_blocks", DENSE_SQL)
 def _(spark, d):
     # The way large query tables take: queries and corpus meet in bounded groups.
-    hits = V.dense_top_k(query_vectors(spark, d), vectors(spark, d), max_shared_rows=16)
+    hits = V.dense_top_k(query_vectors(spark, d), vectors(spark, d), max_shared_bytes=8192)
     return hits.withColumn("score", F.round("score", 6))
 
 
+def mixed_vectors(spark, d):
+    """Some zero vectors, and some with a NULL or NaN inside, among the others."""
+    spoilt = "CASE vec_id % 7 WHEN 0 THEN transform(embedding, x -> CAST(0 AS FLOAT)) WHEN 1 THEN transform(embedding, (x, i) -> CASE i WHEN 3 THEN NULL ELSE x END) WHEN 2 THEN transform(embedding, (x, i) -> CASE i WHEN 3 THEN CAST('NaN' AS FLOAT) ELSE x END) ELSE embedding END AS vector"
+    return table(spark, d, "embeddings").selectExpr("vec_id AS key", spoilt)
+
+
+@query("d06_dense_top_k_cosine", """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE embedding::DOUBLE[] END AS v
+        FROM embeddings WHERE vec_id % 7 NOT IN (1, 2)),
+    pair AS (SELECT item_id AS qid, c.vec_id AS key,
+        round(CASE WHEN q.vec_id % 7 = 0 OR c.vec_id % 7 = 0 THEN 1.0 ELSE 1 - list_cosine_similarity(q.v, c.v) END, 9) AS score
+        FROM benchmark JOIN v q ON item_id = q.vec_id, v c),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, key)::INTEGER AS rank FROM pair)
+    SELECT qid, key, round(score, 6) AS score, rank FROM ranked WHERE rank <= 4""")
+def _(spark, d):
+    mixed = mixed_vectors(spark, d)
+    asked = table(spark, d, "benchmark").selectExpr("item_id AS key").join(mixed, "key").withColumnRenamed("key", "qid")
+    return V.dense_top_k(asked, mixed, metric="cosine").withColumn("score", F.round("score", 6))
+
+
 @query("d07_dense_top_k_in_cells", DENSE_SQL)
 def _(spark, d):
     hits = V.dense_top_k_in_cells(query_vectors(spark, d), V.build_cells(vectors(spark, d), 64))

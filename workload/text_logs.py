@@ -204,11 +204,42 @@ def _(spark, d):
     return V.format_transcript(chats(spark, d))
 
 
-@query("v06_compact_history", f"""
-    WITH old AS (SELECT conv_id, string_agg({LINE}, chr(10) ORDER BY turn) AS t FROM ({split_sql(6, 4)}) WHERE is_old GROUP BY conv_id),
-    prev AS (SELECT session_id AS conv_id, summary FROM ({I.SESSIONS_SQL}))
-    SELECT conv_id, 0::BIGINT AS part, CASE WHEN t IS NULL THEN summary WHEN summary <> '' THEN left(summary || chr(10) || t, 1600)
-           ELSE left(t, 1600) END AS summary FROM prev LEFT JOIN old USING (conv_id)""")
+# Every conversation eight times over, as two chats.
+GLUED = ["conv_id % 2 AS conv_id", "row_number() OVER (PARTITION BY conv_id % 2 ORDER BY k, conv_id, turn) - 1 AS turn", "role", "text"]
+GLUED_SQL = f"(SELECT {', '.join(GLUED)} FROM conversations, (SELECT unnest(range(8)) AS k))"
+
+
+def glued(spark, d):
+    repeated = table(spark, d, "conversations").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return repeated.selectExpr(*GLUED)
+
+
+@query("v05_format_transcript_parts", f"""
+    SELECT conv_id, turn // 100 AS part, string_agg({LINE}, chr(10) ORDER BY turn) AS transcript FROM {GLUED_SQL} GROUP BY ALL""")
+def _(spark, d):
+    return V.format_transcript(glued(spark, d), part_turns=100)
+
+
+def compacted_sql(split: str, previous: str) -> str:
+    lines = "right(t, greatest(800, 1600 - length(summary) - 1))"
+    return f"""
+    WITH old AS (SELECT conv_id, string_agg({LINE}, chr(10) ORDER BY turn) AS t FROM ({split}) WHERE is_old GROUP BY conv_id),
+    prev AS ({previous})
+    SELECT conv_id, CASE WHEN t IS NULL THEN summary WHEN summary = '' THEN right(t, 1600)
+           ELSE right(summary, 1600 - length({lines}) - 1) || chr(10) || {lines} END AS summary FROM prev LEFT JOIN old USING (conv_id)"""
+
+
+LONG_PREVIOUS = ["conv_id", "CASE conv_id WHEN 0 THEN '' ELSE repeat('earlier ', 300) END AS summary"]
+
+
+@query("v06_compact_long_chat", compacted_sql(split_sql(10, 6).replace("FROM conversations", f"FROM {GLUED_SQL}"), f"SELECT {', '.join(LONG_PREVIOUS)} FROM (SELECT DISTINCT conv_id % 2 AS conv_id FROM conversations)"))
+def _(spark, d):
+    """New turns enter however long the summary is, and every chat has one."""
+    previous = table(spark, d, "conversations").selectExpr("conv_id % 2 AS conv_id").distinct().selectExpr(*LONG_PREVIOUS)
+    return V.compact_history(glued(spark, d), previous)
+
+
+@query("v06_compact_history", compacted_sql(split_sql(6, 4), f"SELECT session_id AS conv_id, summary FROM ({I.SESSIONS_SQL})"))
 def _(spark, d):
     previous = I.sessions(spark, d).selectExpr("session_id AS conv_id", "summary")
     return V.compact_history(chats(spark, d), previous, trigger=6, keep=4)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askspark.session import cut_lineage
 
@@ -98,6 +99,20 @@ def exact_percentiles(
     return placed.groupBy(*keys).agg(*ends).select(*keys, *result)
 
 
+def _steer(df: DataFrame, name: str) -> Column:
+    """A double that never falls where the column rises; it picks ranges, and the column itself orders inside them."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        c = c.cast("timestamp")
+    value = c.cast("double")
+    return F.when(F.isnan(value), math.inf).otherwise(value)  # NaN is the largest number
+
+
 def exact_ranks(
     df: DataFrame, part: list[str], by: str, tie: str, descending: bool = True, ranges: int | None = None
 ) -> DataFrame:
@@ -105,25 +120,31 @@ def exact_ranks(
 
     Each group is cut into ranges of the value. A value common enough to span several quantiles has a range of its own,
     cut again by ranges of the tie column. Rows are numbered inside these pieces and shifted by the sizes of the pieces
-    before theirs. ``by`` is a numeric or time column, ``tie`` a numeric key, unique within its group; rows without a value come last.
+    before theirs. ``by`` and ``tie`` are numeric, time or text columns, ``tie`` unique within its group. They are compared as
+    they are: NaN is the largest number, and rows without a value come last.
     """
-    value = F.col(by).cast("double")
+    value = _steer(df, by)
     rows = df.withColumns({
         "__group": F.to_json(F.struct(*part)),  # never NULL, so that the join below keeps the windows' partitioning
-        "__x": F.nullif(-value if descending else value, F.lit(math.nan)),
-        "__tie": F.col(tie).cast("double"),
+        "__x": -value if descending else value,
+        "__tie": _steer(df, tie),
     })
-    cuts, tie_cuts = _cuts(rows, ["__x", "__tie"], _how_many(df, ranges))
+    cuts, tie_cuts = ([c for c in found if math.isfinite(c)] for found in _cuts(rows, ["__x", "__tie"], _how_many(df, ranges)))
     common = {a for a, b in zip(cuts, cuts[1:]) if a == b}
     splits = sorted({*cuts, *(math.nextafter(v, math.inf) for v in common)})
     rows = _number(_number(rows, "__x", splits, "__range"), "__tie", sorted(set(tie_cuts)), "__piece")
     # Range number i + 1 starts at splits[i]; the last number stands for missing values, which are all alike.
     one_value = [float(splits.index(v) + 1) for v in common] + [float(len(splits) + 1)]
+    if common and not isinstance(df.schema[by].dataType, T.DoubleType | T.FloatType | T.IntegerType | T.ShortType | T.ByteType | T.DateType):
+        # values too close for a double share a range that the tie column must not cut; at most one row per range comes back
+        several = rows.where(F.col("__range").isin(one_value)).groupBy("__range").agg((F.min(by) < F.max(by)).alias("several"))
+        mixed = {r["__range"] for r in several.where("several").collect()}
+        one_value = [v for v in one_value if v not in mixed]
     rows = rows.withColumn("__piece", F.when(F.col("__range").isin(one_value), F.col("__piece")).otherwise(0.0))
 
     cell = ["__group", "__range", "__piece"]
     sizes = (
-        rows.groupBy(*cell, "__x").agg(F.count(F.lit(1)).alias("n"))
+        rows.groupBy(*cell, F.col(by).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*cell).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
     )
     earlier = Window.unboundedPreceding, -1
@@ -140,10 +161,11 @@ def exact_ranks(
     )
     offsets = sizes.select(*cell, F.coalesce(F.sum("n").over(by_piece), F.lit(0)).alias("__p0")).join(starts, ["__group", "__range"])
     inside = Window.partitionBy(*cell)
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
     numbered = rows.withColumns({
-        "__row": F.row_number().over(inside.orderBy("__x", tie)),
-        "__rank": F.rank().over(inside.orderBy("__x")),
-        "__dense": F.dense_rank().over(inside.orderBy("__x")),
+        "__row": F.row_number().over(inside.orderBy(first, tie)),
+        "__rank": F.rank().over(inside.orderBy(first)),
+        "__dense": F.dense_rank().over(inside.orderBy(first)),
     })
     return numbered.join(offsets, cell).select(
         *df.columns,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -135,6 +136,40 @@ def _(spark, d):
     return R.rank_in_group(events, ["event_type"], "k", "event_id", ascending=True)
 
 
+def ranked_sql(source: str, value: str, tie: str, down: str) -> str:
+    return f"""
+    WITH t AS ({source})
+    SELECT * REPLACE (CAST(v AS VARCHAR) AS v), row_number() OVER (PARTITION BY g ORDER BY v {down} NULLS LAST, tie) AS row_number, rank() OVER (PARTITION BY g ORDER BY v {down} NULLS LAST) AS rank,
+        dense_rank() OVER (PARTITION BY g ORDER BY v {down} NULLS LAST) AS dense_rank FROM (SELECT g, {value} AS v, {tie} AS tie FROM t)"""
+
+
+RANKED = {
+    # times; numbers a double cannot tell apart; cents of large amounts; a text that breaks ties
+    "r08_rank_dates": ("SELECT o_orderpriority AS g, o_orderdate AS v, o_orderkey AS tie FROM orders", True),
+    "r08_rank_large_keys": ("SELECT o_orderpriority AS g, 9007199254740992 + o_orderkey % 3 AS v, o_orderkey AS tie FROM orders", False),
+    "r08_rank_cents": ("SELECT o_orderstatus AS g, CAST(90000000000000000 + o_orderkey % 5 AS DECIMAL(20, 0)) AS v, o_orderkey AS tie FROM orders", True),
+    "r08_rank_text_tie": ("SELECT c_mktsegment AS g, c_custkey % 4 AS v, c_name AS tie FROM customer", False),
+}
+
+
+def _rank_query(sql: str, down: bool):
+    def run(spark, d):
+        source = sql.rsplit(" FROM ", 1)
+        rows = table(spark, d, source[1]).selectExpr(*_split_columns(source[0].removeprefix("SELECT ")))
+        return R.rank_in_group(rows, ["g"], "v", "tie", ascending=not down).withColumn("v", F.col("v").cast("string"))
+
+    return run
+
+
+def _split_columns(text: str) -> list[str]:
+    return re.split(r", (?![^(]*\))", text)
+
+
+for _name, (_sql, _down) in RANKED.items():
+    QUERIES[_name] = _rank_query(_sql, _down)
+    ORACLES[_name] = ranked_sql(_sql, "v", "tie", "DESC" if _down else "ASC")
+
+
 @query("r08_top_k_in_group", _ranked("WHERE row_number <= 5"))
 def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")

@@ -33,12 +33,14 @@ def fuse_ranks(
     if merge_on is None:
         merged = both.groupBy("qid", "key").agg(F.sum("part").alias("score"))
     else:
-        digest = merge_on.select("key", F.sha2("text", 256).alias("digest"))
+        # The hits are few and stored, so that their keys filter the texts where they are read.
+        both = cut_lineage(both, "rankings")
+        texts = merge_on.select("key", "text").join(both.select("key").distinct(), "key", "left_semi")
         merged = (
-            both.join(digest, "key")
-            .groupBy("qid", "digest")
+            both.join(texts, "key")
+            .groupBy("qid", "text")
             .agg(F.sum("part").alias("score"), F.min("key").alias("key"))
-            .drop("digest")
+            .drop("text")
         )
     rounded = merged.withColumn("score", F.round("score", 12))
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
@@ -75,18 +77,19 @@ def sub_queries(df: DataFrame, query: str = "question", reply: str = "reply", st
 
 
 def retrieve(
-    subs: DataFrame, index: TermIndex, vectors: DataFrame, k: int = RETRIEVER_K, dedupe: bool = False
+    subs: DataFrame, index: TermIndex, vectors: DataFrame, k: int = RETRIEVER_K, dedupe: bool = False, merge_on: DataFrame | None = None
 ) -> DataFrame:
     """(qid, strategy, sub_no, key, score, rank): hits of every question in the order they are shown.
 
     ``subs`` is (qid, strategy, sub_no, text, vector), one row per text to search. All of them are searched in one keyword
     pass and one vector pass. Hits come by sub-query, then by fused rank, cut by strategy; direct lookups keep all. A
-    chunk found by several sub-queries stays each time unless ``dedupe``.
+    chunk found by several sub-queries stays each time unless ``dedupe``. With ``merge_on`` (key, text) chunks of equal text
+    count as one.
     """
     named = subs.withColumn("sid", F.concat_ws("#", "qid", "sub_no"))
     sparse = bm25_top_k(named.select(F.col("sid").alias("qid"), "text"), index, k)
     dense = dense_top_k(named.select(F.col("sid").alias("qid"), "vector"), vectors, k)
-    fused = fuse_ranks(sparse, dense).withColumnRenamed("qid", "sid").withColumnRenamed("rank", "sub_rank")
+    fused = fuse_ranks(sparse, dense, merge_on=merge_on).withColumnRenamed("qid", "sid").withColumnRenamed("rank", "sub_rank")
     hits = fused.join(named.select("sid", "qid", "strategy", "sub_no"), "sid")
     allowed = F.lit(2**31 - 1)
     for name, n in KEPT.items():

@@ -24,7 +24,7 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     value = F.col("value")
     text = F.when(F.is_valid_utf8(value), value).otherwise(F.replace(F.make_valid_utf8(value), F.lit(BAD_BYTES), F.lit("")))
     return raw.select(
-        F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"),
+        F.md5(F.col("_metadata.file_path")).alias("doc_id"),
         F.lit(1).alias("page"),
         text.alias("text"),
         F.col("_metadata.file_path").alias("source"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from askspark.operators import catalog as K
 from askspark.operators import relational as R
 from askspark.plans.guard import guarded_sql
+from askspark.plans.tables import ask_tables
 from workload.tables import NAMES, paths, table
 
 QUERIES, ORACLES = {}, {}
@@ -446,3 +447,38 @@ def _(spark, d):
     FROM orders ORDER BY o_orderkey LIMIT 50""")
 def _(spark, d):
     return K.table_preview(table(spark, d, "orders"), "o_orderkey")
+
+
+# One question over tables, for each class
+
+
+def shop(d):
+    return {f"shop.{n}": p for n, p in paths(d).items()}
+
+
+def written(question: str, schema: str) -> str:
+    """Stands for a model: the reply names tables by database, fenced among other words."""
+    return "Sure:\n```sql\nSELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM `shop`.`orders` GROUP BY o_orderpriority;\n```\nDone."
+
+
+@query("ask_tables_display", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, d):
+    return ask_tables(spark, "Show me the nation table", shop(d)).rows
+
+
+@query("ask_tables_schema", f"""
+    SELECT 'shop' AS db, 'customer' AS tbl, position::INTEGER AS position, c AS "column", t AS type
+    FROM (VALUES {", ".join(str((i, c, t)) for i, (c, t) in enumerate(PROFILED))}) AS v(position, c, t) WHERE (SELECT count(*) FROM customer) > 0""")
+def _(spark, d):
+    return ask_tables(spark, "What columns does customer have", {"shop.customer": paths(d)["customer"]}).rows
+
+
+@query("ask_tables_calculation", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderpriority")
+def _(spark, d):
+    return ask_tables(spark, "Total order value per priority", shop(d), written).rows
+
+
+@query("ask_sheet", "SELECT count(*) AS n FROM part")
+def _(spark, d):
+    """A spreadsheet is one table behind a loader; without a model its rows are counted."""
+    return ask_tables(spark, "How many rows are there", {"parts": lambda s: table(s, d, "part")}).rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askspark.functions.prompts import apply_text_fn
+from askspark.plans.rewriting import STRATEGY_PROMPT, rewrite_questions
 from askspark.operators import chunking as C
 from askspark.operators import lexical as L
 from askspark.operators import retrieval as S
@@ -251,6 +252,18 @@ def _(spark, d):
     return S.fuse_ranks(sparse, dense).withColumn("score", F.round("score", 9))
 
 
+@query("d08_fuse_by_text", f"""
+    WITH {bm25_ctes(ASKED_SQL, TOKENS_SQL, WORDS, PLUS_ONE)}, {dense_ctes(QUERY_VECTORS_SQL)},
+    parts AS (SELECT qid, key, 0.3 / (60 + rank) AS part FROM sparse UNION ALL SELECT qid, key, 0.7 / (60 + rank) FROM dense),
+    merged AS (SELECT qid, min(key) AS key, round(sum(part), 12) AS score FROM parts JOIN documents ON key = doc_id GROUP BY qid, text)
+    SELECT qid, key, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key)::INTEGER AS rank FROM merged""")
+def _(spark, d):
+    sparse = L.bm25_top_k(asked(spark, d), index(spark, d))
+    dense = V.dense_top_k(query_vectors(spark, d), vectors(spark, d))
+    chunks = table(spark, d, "documents").selectExpr("doc_id AS key", "text")
+    return S.fuse_ranks(sparse, dense, merge_on=chunks).withColumn("score", F.round("score", 9))
+
+
 @query("d09_parse_strategy", f"""
     SELECT conv_id, turn, CASE WHEN label IN ('NONE', 'EXPANSION', 'DECOMPOSITION', 'HYDE') THEN lower(label) ELSE 'hyde' END AS strategy
     FROM (SELECT conv_id, turn, regexp_replace(upper({I.STRATEGY_REPLY}), '[^A-Z]', '', 'g') AS label FROM conversations)""")
@@ -259,6 +272,26 @@ def _(spark, d):
     return S.parse_strategy(replies, "reply").drop("reply")
 
 
+def spoken(prompts):
+    """Stands for a model: a noisy strategy by the length of the prompt, or the last line of the prompt as a bullet."""
+
+    def one(prompt: str) -> str:
+        if prompt.startswith("Name the best way"):
+            return ["none.", "**Expansion**", "Decomposition!", "HYDE", "unsure"][len(prompt) % 5]
+        return "- " + prompt.split("\n")[-1]
+
+    return prompts.map(one)
+
+
+@query("d09_rewrite_questions", f"""
+    WITH q AS (SELECT conv_id || ':' || turn AS qid, {I.FIRST_LINE} AS question FROM conversations WHERE role = 'user'),
+    s AS (SELECT *, CASE ({len(STRATEGY_PROMPT) - len("{question}")} + length(question)) % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'expansion' WHEN 2 THEN 'decomposition' ELSE 'hyde' END AS strategy FROM q)
+    SELECT qid, question, strategy, CASE WHEN strategy <> 'none' THEN '- ' || question END AS reply FROM s""")
+def _(spark, d):
+    asked = table(spark, d, "conversations").where("role = 'user'").selectExpr("concat(conv_id, ':', turn) AS qid", f"{I.FIRST_LINE} AS question")
+    return rewrite_questions(asked, spoken)
+
+
 def lines_sql(reply: str) -> str:
     return (
         rf"list_transform(list_filter(string_split({reply}, chr(10)), lambda x: trim(x) <> ''), "

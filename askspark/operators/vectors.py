@@ -6,10 +6,9 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,22 +201,35 @@ def dense_top_k_in_cells(queries: DataFrame, cells: Cells, k: int = 4) -> DataFr
     return top_k_join(rows, asked, prepare, k, largest=False)
 
 
-def _counted(df: DataFrame, col: str, dim: int) -> DataFrame:
-    tokens = df.withColumn("__tokens", F.coalesce(words(F.col(col)), F.array().cast("array<string>")))
-    return HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim).transform(tokens)
+def _buckets(col: str, dim: int) -> Column:
+    """Bucket below ``dim`` of each word: the first 32 bits of its MD5 digest, so that other engines find the same."""
+    tokens = F.coalesce(words(F.col(col)), F.array().cast("array<string>"))
+    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 
 
-def rarity_weights(corpus: DataFrame, col: str = "text", dim: int = 256) -> IDFModel:
-    """Weights of the hashed terms of a corpus: one pass, and ``dim`` numbers as a result."""
-    return IDF(inputCol="__tf", outputCol="__idf").fit(_counted(corpus, col, dim))
+def rarity_weights(corpus: DataFrame, col: str = "text", dim: int = 256) -> list[float]:
+    """Weights ln((n + 1) / (df + 1)) of the hashed terms of a corpus: counts are summed in Spark, ``dim`` numbers result."""
+    every = F.array_append(F.array_distinct(_buckets(col, dim)), F.lit(dim))  # bucket ``dim`` counts the rows
+    found = corpus.select(F.explode(every).alias("bucket")).groupBy("bucket").count().collect()
+    counts = np.zeros(dim + 1)
+    for r in found:
+        counts[r["bucket"]] = r["count"]
+    return np.log((counts[dim] + 1) / (counts[:dim] + 1)).tolist()
 
 
-def embed_text(df: DataFrame, col: str = "text", dim: int = 256, weights: IDFModel | None = None) -> DataFrame:
+def embed_text(
+    df: DataFrame, col: str = "text", dim: int = 256, weights: list[float] | None = None, element: str = "float"
+) -> DataFrame:
     """Add ``vector``: a unit-length hashed term vector, weighted by the terms' rarity (by default in ``df`` itself).
 
     Deterministic and offline; stands where a model server would be asked. Pass the corpus weights when embedding queries,
-    so that both sides share them. Texts without words get a zero vector.
+    so that both sides share them. Texts without words get a zero vector. ``element`` is 'float' or 'double'.
     """
-    model = weights or rarity_weights(df, col, dim)
-    unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(model.transform(_counted(df, col, dim)))
-    return unit.withColumn("vector", vector_to_array("__unit", "float32")).drop("__tokens", "__tf", "__idf", "__unit")
+    scale = np.array(weights if weights is not None else rarity_weights(df, col, dim))
+
+    def unit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = [np.bincount(b, minlength=len(scale)) * scale if len(b) else np.zeros(len(scale)) for b in batch]
+            yield pd.Series([r / max(np.linalg.norm(r), 1e-300) for r in rows], index=batch.index)
+
+    return df.withColumn("vector", F.pandas_udf(unit, f"array<{element}>")(_buckets(col, len(scale))))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ class Corpus(NamedTuple):
     chunks: DataFrame
     index: TermIndex
     vectors: DataFrame
-    weights: IDFModel
+    weights: list[float]
 
 
 def index_documents(documents: DataFrame, dim: int = 256) -> Corpus:
@@ -49,7 +48,7 @@ def answer_questions(
     answer is the sentence of the context that shares most words with the question. Questions without any hit have no
     answer.
     """
-    subs = embed_text(sub_queries(questions), dim=len(corpus.weights.idf), weights=corpus.weights)
+    subs = embed_text(sub_queries(questions), weights=corpus.weights)
     hits = retrieve(subs, corpus.index, corpus.vectors)
     contexts = assemble_context(questions, hits, corpus.chunks)
     filled = contexts.join(questions.select("qid", "question", "strategy"), "qid")

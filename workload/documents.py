@@ -372,21 +372,44 @@ def _(spark, d):
     return S.assemble_context(asked(spark, d), hits(spark, d), chunks)
 
 
-@query("d14_embed_text", "SELECT doc_id, 256::INTEGER AS dim, 1.0::DOUBLE AS norm FROM documents")
-def _(spark, d):
-    made = V.embed_text(texts(spark, d, "documents", "doc_id").select("doc_id", "text"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return made.select("doc_id", F.size("vector").alias("dim"), F.round(norm, 5).alias("norm"))
+def bucket_ctes(source: str) -> str:
+    """Weights of the hashed terms of ``source`` (key, text)."""
+    return f"""
+    toks AS (SELECT key, ('0x' || left(md5(t), 8))::BIGINT % 256 AS bucket FROM (SELECT key, unnest({WORDS}) AS t FROM ({source}))),
+    freq AS (SELECT bucket, count(DISTINCT key) AS df FROM toks GROUP BY bucket),
+    idf AS (SELECT bucket, ln(((SELECT count(*) FROM ({source})) + 1) / (df + 1)) AS w FROM freq)"""
 
 
-@query("d14_search_by_text")
+@query("d14_embed_text", f"""
+    WITH {bucket_ctes("SELECT doc_id AS key, text FROM documents")},
+    val AS (SELECT key, bucket, count(*) * any_value(w) AS x FROM toks JOIN idf USING (bucket) GROUP BY key, bucket),
+    norm AS (SELECT key, sqrt(sum(x * x)) AS n FROM val GROUP BY key)
+    SELECT key AS doc_id, bucket::INTEGER AS place, round(x / n, 6) AS value FROM val JOIN norm USING (key) WHERE round(x / n, 6) <> 0""")
+def _(spark, d):
+    """Every value of every vector that is not zero."""
+    made = V.embed_text(texts(spark, d, "documents", "doc_id").select("doc_id", "text"), element="double")
+    values = made.select("doc_id", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round("value", 6))
+    return values.where("value <> 0")
+
+
+@query("d14_search_by_text", f"""
+    WITH {bucket_ctes("SELECT doc_id || '#' || chunk_no AS key, text FROM (" + chunk_sql(TIER_SQL, "doc_id, chunk_no, text") + ")")},
+    unit AS (SELECT key, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY key)) AS x FROM (
+        SELECT key, bucket, count(*) * any_value(w) AS x FROM toks JOIN idf USING (bucket) GROUP BY key, bucket)),
+    asked AS (SELECT qid, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY qid)) AS x FROM (
+        SELECT item_id AS qid, bucket, count(*) * any_value(w) AS x FROM (
+            SELECT item_id, ('0x' || left(md5(t), 8))::BIGINT % 256 AS bucket FROM (SELECT item_id, unnest({WORDS}) AS t FROM benchmark)) JOIN idf USING (bucket)
+        GROUP BY item_id, bucket)),
+    pair AS (SELECT qid, key, round(2 - 2 * sum(asked.x * unit.x), 9) AS score FROM asked JOIN unit USING (bucket) GROUP BY qid, key),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, key)::INTEGER AS rank FROM pair)
+    SELECT qid, key, round(score, 6) AS score, rank FROM ranked WHERE rank <= 4""")
 def _(spark, d):
     """Chunks found for benchmark passages by hashed vectors alone."""
     chunks = C.chunk_documents(tiered(spark, d).select("doc_id", "text", "chunk_size", "chunk_overlap"))
     keyed = cut_lineage(chunks.select(F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text"), "chunks")
     weights = V.rarity_weights(keyed)
-    queries = V.embed_text(asked(spark, d), weights=weights)
-    return V.dense_top_k(queries, V.embed_text(keyed, weights=weights)).withColumn("score", F.round("score", 6))
+    queries = V.embed_text(asked(spark, d), weights=weights, element="double")
+    return V.dense_top_k(queries, V.embed_text(keyed, weights=weights, element="double")).withColumn("score", F.round("score", 6))
 
 
 @query("ask_documents")

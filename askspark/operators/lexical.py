@@ -36,7 +36,7 @@ class TermIndex(NamedTuple):
 def term_stats(chunks: DataFrame, key: str, col: str = "text", tokenizer: str = "words") -> TermIndex:
     """Index tables of a chunk table with unique keys; each is lazy, and can be written as Parquet and read back."""
     tokens = chunks.select(F.col(key).alias("key"), F.coalesce(TOKENIZERS[tokenizer](F.col(col)), F.array().cast("array<string>")).alias("tokens"))
-    return _tables(tokens.withColumn("n_tokens", F.size("tokens")), tokenizer)
+    return index_of_tokens(tokens.withColumn("n_tokens", F.size("tokens")), tokenizer)
 
 
 def _term_counter():
@@ -57,7 +57,8 @@ def _term_counter():
     return task
 
 
-def _tables(tokens: DataFrame, tokenizer: str) -> TermIndex:
+def index_of_tokens(tokens: DataFrame, tokenizer: str = "words") -> TermIndex:
+    """Index tables of a table of (key, tokens, n_tokens)."""
     # A chunk is one row, so its terms are counted where it was read; grouping by (key, term) would shuffle the corpus.
     kind = T.StructType([tokens.schema["key"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     postings = tokens.select("key", "tokens").mapInArrow(_term_counter(), kind)
@@ -70,7 +71,7 @@ def store_index(index: TermIndex, path: str) -> None:
     """Write the index tables; postings and terms are sorted by term, so that a search reads few of their blocks."""
     index.chunks.write.parquet(f"{path}/chunks")
     chunks = index.chunks.sparkSession.read.parquet(f"{path}/chunks")
-    again = _tables(chunks, index.tokenizer)
+    again = index_of_tokens(chunks, index.tokenizer)
     again.postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
     again.terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
     again.stats.write.parquet(f"{path}/stats")

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from askspark.operators.chunking import chunk_documents, drop_empty_documents
-from askspark.operators.conversations import upsert_sessions
-from askspark.operators.lexical import term_stats
+from askspark.operators.conversations import retain_recent, upsert_sessions
+from askspark.operators.lexical import TermIndex, index_of_tokens, term_stats
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -31,9 +31,9 @@ def _batch_folder(out: str, batch_id: int) -> str:
 def stream_chunks(
     source: DataFrame, out: str, checkpoint: str, size: int = 500, overlap: int = 50, tasks: int | None = None
 ) -> StreamingQuery:
-    """New documents (doc_id, text) to chunks and postings, appended under ``out``/chunks and ``out``/postings.
+    """New documents (doc_id, text) to chunks, their tokens and postings, appended under ``out``/chunks, /tokens and /postings.
 
-    A document arrives once, so its postings are complete within its batch. Give ``tasks`` when batches come in fewer files
+    ``load_stream_index`` reads them for a search. A document arrives once, so its postings are complete within its batch. Give ``tasks`` when batches come in fewer files
     than there are cores.
     """
 
@@ -44,16 +44,42 @@ def stream_chunks(
         chunk_documents(documents, size, overlap).write.mode("overwrite").parquet(path)
         chunks = batch.sparkSession.read.parquet(path)
         keyed = chunks.withColumn("key", F.concat_ws("#", "doc_id", "chunk_no"))
-        term_stats(keyed, "key").postings.write.mode("overwrite").parquet(_batch_folder(f"{out}/postings", batch_id))
+        tokens = _batch_folder(f"{out}/tokens", batch_id)
+        term_stats(keyed, "key").chunks.write.mode("overwrite").parquet(tokens)
+        index = index_of_tokens(batch.sparkSession.read.parquet(tokens))
+        index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(_batch_folder(f"{out}/postings", batch_id))
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def load_stream_index(spark: SparkSession, out: str) -> TermIndex:
+    """Keyword index over all batches that ``stream_chunks`` wrote. Counts per term and the mean length are sums over the
+    postings and the chunks, so a new batch changes nothing that is stored."""
+    chunks, postings = (spark.read.parquet(f"{out}/{name}").drop("batch_id") for name in ("tokens", "postings"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index_of_tokens(chunks)._replace(postings=postings, terms=terms, stored=True)
+
+
+def compact_sessions(spark: SparkSession, out: str, into: str, as_of: str, days: int) -> None:
+    """Write the versions under ``out`` that still matter to ``into``, where later batches may go on: per session the first
+    and the last, and only of sessions updated within ``days`` before ``as_of`` or without a readable time."""
+    versions = spark.read.parquet(out).drop("batch_id")
+    recent = retain_recent(current_sessions(spark, out), as_of, days).select("session_id")
+    _ends(versions.join(recent, "session_id", "left_semi")).write.parquet(_batch_folder(into, -1))
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """What the batches under ``path`` wrote, with their ``batch_id``."""
     return spark.read.parquet(path)
 
 
+def _ends(versions: DataFrame) -> DataFrame:
+    """First and last version of each session."""
+    row = F.struct(*[c for c in versions.columns if c != "session_id"])
+    ends = versions.groupBy("session_id").agg(F.array(F.min_by(row, "version"), F.max_by(row, "version")).alias("ends"))
+    return ends.select("session_id", F.explode(F.array_distinct("ends")).alias("s")).select("session_id", "s.*")
+
+
 def stream_sessions(source: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Session versions (session_id, ..., version) to a session table; ``current_sessions`` reads it.
 
@@ -62,10 +88,7 @@ def stream_sessions(source: DataFrame, out: str, checkpoint: str) -> StreamingQu
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        row = F.struct(*[c for c in batch.columns if c != "session_id"])
-        ends = batch.groupBy("session_id").agg(F.array(F.min_by(row, "version"), F.max_by(row, "version")).alias("ends"))
-        rows = ends.select("session_id", F.explode(F.array_distinct("ends")).alias("s")).select("session_id", "s.*")
-        rows.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        _ends(batch).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

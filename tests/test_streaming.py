@@ -68,3 +68,14 @@ def test_activity_drops_late_rows(spark, tmp_path):
         jobs.stream_activity(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r["session_id"], r["n_turns"]) for r in out.collect()) == [(1, 2), (2, 1)]
+
+
+def test_compacted_sessions_are_the_recent_ones(spark, tmp_path):
+    schema = "session_id int, title string, file_metadata string, created_at string, updated_at string, summary string, version bigint"
+    batches = [[(1, "a", None, "2024-01-01", "2024-01-01", "", 1), (2, "b", None, "2024-01-01", "2024-01-29", "", 1)], [(1, "c", None, "x", "2024-01-30", "s", 2), (3, "d", None, "2023-01-01", "2023-01-01", "", 1)], [(1, "e", None, "y", "2024-01-31", "t", 3)]]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).write.parquet(f"{tmp_path}/out/batch_id={i}")
+    jobs.compact_sessions(spark, f"{tmp_path}/out", f"{tmp_path}/into", "2024-01-31", 7)
+    whole = jobs.current_sessions(spark, f"{tmp_path}/out").where("session_id <> 3")
+    assert rows(jobs.current_sessions(spark, f"{tmp_path}/into")) == rows(whole)
+    assert spark.read.parquet(f"{tmp_path}/into").count() == 3

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askspark.operators.chunking import drop_empty_documents
-from askspark.operators.lexical import term_stats
+from askspark.operators.lexical import bm25_top_k, term_stats
 from askspark.session import scratch_path
 from askspark.sources import files, sessions
 from askspark.streaming import jobs
 from workload import tables as I
-from workload.documents import chunk_sql
+from workload.documents import PLUS_ONE, WORDS, bm25_ctes, chunk_sql
 from workload.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -116,6 +116,15 @@ def _(spark, d):
     return jobs.read_batches(spark, f"{_ingest(spark, d)}/chunks").drop("batch_id")
 
 
+@query("x01_stream_search", f"""
+    WITH {bm25_ctes("SELECT item_id AS qid, text FROM benchmark", "SELECT doc_id || '#' || chunk_no AS key, " + WORDS + " AS tokens FROM (" + chunk_sql(FIXED_SQL, "doc_id, chunk_no, text") + ")", WORDS, PLUS_ONE)}
+    SELECT qid, key, round(score, 6) AS score, rank FROM sparse""")
+def _(spark, d):
+    """What the batches wrote is searched like one index."""
+    found = bm25_top_k(table(spark, d, "benchmark").selectExpr("item_id AS qid", "text"), jobs.load_stream_index(spark, _ingest(spark, d)))
+    return found.withColumn("score", F.round("score", 6))
+
+
 VERSION_COLUMNS = {
     "session_id": "conv_id",
     "title": "substring(text, 1, 18)",

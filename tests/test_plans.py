@@ -7,8 +7,8 @@ from workload import registry
 SF_DIR = "/root/testdata/sf0.01"
 # Work that columns cannot express well: chunk packing, counting terms inside a row, top-k scoring, and the text hook.
 PYTHON = {
-    "d03_chunk_documents", "d03_chunk_totals", "d04_postings", "d05_bm25_top_k", "d05_bm25_okapi", "d06_dense_top_k", "d06_dense_top_k_blocks", "d07_dense_top_k_in_cells",
-    "d08_fuse_ranks", "d10_retrieve", "d14_search_by_text", "ask_documents", "u01_apply_text_fn",
+    "d03_chunk_documents", "d03_chunk_totals", "d04_postings", "d05_bm25_top_k", "d05_bm25_okapi", "d06_dense_top_k", "d06_dense_top_k_blocks", "d06_dense_top_k_cosine", "d07_dense_top_k_in_cells",
+    "d08_fuse_ranks", "d09_rewrite_questions", "d10_retrieve", "d14_embed_text", "d14_search_by_text", "u01_apply_text_fn",
 }
 WRITES_FIRST = {n for n in registry.QUERIES if n.startswith(("s01", "s03", "s05", "s06", "s07", "x"))}
 
@@ -46,7 +46,7 @@ def test_limits_are_top_n(plans, name):
     ("r01_filter_project", ["GreaterThanOrEqual(l_discount,0.05)", "LessThan(l_quantity,24.0)"]),
     ("r02_count_rows", ["EqualTo(o_orderstatus,O)", "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>"]),
     ("r15_in_last_period", ["GreaterThanOrEqual(o_orderdate,1998-02-01T00:00)", "LessThan(o_orderdate,1998-03-01T00:00)"]),
-    ("r10_compare_groups", ["In(o_orderstatus, [F,O,P])", "ReadSchema: struct<o_orderstatus:string,o_orderpriority:string>"]),
+    ("r10_compare_groups", ["ReadSchema: struct<o_orderstatus:string,o_orderpriority:string>"]),
     ("v10_prepare_turns", ["In(role, [assistant,user])"]),
 ])
 def test_filters_and_columns_reach_the_scan(plans, name, parts):
@@ -55,9 +55,8 @@ def test_filters_and_columns_reach_the_scan(plans, name, parts):
 
 
 def test_row_wise_work_has_no_shuffle(spark):
-    # Tables in few files are spread first; that is the only exchange.
     for name in ("d03_chunk_documents", "d02_chunk_tier", "s04_extract_page_text", "g06_extract_fenced_block", "v07_normalize_content"):
-        assert plan(registry.QUERIES[name](spark, SF_DIR), "simple").count("Exchange") <= 1
+        assert plan(registry.QUERIES[name](spark, SF_DIR), "simple").count("Exchange") == 0
 
 
 @pytest.mark.parametrize("name", ["g03_unknown_table_refs", "k04_resolve_table", "t01_trace_rollup", "r13_describe_numeric", "d13_assemble_context"])

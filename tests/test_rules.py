@@ -73,8 +73,9 @@ def test_reply_lines(spark):
 
 
 def test_message_text(spark):
-    contents = ["plain", None, '["a", {"type": "text", "text": "b"}, {"type": "image"}, {"text": ""}, 3]', '{"type": "text", "text": "c"}', '{"x": 1}', "[]", "12", "[broken"]
-    assert apply(spark, contents, T.message_text) == ["plain", "", "a\nb", "c", '{"x": 1}', "", "12", "[broken"]
+    contents = ["plain", None, '["a", {"type": "text", "text": "b"}, {"type": "image"}, {"text": ""}]', '{"type": "text", "text": "c"}', '{"x": 1}', "[]", "12", "[broken", "[1, 2, 3]", "[1] see note", '["a"] see ["b"]', '["a", 3]', '[["a"]]', '{"text": "t"} and', ' ["a"] ']
+    kept = ["12", "[broken", "[1, 2, 3]", "[1] see note", '["a"] see ["b"]', '["a", 3]', '[["a"]]', '{"text": "t"} and', "a"]
+    assert apply(spark, contents, T.message_text) == ["plain", "", "a\nb", "c", '{"x": 1}', "", *kept]
 
 
 def test_error_categories(spark):

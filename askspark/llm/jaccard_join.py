@@ -18,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askspark.llm.common import per_worker
@@ -29,8 +29,10 @@ from askspark.session import cut_lineage
 FREQUENT = 1_000_000
 #: Candidates that one search takes at a time.
 BLOCK = 256
-#: Bits of the sketch that rules out pairs before their texts are fetched.
-BITS = 1024
+#: Fewest bits of the sketches that rule out pairs before their texts are fetched, in numbers of 64 bits.
+LEAST_WORDS = 8
+#: Documents of one list that a task pairs with as many others.
+PAIRED = 512
 #: Fixed odd multipliers of the positions in an n-gram.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -66,9 +68,10 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
 
 
 def parity_bits(grams: np.ndarray) -> list[int]:
-    """``BITS`` bits as 64-bit numbers: whether an odd number of n-grams falls on each. Two sets differ in at least as many
-    n-grams as their bits differ."""
-    odd = (np.bincount(grams & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)
+    """Bits as 64-bit numbers, a power of two of them and about one bit for each n-gram: whether an odd number of n-grams
+    falls on it. Two sets differ in at least as many n-grams as their bits differ, also when bits are folded together."""
+    bits = max(64 * LEAST_WORDS, 1 << max(0, len(grams) - 1).bit_length())
+    odd = (np.bincount(grams & (bits - 1), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
@@ -119,6 +122,48 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], num: int, den:
     return out
 
 
+def folded(bits: Column, words: Column) -> Column:
+    """Parity bits folded to so many numbers."""
+    return F.transform(
+        F.sequence(F.lit(1), words),
+        lambda k: F.aggregate(F.sequence(k, F.size(bits), words), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.element_at(bits, i))),
+    )
+
+
+def unconnected_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (``a``, ``b``, ``n``, ``m``) of documents on one list and in different components that sizes and folded
+    bits leave possible. ``rows`` has gram, holders, id, n, component and few (folded bits).
+
+    A list is cut into parts of about ``PAIRED`` documents, and each two parts meet in one group, so no group grows with
+    its list, and only possible pairs leave it.
+    """
+    parts = F.ceil(F.col("holders") / PAIRED).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    met = rows.select("*", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    met = met.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "component", "few")
+
+    def pair(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        n, part = group.column("n").to_numpy(), group.column("part").to_numpy()
+        component = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = group.column("few").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        one_part = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        left, right = [], []
+        for i in range(len(n) - 1):
+            size, total = np.minimum(n[i], n[i + 1 :]) * den - np.maximum(n[i], n[i + 1 :]) * num, n[i] + n[i + 1 :]
+            able = np.flatnonzero((size >= 0) & (component[i] != component[i + 1 :]) & (one_part | (part[i] != part[i + 1 :])))
+            differ = np.bitwise_count(bits[i + 1 + able] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            able = able[(num + den) * (total[able] - differ) >= 2 * num * total[able]] + i + 1
+            left.append(np.full(len(able), i))
+            right.append(able)
+        a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (left, right))
+        ids, sizes = group.column("id"), group.column("n")
+        return pa.table({"a": ids.take(a), "b": ids.take(b), "n": sizes.take(a), "m": sizes.take(b)})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return met.groupBy("gram", "low", "high").applyInArrow(pair, f"a {kind}, b {kind}, n long, m long").distinct()
+
+
 def frequent_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of n-grams that many documents hold, and their counts, as far as tasks notice them."""
 
@@ -227,7 +272,9 @@ def similar_components(
             pairs = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
         for side in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        words = F.least(F.size("bits_a"), F.size("bits_b"))
+        same = [F.when(F.size(c) > words, folded(F.col(c), words)).otherwise(F.col(c)) for c in ("bits_a", "bits_b")]
+        differ = F.aggregate(F.zip_with(*same, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         # at least (n_a + n_b - 2 * the intersection) n-grams differ, and the intersection must reach its least
         return pairs.where((num + den) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
@@ -242,11 +289,14 @@ def similar_components(
         found = cut_lineage(connected_components(links), "components")
     group = F.coalesce("component", "id")
     known = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "n", group.alias("component"))
-    split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    rest = cut_lineage(known.join(split, "gram"), "rest")
-    left, right = rest.select("gram", F.col("id").alias("a"), "n", F.col("component").alias("x")), rest.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("y"))
-    pairs = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")))
-    pairs = cut_lineage(apart(pairs, None), "pairs")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")]
+    members = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("xor")]
+    split = known.groupBy("gram").agg(*ends, *members).where("low <> high")
+    # lists of the same documents count once
+    split = split.groupBy("holders", "sum", "xor").agg(F.min("gram").alias("gram")).select("gram", "holders")
+    few = sketches.select("id", folded(F.col("bits"), F.lit(LEAST_WORDS)).alias("few"))
+    rest = known.join(split, "gram").join(few, "id")
+    pairs = cut_lineage(apart(unconnected_pairs(rest, num, den), None), "pairs")
     links = links.union(cut_lineage(compare(pairs, texts, n, num, den), "links"))
     found = connected_components(links).withColumnsRenamed({"node": "first", "component": "reached"})
     named = copies.join(found, "first", "left").select("same", F.coalesce("reached", "first").alias("component_id"))

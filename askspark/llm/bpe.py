@@ -148,7 +148,7 @@ class Transducer:
 class Encoder:
     """Text to token ids; special strings in a text become their own ids, as in the tokenizer's default."""
 
-    def __init__(self, path: str, known_units: int = 1_000_000, known_chars: int = 48):
+    def __init__(self, path: str, known_units: int = 400_000, known_chars: int = 48):
         self.v = Vocabulary(path)
         self.path, self.known_units, self.known_chars = path, known_units, known_chars
         self.known: dict[str, tuple[int, ...]] = {}

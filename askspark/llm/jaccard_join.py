@@ -43,7 +43,7 @@ class WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 2_000_000:
+        if len(self) > 250_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code

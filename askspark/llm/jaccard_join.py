@@ -146,7 +146,8 @@ def unconnected_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         group = group.sort_by("id")
         n, part = group.column("n").to_numpy(), group.column("part").to_numpy()
         component = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        bits = group.column("few").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        # unsigned, as the bits of a negative number are counted in its absolute value
+        bits = group.column("few").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), -1)
         one_part = group.column("low")[0].as_py() == group.column("high")[0].as_py()
         left, right = [], []
         for i in range(len(n) - 1):

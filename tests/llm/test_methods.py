@@ -10,12 +10,13 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from askspark.llm.bpe import AGREED, SPLIT, Encoder, Transducer, decode_stream, merge_bytes
 from askspark.llm.components import connected_components
 from askspark.llm.decontaminate import WuManber
-from askspark.llm.jaccard_join import divide_skip, similar_components
+from askspark.llm.jaccard_join import LEAST_WORDS, divide_skip, folded, parity_bits, similar_components, unconnected_pairs
 from askspark.llm.lattice_lm import Lattice
 from askspark.llm.nearest import hilbert_keys, nearest
 from askspark.llm.quality import score_quality
@@ -154,6 +155,50 @@ def test_join_finds_chains_of_near_copies_and_hot_groups(spark):
         assert got == similar_by_force(texts, n, num, den)
 
 
+def test_parity_bits_leave_every_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda k: rng.integers(-(2**63), 2**63 - 1, k)
+    for num, den in ((85, 100), (80, 100)):
+        sets = []
+        for size in (60, 120, 300, 800, 1000):
+            own = (den - num) * size // (den + num)  # as many as equal sets at the threshold may have for themselves
+            for _ in range(12):
+                both = draw(size - own)
+                sets += [np.unique(np.concatenate([both, draw(own)])) for _ in range(2)]
+        want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))}
+        assert len(want) == 60
+        rows = [(1, len(sets), i, len(s), i, parity_bits(s)) for i, s in enumerate(sets)]
+        table = spark.createDataFrame(rows, "gram long, holders long, id long, n long, component long, bits array<long>")
+        got = unconnected_pairs(table.withColumn("few", folded(F.col("bits"), F.lit(LEAST_WORDS))), num, den).collect()
+        assert want <= {(r.a, r.b) for r in got}
+
+
+def documents_of_shared_passages(pairs: int, others: int, changed: int) -> dict[int, str]:
+    """Long documents of passages that many of them hold, with words between that are theirs alone, so that the hub of a
+    list is similar to hardly any of the list. Of ``pairs`` there is another version with ``changed`` more words of its own."""
+    rng = random.Random(7)
+    own = (f"own{i}" for i in itertools.count())
+    pool = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(20)]
+    join = lambda passages: [w for p in passages for w in [*p, next(own)]]
+    chosen = [rng.sample(pool, 8) for _ in range(pairs + others)]
+    made = [join(c) for c in chosen]
+    for c in chosen[:pairs]:
+        again = join(c)
+        for k in range(changed):
+            again[k * len(again) // changed + 20] = next(own)
+        made.append(again)
+    rng.shuffle(made)
+    return {i: " ".join(m) for i, m in enumerate(made)}
+
+
+def test_join_finds_pairs_whose_lists_have_unrelated_hubs(spark):
+    texts = documents_of_shared_passages(30, 40, 10)
+    want = similar_by_force(texts, 4, 85, 100)
+    assert sum(i != c for i, c in want.items()) == 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_components(docs, 4, 85, 100).collect()} == want
+
+
 def test_nearest_is_exact_with_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 6)).astype(np.float32)

@@ -18,6 +18,7 @@ from askspark.llm.quality import score_quality
 from askspark.llm.revisits import resolve_revisits
 from askspark.llm.token_counts import token_counts
 from askspark.llm.url_filter import filter_urls
+from tests.llm.test_methods import documents_of_shared_passages, similar_by_force
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 LONG = "Under the MIT License. " + " ".join(f"word{i % 977}" for i in range(60_000)) + "x" * 30_000
@@ -204,6 +205,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert set(kept[0].asDict()) == set(plain.columns)
 
 
+def test_near_duplicate_stage_finds_pairs_whose_lists_have_unrelated_hubs(spark):
+    texts = documents_of_shared_passages(30, 40, 12)
+    want = similar_by_force(texts, 5, 80, 100)
+    assert sum(i != c for i, c in want.items()) == 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, c in want.items() if i == c]
+
+
 def test_pipeline_keeps_clean_and_drops_the_rest(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

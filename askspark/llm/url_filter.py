@@ -41,13 +41,35 @@ def canonical_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(F.lit("https://"), host, path, query))
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """``target`` as an address, where it is relative to the page ``url``: ``//host/x``, ``/x``, ``x``, ``../x``, ``?x`` or
+    ``#x``. Null for a relative one on a page without a host; one with a scheme, or empty, stays as it is."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    top = F.concat(scheme, F.lit("://"), host_of(url))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 2)
+    folder = F.when(path_of(url) == "", F.lit("/")).otherwise(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1))
+    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), "/")
+    go = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    done = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), go)
+    end = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit(""))
+    whole = (
+        F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(top, path_of(url), target))
+        .when(target.startswith("#"), url)
+        .otherwise(F.concat(top, F.lit("/"), F.array_join(done, "/"), end, rest))
+    )
+    return F.when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(host_of(url) != "", whole)
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Distinct (``a``, ``b``) of addresses that are the same page: the redirect to the plain form, ``<link
-    rel="canonical">`` and ``<meta http-equiv="refresh">`` of the page, each with its own plain form."""
+    rel="canonical">`` and ``<meta http-equiv="refresh">`` of the page, each with its own plain form. Relative targets
+    are resolved against the page's own address; ``<base>`` is not read. Targets of schemes without ``://`` (``mailto:x``), and
+    relative ones on a page without a host, name no page and give no edge."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
     link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    pages = pages.select(url.alias("url"), link.alias("link"), refresh.alias("refresh"))
+    pages = pages.select(url.alias("url"), resolved(link, url).alias("link"), resolved(refresh, url).alias("refresh"))
     targets = F.array(F.struct(F.col("url").alias("x")), F.struct(F.col("link").alias("x")), F.struct(F.col("refresh").alias("x")))
     seen = pages.select(node_of(F.col("url")).alias("page"), F.explode(targets).alias("t"))
     seen = seen.select("page", node_of(F.col("t.x")).alias("node"), canonical_of(F.col("t.x")).alias("plain"))

@@ -17,7 +17,7 @@ from askspark.llm.nearest import nearest
 from askspark.llm.quality import score_quality
 from askspark.llm.revisits import resolve_revisits
 from askspark.llm.token_counts import token_counts
-from askspark.llm.url_filter import filter_urls
+from askspark.llm.url_filter import filter_urls, resolved
 from tests.llm.test_methods import documents_of_shared_passages, similar_by_force
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -160,6 +160,25 @@ def test_urls(spark):
     assert without[1] == without[6] == "block" and without[7] == "allow"
 
 
+def test_relative_targets_are_aliases(spark):
+    base = "https://H.net/a/b/c.html?q=1#f"
+    want = {
+        "//X.org/y": "https://X.org/y", "/en/1?z": "https://h.net/en/1?z", "p.html": "https://h.net/a/b/p.html", "../p#g": "https://h.net/a/p#g", "../../../..": "https://h.net/",
+        "./": "https://h.net/a/b/", "..": "https://h.net/a/", "?r=2": "https://h.net/a/b/c.html?r=2", "#g": base, "go?to=http://x.org/": "https://h.net/a/b/go?to=http://x.org/",
+        "HTTP://x.org/": "HTTP://x.org/", "mailto:x": "mailto:x", "": "",
+    }
+    table = spark.createDataFrame([(t, base) for t in want], "target string, url string")
+    assert {r.target: r.got for r in table.select("target", resolved(F.col("target"), F.col("url")).alias("got")).collect()} == want
+    bare = spark.createDataFrame([("/x", "no scheme"), ("p", "http://h.net"), ("/x", None)], "target string, url string")
+    assert [r[0] for r in bare.select(resolved(F.col("target"), F.col("url"))).collect()] == [None, "http://h.net/p", None]
+    pages = spark.createDataFrame([
+        (1, "https://h.net/fr/1", '<link rel="canonical" href="/bad/1">'), (2, "https://h.net/es/2", '<link rel=canonical href="//bad.net/2">'),
+        (3, "https://h.net/bad/x/3", ""), (4, "https://h.net/de/4", '<meta http-equiv="refresh" content="0; url=../bad/4">'), (5, "https://h.net/en/5", '<link rel="canonical" href="5b">'),
+    ], "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in filter_urls(pages, [("h.net/bad/", "block"), ("bad.net/", "block")]).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_revisits(spark):
     h = lambda **x: {k.replace("_", "-"): v for k, v in x.items()}
     rows = [

@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import itertools
 import math
+import re
 
 import public_tokenizers
 import pytest
@@ -123,7 +125,7 @@ def test_licenses(spark, docs):
     assert found[1].labels == "" and found[1].first_word is None and found[1].score == 0
     changed = "note: Redistribution and use in source and also binary forms, with or without modification, are permitted provided that these following conditions are met"
     shown = scan_licenses(spark.createDataFrame([(1, changed), (2, "cc by nc cc by nc")], "doc_id long, text string")).collect()
-    assert [(r.labels, r.n_base) for r in sorted(shown)] == [("", 0), ("cc-by-nc", 2)] or [(r.labels, r.n_base) for r in sorted(shown)] == [("bsd", 0), ("cc-by-nc", 2)]
+    assert [(r.labels, r.n_base) for r in sorted(shown)] == [("", 0), ("cc-by-nc", 2)]  # 14 of the notice's 19 trigrams are left, less than 0.8
 
 
 def test_words_left_out_are_neighbouring_diagonals(spark):
@@ -242,3 +244,30 @@ def test_pipeline_keeps_clean_and_drops_the_rest(spark):
     first = {r.doc_id for r in similar_components(left).collect() if r.doc_id == r.component_id}
     clean = {r.doc_id for r in find_benchmark(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("NOT contaminated").collect()}
     assert kept == first & clean and len(kept) > 500
+
+
+def test_stages_equal_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode().lower().decode() for r in docs.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    first = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((first[a], first[b]))
+            first = {i: low if c == high else c for i, c in first.items()}
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_similar(spark, docs, sf).collect())
+    assert kept == sorted(i for i, c in first.items() if i == c) and len(kept) < len(texts)
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    cut = lambda w, m: {tuple(w[k : k + m]) for k in range(len(w) - m + 1)}
+    windows = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words((r.text or "").encode().lower().decode())
+        if w:
+            windows.setdefault(min(len(w), 10), set()).update(cut(w, min(len(w), 10)))
+    clean = sorted(i for i, t in texts.items() if not any(cut(words(t), m) & own for m, own in windows.items()))
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_clean(spark, docs, sf).collect()) == clean and len(clean) < len(texts)

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, quality, revisits, token_counts, url_filter
+from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, quality, revisits, token_counts, token_files, url_filter
 from askspark.llm.common import md5_number, table
+from askspark.session import cut_lineage, scratch_path
 
 ORACLES: dict[str, str] = {}
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -220,6 +221,16 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text", "round_trip")
 
 
+def op11_write_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.with_starts(cut_lineage(token_files.read_token_files(spark, path), "token-sums"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op7_nearest, op8_decontaminate, op9_similar_components, op10_bpe_round_trip)
+    f.__name__: f
+    for f in (
+        op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op7_nearest,
+        op8_decontaminate, op9_similar_components, op10_bpe_round_trip, op11_write_token_files,
+    )
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, quality, revisits, token_counts, token_files, url_filter
+from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, prefix_trie, quality, revisits, token_counts, token_files, url_filter
 from askspark.llm.common import md5_number, table
 from askspark.session import cut_lineage, scratch_path
 
@@ -227,10 +227,43 @@ def op11_write_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(cut_lineage(token_files.read_token_files(spark, path), "token-sums"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 5, F.crc32(conv.cast("string")) % 9, 8)
+
+
+_CRC_STEP = "list_reduce([xor(c, b)] || range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+_BYTES = "list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)"
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH turn_row AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([4294967295::BIGINT] || {_BYTES}, lambda c, b: {_CRC_STEP}), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM turn_row)),
+part AS (
+  SELECT c.conv_id, 0 AS piece, pos, role, text FROM conv c JOIN turn_row t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM conv c JOIN turn_row t ON t.conv_id = c.conv_id WHERE pos > h),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY piece, pos) AS depth FROM part),
+prefix AS (
+  SELECT conv_id, depth, strlen(text) AS bytes, string_agg(md5(md5(role) || md5(text)), '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS key FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, '' FROM conv),
+node AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes FROM prefix GROUP BY key, depth),
+child AS (SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+sub AS (
+  SELECT a.key, count(*) FILTER (child.key IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+  FROM node a JOIN node b ON starts_with(b.key, a.key) LEFT JOIN child ON child.key = b.key GROUP BY a.key),
+tail AS (SELECT key, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM prefix JOIN (SELECT conv_id, max(depth) AS depth FROM prefix GROUP BY 1) USING (conv_id, depth) GROUP BY key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node n JOIN sub USING (key) LEFT JOIN child ON child.key = n.key LEFT JOIN tail ON tail.key = n.key
+LEFT JOIN node p ON n.depth > 0 AND p.key = left(n.key, 32 * (n.depth - 1))
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op7_nearest,
-        op8_decontaminate, op9_similar_components, op10_bpe_round_trip, op11_write_token_files,
+        op8_decontaminate, op9_similar_components, op10_bpe_round_trip, op11_write_token_files, op12_prefix_trie,
     )
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askspark.llm import bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, prefix_trie, quality, revisits, token_counts, token_files, url_filter
+from askspark.llm import bag_search, bpe, decontaminate, jaccard_join, lattice_lm, license_scan, nearest, prefix_trie, quality, revisits, token_counts, token_files, url_filter
 from askspark.llm.common import md5_number, table
 from askspark.session import cut_lineage, scratch_path
 
@@ -260,10 +260,29 @@ LEFT JOIN node p ON n.depth > 0 AND p.key = left(n.key, 32 * (n.depth - 1))
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.lexical_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = f"""
+WITH doc AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+total AS (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM doc WHERE len(w) > 0),
+posting AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc) GROUP BY ALL),
+item AS (SELECT DISTINCT item_id, unnest({WORDS_SQL}) AS term FROM benchmark),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, total GROUP BY term, nn),
+size AS (SELECT doc_id, 100 - 90 + (90 * len(w)::BIGINT * nn) // ll AS m FROM doc, total WHERE len(w) > 0),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM item JOIN posting USING (term) JOIN weight USING (term) JOIN size USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_resolve_revisits, op2_filter_urls, op3_token_counts, op4_score_quality, op5_score_texts, op6_scan_licenses, op7_nearest,
         op8_decontaminate, op9_similar_components, op10_bpe_round_trip, op11_write_token_files, op12_prefix_trie,
+        op13_ranked_search,
     )
 }

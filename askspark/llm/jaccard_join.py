@@ -2,9 +2,10 @@
 
 Documents with equal n-gram sets are one. Two sets that reach the threshold share one of their rarest n-grams (the prefix
 filter), so candidates come from inverted lists of those alone. A list of many similar documents is not expanded into
-pairs: each document of a list is first compared with one of them, the list's hub, and only pairs that are still in
-different components after some rounds are compared one by one. Comparing is a T-occurrence search: the candidates of one
-document form short inverted lists, of which the shorter are merged by a heap and the longer are probed (DivideSkip).
+pairs: each document of a list is first compared with one of them, the list's hub. What a list still has in different
+components after some rounds of hubs is decided inside bounded tasks: sketches name the documents that may have a partner
+there; their n-grams become one inverted index, and every document searches it by T-occurrence: its shorter lists are
+merged by a heap, its longer ones are probed (DivideSkip). A task gives out links alone, fewer than it has documents.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ from askspark.session import cut_lineage
 FREQUENT = 1_000_000
 #: Candidates that one search takes at a time.
 BLOCK = 256
-#: Fewest bits of the sketches that rule out pairs before their texts are fetched, in numbers of 64 bits.
-LEAST_WORDS = 8
-#: Documents of one list that a task pairs with as many others.
-PAIRED = 512
+#: Fewest bits of the sketches that rule out pairs before their texts are fetched, in numbers of 64 bits, and most of those
+#: that go to the tasks of a list.
+LEAST_WORDS, MOST_WORDS = 8, 64
+#: Documents and n-grams of one list that a task takes together with as many others.
+PAIRED, PAIRED_GRAMS = 512, 1 << 20
+#: A pair that shares several lists is left to the first of them, as far as these many first lists of each tell.
+FIRST_LISTS = 8
 #: Fixed odd multipliers of the positions in an n-gram.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -130,39 +134,118 @@ def folded(bits: Column, words: Column) -> Column:
     )
 
 
-def unconnected_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (``a``, ``b``, ``n``, ``m``) of documents on one list and in different components that sizes and folded
-    bits leave possible. ``rows`` has gram, holders, id, n, component and few (folded bits).
+def may_link(n: np.ndarray, component: np.ndarray, bits: list[np.ndarray], firsts: list[np.ndarray], gram: int, apart: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Which documents have a possible partner: of fitting size, in another component, with sketches close enough, of the
+    other part (``apart`` tells the parts; None if all are of one), and without an earlier list that both are on."""
+    width = np.array([len(b) for b in bits])
+    found = np.zeros(len(n), bool)
+    for w in np.unique(width):
+        own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        at = np.concatenate((own, twice))
+        # halves of a sketch fold onto each other; sizes further apart do not fit anyway
+        sketch = np.array([bits[i] for i in own] + [bits[i][:w] ^ bits[i][w:] for i in twice], np.uint64).reshape(len(at), w)
+        size, group = n[at], component[at]
+        for k in range(len(own)):
+            rest = slice(k + 1, None)
+            total = size[k] + size[rest]
+            able = (np.minimum(size[k], size[rest]) * den >= np.maximum(size[k], size[rest]) * num) & (group[rest] != group[k])
+            if apart is not None:
+                able &= apart[at[rest]] != apart[at[k]]
+            able = np.flatnonzero(able)
+            differ = np.bitwise_count(sketch[k + 1 + able] ^ sketch[k]).sum(axis=1, dtype=np.int64)
+            able = able[(num + den) * (total[able] - differ) >= 2 * num * total[able]] + k + 1
+            for j in able.tolist():
+                if found[at[k]] and found[at[j]]:
+                    continue
+                common = np.intersect1d(firsts[at[k]], firsts[at[j]])
+                if not len(common) or common[0] >= gram:
+                    found[at[k]] = found[at[j]] = True
+    return found
+
+
+def searched(ids: list, components: list, sets: list[np.ndarray], num: int, den: int, mu: float = 0.0085) -> list[tuple[int, int]]:
+    """Links (places in ``ids``) that join the components of these documents as far as any link does.
+
+    One inverted index holds all sets. Each document searches it for later ones that it is not yet connected with.
+    """
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    index: dict[int, list[int]] = {}
+    for i, grams in enumerate(sets):
+        for g in grams.tolist():
+            index.setdefault(g, []).append(i)
+    sizes = [len(s) for s in sets]
+    out = []
+    for i, grams in enumerate(sets):
+        lists = sorted((x for g in grams.tolist() if len(x := index[g]) > 1 and x[-1] > i), key=len)
+        least = max(1, -(-num * sizes[i] // den))  # no partner needs less
+        if len(lists) < least:
+            continue
+        aside = min(least - 1, int(least / (mu * math.log(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        for j, same in groupby(heapq.merge(*(x[bisect.bisect_right(x, i) :] for x in short))):
+            if sizes[j] * den < sizes[i] * num or sizes[i] * den < sizes[j] * num:
+                continue
+            count, need = sum(1 for _ in same), least_overlap(sizes[i], sizes[j], num, den)
+            if count + len(long) < need or find(components[i]) == find(components[j]):
+                continue
+            for k, holders in enumerate(long):
+                if count >= need or count + len(long) - k < need:
+                    break
+                place = bisect.bisect_left(holders, j)
+                count += place < len(holders) and holders[place] == j
+            if count >= need:
+                root[find(components[i])] = find(components[j])
+                out.append((i, j))
+    return out
+
+
+def links_inside(known: DataFrame, split: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (``a``, ``b``) that connect the components of ``known`` (gram, id, n, component) on the lists of ``split`` (gram,
+    holders, grams) as far as any pair on one list does.
 
-    A list is cut into parts of about ``PAIRED`` documents, and each two parts meet in one group, so no group grows with
-    its list, and only possible pairs leave it.
+    A list is cut into parts of about ``PAIRED`` documents and ``PAIRED_GRAMS`` n-grams, and each two parts meet in one group,
+    so no group grows with its list. The first pass tells by sizes and sketches which documents a group needs; only their
+    texts are fetched, and the second pass searches them.
     """
-    parts = F.ceil(F.col("holders") / PAIRED).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    met = rows.select("*", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    met = met.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "component", "few")
+    rest = known.join(split, "gram")
+    few = sketches.select("id", F.when(F.size("bits") > MOST_WORDS, folded(F.col("bits"), F.lit(MOST_WORDS))).otherwise(F.col("bits")).alias("bits"))
+    firsts = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, FIRST_LISTS).alias("firsts"))
+    parts = F.ceil(F.greatest(F.col("holders") / PAIRED, F.col("grams") / PAIRED_GRAMS)).cast("int")
+    rows = rest.join(few, "id").join(firsts, "id").withColumns({"part": F.pmod(F.xxhash64("id"), parts).cast("int"), "parts": parts})
+    met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "component", "bits", "firsts")
+
+    def lists_of(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+        whole = column.combine_chunks()
+        values, edges = whole.flatten().to_numpy(zero_copy_only=False).view(kind), whole.offsets.to_numpy()
+        return [values[a - edges[0] : b - edges[0]] for a, b in zip(edges, edges[1:])]
+
+    def needed(group: pa.Table) -> pa.Table:
+        component = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        one = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        bits, first = lists_of(group.column("bits"), np.uint64), lists_of(group.column("firsts"), np.int64)
+        found = may_link(group.column("n").to_numpy(), component, bits, first, group.column("gram")[0].as_py(), None if one else group.column("part").to_numpy(), num, den)
+        return group.select(["gram", "low", "high", "id", "component"]).filter(pa.array(found))
+
+    kind = known.schema["id"].dataType.simpleString()
+    members = met.groupBy("gram", "low", "high").applyInArrow(needed, f"gram long, low int, high int, id {kind}, component {kind}")
+    members = cut_lineage(members.distinct(), "members").join(texts, "id")
 
-    def pair(group: pa.Table) -> pa.Table:
+    def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        n, part = group.column("n").to_numpy(), group.column("part").to_numpy()
-        component = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        # unsigned, as the bits of a negative number are counted in its absolute value
-        bits = group.column("few").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), -1)
-        one_part = group.column("low")[0].as_py() == group.column("high")[0].as_py()
-        left, right = [], []
-        for i in range(len(n) - 1):
-            size, total = np.minimum(n[i], n[i + 1 :]) * den - np.maximum(n[i], n[i + 1 :]) * num, n[i] + n[i + 1 :]
-            able = np.flatnonzero((size >= 0) & (component[i] != component[i + 1 :]) & (one_part | (part[i] != part[i + 1 :])))
-            differ = np.bitwise_count(bits[i + 1 + able] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            able = able[(num + den) * (total[able] - differ) >= 2 * num * total[able]] + i + 1
-            left.append(np.full(len(able), i))
-            right.append(able)
-        a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (left, right))
-        ids, sizes = group.column("id"), group.column("n")
-        return pa.table({"a": ids.take(a), "b": ids.take(b), "n": sizes.take(a), "m": sizes.take(b)})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return met.groupBy("gram", "low", "high").applyInArrow(pair, f"a {kind}, b {kind}, n long, m long").distinct()
+        ids = group.column("id")
+        sets = [gram_hashes(v.as_py() or "", n) for v in group.column("text")]
+        found = searched(ids.to_pylist(), group.column("component").to_pylist(), sets, num, den)
+        a, b = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+
+    return members.groupBy("gram", "low", "high").applyInArrow(search, f"a {kind}, b {kind}")
 
 
 def frequent_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,9 +312,9 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     def search(group: pa.Table) -> pa.Table:
         owner, ids = group.column("a").to_pylist(), group.column("id").to_pylist()
         grams = [gram_hashes(v.as_py() or "", n) for v in group.column("text")]
-        query = next((g for a, i, g in zip(owner, ids, grams) if a == i), None)
+        queries = [g for a, i, g in zip(owner, ids, grams) if a == i]  # several where one id has several texts
         others = [k for k, (a, i) in enumerate(zip(owner, ids)) if a != i]
-        hits = [] if query is None else [ids[others[k]] for k in divide_skip(query, [grams[k] for k in others], num, den)]
+        hits = [ids[others[k]] for query in queries for k in divide_skip(query, [grams[k] for k in others], num, den)]
         types = group.schema.field("a").type
         return pa.table({"a": pa.array([owner[0]] * len(hits), types), "b": pa.array(hits, types)})
 
@@ -245,11 +328,12 @@ def similar_components(
     over links. Two documents link where ``den`` * intersection >= ``num`` * union of their n-gram sets.
 
     Words are runs without white space, A-Z lower-cased. With fewer than ``n`` words all of them are one n-gram; a null or
-    empty text has none and links with nothing. Repeated rows give repeated rows. A row without an id gets the component
-    of documents with the same set, or null. Other columns are ignored.
+    empty text has none and links with nothing. Repeated rows give repeated rows. Rows of one id are one document: it links
+    with whatever one of its texts links with. A row without an id gets the component of documents with the same set, or
+    null. Other columns are ignored.
 
-    No link is lost: lists hold every document that shares a prefix n-gram, and what the ``rounds`` of hubs leave in
-    different components is compared pair by pair.
+    No link between components is lost: lists hold every document that shares a prefix n-gram, and what the ``rounds`` of
+    hubs leave in different components is searched.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut_lineage(signatures(rows, n, num, den), "signatures")
@@ -260,7 +344,7 @@ def similar_components(
     shared = spread.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1").select("gram")
     lists = cut_lineage(spread.join(shared, "gram"), "lists")
     wanted = lists.select("id").distinct()
-    texts = cut_lineage(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = cut_lineage(rows.join(wanted, "id", "left_semi").distinct(), "texts")
 
     sketches = whole.select("id", "n", "bits")
 
@@ -290,15 +374,15 @@ def similar_components(
         found = cut_lineage(connected_components(links), "components")
     group = F.coalesce("component", "id")
     known = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "n", group.alias("component"))
-    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")]
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders"), F.sum("n").alias("grams")]
     members = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("xor")]
     split = known.groupBy("gram").agg(*ends, *members).where("low <> high")
     # lists of the same documents count once
-    split = split.groupBy("holders", "sum", "xor").agg(F.min("gram").alias("gram")).select("gram", "holders")
-    few = sketches.select("id", folded(F.col("bits"), F.lit(LEAST_WORDS)).alias("few"))
-    rest = known.join(split, "gram").join(few, "id")
-    pairs = cut_lineage(apart(unconnected_pairs(rest, num, den), None), "pairs")
-    links = links.union(cut_lineage(compare(pairs, texts, n, num, den), "links"))
+    split = split.groupBy("holders", "sum", "xor").agg(F.min("gram").alias("gram"), F.max("grams").alias("grams")).select("gram", "holders", "grams")
+    links = links.union(cut_lineage(links_inside(cut_lineage(known, "known"), split, sketches, texts, n, num, den), "links"))
+    # the sets of one id belong together
+    several = some.where(F.col("id").isNotNull()).groupBy("id").agg((F.min("same") < F.max("same")).alias("several")).where("several").select("id")
+    links = links.union(some.join(several, "id").join(copies, "same").select(F.col("id").alias("a"), F.col("first").alias("b")))
     found = connected_components(links).withColumnsRenamed({"node": "first", "component": "reached"})
     named = copies.join(found, "first", "left").select("same", F.coalesce("reached", "first").alias("component_id"))
     joined = signed.join(named, "same", "left")

@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 from askspark.llm.bpe import AGREED, SPLIT, Encoder, Transducer, decode_stream, merge_bytes
 from askspark.llm.components import connected_components
 from askspark.llm.decontaminate import WuManber
-from askspark.llm.jaccard_join import LEAST_WORDS, divide_skip, folded, parity_bits, similar_components, unconnected_pairs
+from askspark.llm import jaccard_join
+from askspark.llm.jaccard_join import divide_skip, may_link, parity_bits, searched, similar_components
 from askspark.llm.lattice_lm import Lattice
 from askspark.llm.nearest import hilbert_keys, nearest
 from askspark.llm.quality import score_quality
@@ -155,22 +156,65 @@ def test_join_finds_chains_of_near_copies_and_hot_groups(spark):
         assert got == similar_by_force(texts, n, num, den)
 
 
-def test_parity_bits_leave_every_pair_at_the_threshold(spark):
-    rng = np.random.default_rng(6)
+def sets_at_the_threshold(sizes, num, den, copies, seed):
+    """Pairs of sets that just reach the threshold, and those pairs."""
+    rng = np.random.default_rng(seed)
     draw = lambda k: rng.integers(-(2**63), 2**63 - 1, k)
-    for num, den in ((85, 100), (80, 100)):
+    sets = []
+    for size in sizes:
+        own = (den - num) * size // (den + num)  # as many as equal sets at the threshold may have for themselves
+        for _ in range(copies):
+            both = draw(size - own)
+            sets += [np.unique(np.concatenate([both, draw(own)])) for _ in range(2)]
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))}
+    assert len(want) == len(sizes) * copies
+    return sets, want
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_sketches_leave_every_pair_at_the_threshold(num):
+    sets, want = sets_at_the_threshold((60, 120, 300, 800, 1000, 2000, 5000, 20_000), num, 100, 6, num)
+    n, bits = np.array([len(s) for s in sets]), [np.array(parity_bits(s), np.int64).view(np.uint64) for s in sets]
+    none = [np.zeros(0, np.int64)] * len(sets)
+    link = lambda pair, **more: may_link(n[pair], np.array([0, 1]), [bits[i] for i in pair], [none[i] for i in pair], 5, None, num, 100).tolist()
+    for a, b in want:
+        assert link([a, b]) == [True, True]
+    apart = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if (a, b) not in want and 0.9 < n[a] / n[b] < 1.1]
+    assert not any(any(link(list(p))) for p in apart)  # sets of any size that share nothing are ruled out
+
+
+def test_a_pair_is_left_to_the_first_list_it_shares():
+    bits = [np.zeros(8, np.uint64)] * 2
+    ask = lambda firsts, gram, component=(0, 1), part=None: may_link(np.array([9, 9]), np.array(component), bits, [np.array(f, np.int64) for f in firsts], gram, part, 85, 100).tolist()
+    assert ask(([1, 4], [2, 4]), 4) == [True, True] and ask(([1, 4], [2, 4]), 7) == [False, False]
+    assert ask(([1], [2]), 7) == [True, True] and ask(([1], [2]), 7, (3, 3)) == [False, False]
+    assert ask(([1], [2]), 7, part=np.array([0, 0])) == [False, False] and ask(([1], [2]), 7, part=np.array([0, 1])) == [True, True]
+
+
+def test_index_search_joins_what_links(spark):
+    rng = random.Random(9)
+    for num, den in ((85, 100), (1, 2), (99, 100)):
+        pool = [rng.randrange(-(2**63), 2**63) for _ in range(400)]
         sets = []
-        for size in (60, 120, 300, 800, 1000):
-            own = (den - num) * size // (den + num)  # as many as equal sets at the threshold may have for themselves
-            for _ in range(12):
-                both = draw(size - own)
-                sets += [np.unique(np.concatenate([both, draw(own)])) for _ in range(2)]
-        want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))}
-        assert len(want) == 60
-        rows = [(1, len(sets), i, len(s), i, parity_bits(s)) for i, s in enumerate(sets)]
-        table = spark.createDataFrame(rows, "gram long, holders long, id long, n long, component long, bits array<long>")
-        got = unconnected_pairs(table.withColumn("few", folded(F.col("bits"), F.lit(LEAST_WORDS))), num, den).collect()
-        assert want <= {(r.a, r.b) for r in got}
+        for _ in range(12):
+            seed = set(rng.sample(pool, rng.choice([5, 40, 200])))
+            for _ in range(8):
+                sets.append(np.array(sorted(seed ^ set(rng.sample(pool, rng.randrange(0, 1 + len(seed) // 8)))), np.int64))
+        links = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))}
+        got = searched(list(range(len(sets))), list(range(len(sets))), sets, num, den)
+        assert set(got) <= links
+
+        def groups(pairs):
+            low = list(range(len(sets)))
+            for _ in low:
+                for a, b in pairs:
+                    low[a] = low[b] = min(low[a], low[b])
+            return low
+
+        assert groups(got) == groups(links) and len(got) == len(sets) - len(set(groups(links)))
+    sets, want = sets_at_the_threshold((2000, 5000, 20_000), 85, 100, 3, 2)
+    assert set(searched(list(range(len(sets))), list(range(len(sets))), sets, 85, 100)) == want
+    assert searched([0, 1], [7, 7], [sets[0]] * 2, 85, 100) == []
 
 
 def documents_of_shared_passages(pairs: int, others: int, changed: int) -> dict[int, str]:
@@ -199,11 +243,28 @@ def test_join_finds_pairs_whose_lists_have_unrelated_hubs(spark):
     assert {r.doc_id: r.component_id for r in similar_components(docs, 4, 85, 100).collect()} == want
 
 
+def test_lists_are_cut_into_parts_and_left_to_their_first(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRED", 3)
+    texts = documents_of_shared_passages(12, 14, 10)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_components(docs, 4, 85, 100, rounds=1).collect()}
+    assert got == similar_by_force(texts, 4, 85, 100)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = lambda words, k: " ".join([*words[:k], "new", *words[k + 1 :]])
+    rows = [(1, " ".join(base)), (2, near(base, 3)), (2, " ".join(other)), (3, near(other, 58)), (4, "alone in here"), (4, "not like the rest"), (5, "not like the rest")]
+    got = sorted(map(tuple, similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()))
+    assert [(i, c) for i, _, c in got] == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4)]
+
+
 def test_nearest_is_exact_with_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 6)).astype(np.float32)
     rows = [(i, [float(x) for x in base[i % 37]]) for i in range(60)]
-    bad = [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0, 0, 0, 0]), (103, [float("nan")] * 6), (104, [1.0]), (None, [1.0] * 6), (105, [float("inf"), 0, 0, 0, 0, 0.0])]
+    bad = [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, [float("nan")] * 6), (104, [1.0]), (None, [1.0] * 6), (105, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0])]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     got = {}
     for r in nearest(table, table.vec_id % 5 == 0, window=2, curves=2).collect():

@@ -10,15 +10,16 @@ from typing import TypeVar
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-T = TypeVar("T")
+Made = TypeVar("Made")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The word patterns of the contracts.
 WORD_CHARS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
-def per_worker(name: str, make: Callable[[], T]) -> T:
+def per_worker(name: str, make: Callable[[], Made]) -> Made:
     """An object built once in each Python worker process and kept for its later tasks."""
     store = sys.modules.setdefault("askspark_worker_store", types.ModuleType("askspark_worker_store"))
     if not hasattr(store, name):
@@ -52,7 +53,8 @@ def append_arrow(
     names = df.columns
     kept = len(names) - instead_of
     inner = [f"c{i}" for i in range(kept + len(made))]
-    kinds = [*(f.dataType.simpleString() for f in df.schema.fields[:kept]), *made.values()]
+    kinds = [*(f.dataType for f in df.schema.fields[:kept]), *map(T.DataType.fromDDL, made.values())]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(inner, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = begin()
@@ -60,4 +62,4 @@ def append_arrow(
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *function(batch)], names=inner)
 
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(inner, kinds))).toDF(*names[:kept], *made)
+    return plain.mapInArrow(run, schema).toDF(*names[:kept], *made)

@@ -80,7 +80,7 @@ def _pass(docs: DataFrame, text_col: str, windows: list) -> DataFrame:
     def begin():
         items: dict[tuple[str, ...], set[str]] = {}
         for window, item in shared.value:
-            items.setdefault(tuple(window.split(" ")), set()).add(item)
+            items.setdefault(tuple(window.split(" ")), set()).update([] if item is None else [item])
         by_length: dict[int, list] = {}
         for p in items:
             by_length.setdefault(len(p), []).append(p)
@@ -120,7 +120,8 @@ def find_benchmark(
     (items with occurring windows), ``items`` (their ids as strings, sorted), ``hit_spans`` (merged [start, end) word
     positions, flat) and ``contaminated`` (``n_hit`` > 0). Columns of ``docs`` with these names are replaced.
 
-    A null or empty text has no words and is clean; an item without words matches nothing; an empty benchmark leaves all
+    A null or empty text has no words and is clean; an item without words matches nothing; one without an id hits words but
+    is not counted; an empty benchmark leaves all
     clean. Repeated rows give repeated rows. No shuffle of documents: the windows go to the tasks in groups of bounded
     size, one search after the other in the same scan.
     """

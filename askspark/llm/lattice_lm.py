@@ -18,12 +18,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askspark.session import cut_lineage
 
-#: Words frequent enough to be among about so many are looked up in the scan; rarer ones are joined. Bounds a broadcast.
-FREQUENT = 200_000
-FREQUENT_CHARS = 48
+#: The most frequent words, up to so many and so many bytes, are looked up in the scan; rarer ones are joined. Bounds a broadcast.
+FREQUENT, FREQUENT_BYTES = 200_000, 32 << 20
+#: A word this long brings as many bytes with each occurrence, so it cannot be a hot key.
+HUGE_BYTES = 1 << 16
 START = "▁"
 LN10 = math.log(10)
 
@@ -169,6 +171,7 @@ def piece_counts(words: DataFrame, pieces: dict[str, float], byte_scores: list[f
 
 def score_texts(
     docs: DataFrame, held_out: Column, model_file: str, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1,
+    reestimate: bool = True, whole_words: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (those that occur in
     training), ``train_tokens``, ``base_score`` (smoothed word unigram) and ``score`` (log10 probability of the text: the sum
@@ -178,8 +181,11 @@ def score_texts(
     empty text is one end. Without training rows the scores of the vocabulary stand as they are, and all tokens are
     unknown. Repeated rows give repeated rows; other columns are ignored.
 
-    Counts, expected uses and scores are made once per distinct word. Frequent words (about ``FREQUENT`` of them, the most
-    frequent) are scored inside the scan, so no hot word is ever a join key; the others are joined.
+    ``reestimate=False`` leaves the pieces the scores of the vocabulary, ``whole_words=False`` leaves out the arcs of training
+    words; with both false ``score`` is the likelihood of the vocabulary alone.
+
+    Counts, expected uses and scores are made once per distinct word. The most frequent words (within ``FREQUENT`` and
+    ``FREQUENT_BYTES``) are scored inside the scan, so that no hot word is a join key; the others are joined.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -192,14 +198,14 @@ def score_texts(
     found = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = (found["n"] or 0) + ends, found["v"] + (ends > 0)
     end = -math.log(101)
-    if ends:
+    if ends and reestimate:
         uses, byte_uses = piece_counts(words, pieces, byte_scores)
         total = math.log(sum(uses.values()) + sum(byte_uses) + ends + smoothing * (len(pieces) + 257))
         pieces = {p: math.log(u + smoothing) - total for p, u in uses.items()}
         byte_scores = [math.log(u + smoothing) - total for u in byte_uses]
         end = math.log(ends + smoothing) - total
     base = lambda c: (F.log10(c + smoothing) - math.log10(n + smoothing * (v + 1)))
-    own = n / (n + v) if n else 0.0
+    own = n / (n + v) if n and whole_words else 0.0
     mixed = lambda c, p: math.log10(own * c / max(n, 1) + (1 - own) * math.exp(p)) if c and own else p / LN10 + math.log10(1 - own)
     shared = spark.sparkContext.broadcast((pieces, byte_scores))
 
@@ -214,62 +220,69 @@ def score_texts(
     scored = cut_lineage(scored.select("word", (F.col("c") > 0).cast("int").alias("known"), "c", base(F.col("c")).alias("base"), "lattice"), "scores")
     # the count from which a word is frequent: from a histogram of counts in steps of an eighth of a doubling
     step = F.floor(F.log2(F.col("c")) * 8)
-    short = F.char_length("word") <= FREQUENT_CHARS
-    histogram = scored.where((F.col("c") > 0) & short).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    least, sum_so_far = None, 0
+    size = F.octet_length("word")
+    short = size < HUGE_BYTES
+    histogram = scored.where((F.col("c") > 0) & short).groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum(size).alias("bytes")).orderBy(F.desc("step")).collect()
+    least, n_words, n_bytes = None, 0, 0
     for r in histogram:
-        sum_so_far += r["count"]
-        if sum_so_far > FREQUENT:
+        n_words, n_bytes = n_words + r["words"], n_bytes + r["bytes"]
+        if n_words > FREQUENT or n_bytes > FREQUENT_BYTES:
             break
         least = r["step"]
     frequent = [] if least is None else scored.where((F.col("c") > 0) & short & (step >= least)).select("word", "base", "lattice").collect()
     known = spark.sparkContext.broadcast({r["word"].encode(): (r["base"], r["lattice"]) for r in frequent})
 
+    kind = rows.schema["id"].dataType
+    fields = [("row", T.LongType()), ("id", kind), ("held_out", T.BooleanType()), ("word", T.StringType())]
+    fields += [(c, T.LongType()) for c in ("times", "tokens", "known")] + [(c, T.DoubleType()) for c in ("base", "lattice")]
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text one row without a word: what its frequent words and counts give; and one for each other word."""
         get = known.value.get
-        names = ["row", "word", "times", "tokens", "known", "base", "lattice"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = [n for n, _ in fields]
+        types = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(x, t) for x, t in zip(zip(*out), types)]
-            columns[1] = columns[1].cast(pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=names)
+        def flush(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+            place, *rest = zip(*out)
+            columns = [pa.array(x, t) for x, t in zip(rest, types)]
+            columns[2] = columns[2].cast(pa.string())
+            return pa.RecordBatch.from_arrays([columns[0], batch.column("id").take(pa.array(place, pa.int32())), *columns[1:]], names=names)
 
         for batch in batches:
             out: list[tuple] = []
-            for row, value in zip(batch.column("row").to_pylist(), batch.column("text")):
+            for place, (row, held, value) in enumerate(zip(batch.column("row").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"))):
                 tokens = tokens_of(value.as_py())
                 n_known = 0
                 base_sum = lattice_sum = 0.0
                 for word, times in Counter(tokens).items():
                     hit = get(word)
                     if hit is None:
-                        out.append((row, word, times, 0, 0, 0.0, 0.0))
+                        out.append((place, row, held, word, times, 0, 0, 0.0, 0.0))
                     else:
                         n_known += times
                         base_sum += times * hit[0]
                         lattice_sum += times * hit[1]
-                out.append((row, None, 0, len(tokens), n_known, base_sum, lattice_sum))
+                out.append((place, row, held, None, 0, len(tokens), n_known, base_sum, lattice_sum))
                 if len(out) > 50_000:
-                    yield flush()
+                    yield flush(batch, out)
                     out = []
             if out:
-                yield flush()
+                yield flush(batch, out)
 
-    met = rows.select("row", "text").mapInArrow(look_up, "row long, word string, times long, tokens long, known long, base double, lattice double")
+    # rows are numbered and written in one job, so that a number means one row whatever is read or computed again later
+    met = rows.select("row", "id", "held_out", "text").mapInArrow(look_up, T.StructType([T.StructField(*f) for f in fields]))
     met = cut_lineage(met, "tokens")
     rare = met.where(F.col("word").isNotNull()).select("row", "word", "times")
     rare = rare.join(scored.where(F.col("word").isNotNull()), "word")
     times = F.col("times")
-    parts = rare.select(
-        "row", F.lit(0).cast("long").alias("tokens"), (times * F.col("known")).alias("known"), (times * F.col("base")).alias("base"),
-        (times * F.col("lattice")).alias("lattice"),
+    parts = rare.groupBy("row").agg(
+        F.sum(times * F.col("known")).alias("known_too"), F.sum(times * F.col("base")).alias("base_too"), F.sum(times * F.col("lattice")).alias("lattice_too"),
     )
-    sums = met.where(F.col("word").isNull()).select("row", "tokens", "known", "base", "lattice").union(parts)
-    sums = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "lattice")))
+    sums = met.where(F.col("word").isNull()).drop("word", "times").join(parts, "row", "left")
+    plus = lambda c: F.col(c) + F.coalesce(F.col(f"{c}_too"), F.lit(0))
     end_base = math.log10(ends + smoothing) - math.log10(n + smoothing * (v + 1))
-    return rows.select("row", "id", "held_out").join(sums, "row").select(
-        F.col("id").alias(id_col), "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"),
-        (F.col("lattice") + mixed(ends, end)).alias("score"),
+    return sums.select(
+        F.col("id").alias(id_col), "held_out", (F.col("tokens") + 1).alias("n_tokens"), (plus("known") + int(ends > 0)).alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (plus("base") + end_base).alias("base_score"),
+        (plus("lattice") + mixed(ends, end)).alias("score"),
     )

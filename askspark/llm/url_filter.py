@@ -67,9 +67,10 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     are resolved against the page's own address; ``<base>`` is not read. Targets of schemes without ``://`` (``mailto:x``), and
     relative ones on a page without a host, name no page and give no edge."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    pages = pages.select(url.alias("url"), resolved(link, url).alias("link"), resolved(refresh, url).alias("refresh"))
+    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^<>]*\brel\s*=\s*["']?canonical\b)[^<>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^<>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    pages = pages.select(url.alias("url"), link.alias("link"), refresh.alias("refresh"))
+    pages = pages.select("url", *(resolved(F.col(c), F.col("url")).alias(c) for c in ("link", "refresh")))
     targets = F.array(F.struct(F.col("url").alias("x")), F.struct(F.col("link").alias("x")), F.struct(F.col("refresh").alias("x")))
     seen = pages.select(node_of(F.col("url")).alias("page"), F.explode(targets).alias("t"))
     seen = seen.select("page", node_of(F.col("t.x")).alias("node"), canonical_of(F.col("t.x")).alias("plain"))

@@ -12,7 +12,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import public_tokenizers  # noqa: E402
-from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from askspark.llm.bpe import bpe_round_trip  # noqa: E402
@@ -22,6 +22,8 @@ from askspark.llm.jaccard_join import similar_components  # noqa: E402
 from askspark.llm.quality import score_quality  # noqa: E402
 from askspark.session import scratch_path  # noqa: E402
 
+PLACE = "place among the rows of one id"
+
 
 def columns(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
@@ -34,10 +36,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 on five-word shingles, the one whose id names the group stays. Documents without words
-    are copies of nothing and stay. Of repeated rows with one id, one stays."""
+    are copies of nothing and stay. Of rows with one id, the first stays, in the order of hashes and contents of their columns."""
     groups = similar_components(docs, 5, 80, 100)
     chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(chosen.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(columns(docs)).dropDuplicates(["doc_id"])
+    order = [F.xxhash64("text"), "text", *(F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c in docs.columns if c not in ("doc_id", "text"))]
+    first = Window.partitionBy("doc_id").orderBy(*order)
+    kept = docs.join(chosen.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(columns(docs))
+    kept = kept.withColumn(PLACE, F.row_number().over(first)).where(F.col(PLACE) == 1).select(columns(docs))
     return kept.union(docs.where("doc_id IS NULL"))
 
 

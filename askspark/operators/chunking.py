@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askspark.functions.text import strip
+
 # Most pages of a tier, chunk size and overlap in characters.
 TIERS = [(5, 500, 50), (15, 1000, 100), (None, 2000, 200)]
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -17,7 +19,7 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 
 def drop_empty_documents(df: DataFrame, col: str = "text", min_chars: int = 1) -> DataFrame:
     """Documents with at least ``min_chars`` characters of readable text."""
-    return df.where(F.length(F.regexp_replace(col, r"(?U)^\s+|\s+$", "")) >= min_chars)
+    return df.where(F.length(strip(F.col(col))) >= min_chars)
 
 
 def chunk_tier(df: DataFrame, n_pages: str | Column = "n_pages") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askspark.functions import text as T
+from askspark.functions.sql_text import sql_table_refs
 
 # Names never taken for a table.
 STOP_NAMES = ["the", "all", "a", "an", "my", "this", "that", "some"]
@@ -21,22 +22,33 @@ def extract_fenced_block(df: DataFrame, col: str, lang: str, out: str) -> DataFr
     return df.withColumn(out, T.fenced_block(F.col(col), lang))
 
 
-def extract_table_refs(df: DataFrame, col: str) -> DataFrame:
-    """One row per table reference in each query text, numbered from 0 in order of discovery."""
+def extract_table_refs(df: DataFrame, col: str, read: str = "pattern") -> DataFrame:
+    """One row per table reference in each query text, numbered from 0 in order of discovery.
+
+    ``read="pattern"`` takes quoted pairs anywhere and pairs after a table word, whatever they are part of; ``"tokens"``
+    reads the text token by token and takes only what stands where a table is named.
+    """
+    if read not in ("pattern", "tokens"):
+        raise ValueError("read must be 'pattern' or 'tokens'")
     others = [c for c in df.columns if c != col]
-    return df.select(*others, F.posexplode(T.table_refs(F.col(col))).alias("ref_no", "ref")).select(
+    refs = T.table_refs(F.col(col)) if read == "pattern" else sql_table_refs(F.col(col))
+    return df.select(*others, F.posexplode(refs).alias("ref_no", "ref")).select(
         *others, "ref_no", F.col("ref.db").alias("db"), F.col("ref.tbl").alias("tbl")
     )
 
 
-def unknown_table_refs(df: DataFrame, id_col: str, sql_col: str, catalog: DataFrame) -> DataFrame:
-    """References to a table that the catalog does not list, also when the database itself is unknown."""
-    refs = extract_table_refs(df.select(id_col, sql_col), sql_col)
-    known = catalog.select("db", "tbl").distinct()
-    databases = known.select("db", F.lit(True).alias("db_known")).distinct()
+def unknown_table_refs(df: DataFrame, id_col: str, sql_col: str, catalog: DataFrame, read: str = "pattern", match_case: bool = True) -> DataFrame:
+    """References to a table that the catalog does not list, also when the database itself is unknown (``db_known`` tells).
+
+    ``read`` as for ``extract_table_refs``; without ``match_case`` names are compared in lower case, as Spark does.
+    """
+    key = (lambda c: F.col(c)) if match_case else (lambda c: F.lower(c))
+    refs = extract_table_refs(df.select(id_col, sql_col), sql_col, read).withColumns({"__db": key("db"), "__tbl": key("tbl")})
+    known = catalog.select(key("db").alias("__db"), key("tbl").alias("__tbl")).distinct()
+    databases = known.select("__db", F.lit(True).alias("db_known")).distinct()
     return (
-        refs.join(known, ["db", "tbl"], "left_anti")
-        .join(databases, "db", "left")
+        refs.join(known, ["__db", "__tbl"], "left_anti")
+        .join(databases, "__db", "left")
         .select(id_col, "ref_no", "db", "tbl", F.coalesce("db_known", F.lit(False)).alias("db_known"))
     )
 

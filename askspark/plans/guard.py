@@ -95,8 +95,23 @@ def _relation_names(plan) -> list[tuple[list[str], int]]:
     return own + [x for p in inner if hasattr(p, "expressions") for x in _relation_names(p)]
 
 
+def _column_names(plan) -> list[tuple[list[str], int]]:
+    """(parts of the name, position in the text) of the columns that a parsed query names."""
+
+    def inside(expression) -> list:
+        own = []
+        if _kind(expression) == "UnresolvedAttribute" and expression.origin().startIndex().isDefined():
+            own = [(_seq(expression.nameParts()), expression.origin().startIndex().get())]
+        below = [x for child in _seq(expression.children()) for x in inside(child)]
+        return own + below + ([x for p in _plans_in(expression) for x in _column_names(p)] if _kind(expression) in SUBQUERIES else [])
+
+    own = [x for e in _seq(plan.expressions()) for x in inside(e)]
+    inner = _seq(plan.children()) + _seq(plan.innerChildren())
+    return own + [x for p in inner if hasattr(p, "expressions") for x in _column_names(p)]
+
+
 def _short_names(spark: SparkSession, sql: str, tables: dict) -> str:
-    """``sql`` with each allowed name of several parts, where it names a table, as one quoted name."""
+    """``sql`` with each allowed name of several parts, where it names a table or stands before a column, as one quoted name."""
     known = {n.lower(): n for n in tables if "." in n}
     if not known:
         return sql
@@ -104,7 +119,9 @@ def _short_names(spark: SparkSession, sql: str, tables: dict) -> str:
         parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:
         raise RefusedQuery(str(error).splitlines()[0]) from error
-    for parts, start in sorted(set((tuple(p), s) for p, s in _relation_names(parsed)), key=lambda x: -x[1]):
+    named = {(tuple(p), s) for p, s in _relation_names(parsed)}
+    named |= {(tuple(p[:-1]), s) for p, s in _column_names(parsed) if len(p) > 2}
+    for parts, start in sorted(named, key=lambda x: -x[1]):
         name = known.get(".".join(parts).lower())
         if name and (m := re.compile(r"\s*\.\s*".join(f"(?:`{re.escape(x)}`|{re.escape(x)})" for x in parts), re.IGNORECASE).match(sql, start)):
             sql = f"{sql[:start]}`{name}`{sql[m.end():]}"

@@ -461,16 +461,19 @@ def written(question: str, schema: str) -> str:
     return "Sure:\n```sql\nSELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM `shop`.`orders` GROUP BY o_orderpriority;\n```\nDone."
 
 
-@query("ask_tables_display", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("ask_tables_display", """
+    SELECT *, (SELECT count(*) FROM orders) AS n_total, (SELECT count(*) > 50 FROM orders) AS truncated
+    FROM orders ORDER BY o_orderkey LIMIT 50""")
 def _(spark, d):
-    return ask_tables(spark, "Show me the nation table", shop(d)).rows
+    return ask_tables(spark, "Show me the orders table", shop(d)).rows
 
 
 @query("ask_tables_schema", f"""
-    SELECT 'shop' AS db, 'customer' AS tbl, position::INTEGER AS position, c AS "column", t AS type
-    FROM (VALUES {", ".join(str((i, c, t)) for i, (c, t) in enumerate(PROFILED))}) AS v(position, c, t) WHERE (SELECT count(*) FROM customer) > 0""")
+    SELECT 'shop' AS db, 'customer' AS tbl, position::INTEGER AS position, c AS "column", t AS type,
+           (SELECT count(*) FROM customer) AS n_rows, n_missing
+    FROM ({" UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS c, '{t}' AS t, (SELECT count(*) - count({c}) FROM customer) AS n_missing" for i, (c, t) in enumerate(PROFILED))})""")
 def _(spark, d):
-    return ask_tables(spark, "What columns does customer have", {"shop.customer": paths(d)["customer"]}).rows
+    return ask_tables(spark, "What columns does customer have", shop(d)).rows
 
 
 @query("ask_tables_calculation", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderpriority")
@@ -478,6 +481,35 @@ def _(spark, d):
     return ask_tables(spark, "Total order value per priority", shop(d), written).rows
 
 
+ALIASED = """SELECT `o`.`o_orderstatus`, count(*) AS n, max(`c`.`c_name`) AS last -- not from shop.nowhere
+    FROM `shop`.`orders` `o` JOIN Shop.Customer AS c ON `o`.`o_custkey` = c.c_custkey WHERE 'see join no.table' <> '' GROUP BY `o`.`o_orderstatus`"""
+
+
+@query("ask_tables_aliases", "SELECT o_orderstatus, count(*) AS n, max(c_name) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def _(spark, d):
+    """Columns behind quoted aliases, names in another case, dotted words in comments and texts."""
+    return ask_tables(spark, "How many orders per status", shop(d), lambda question, schema: f"```sql\n{ALIASED}\n```").rows
+
+
+@query("ask_tables_long_names", "SELECT o_orderpriority, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def _(spark, d):
+    """Columns named with their database and table."""
+    sql = "SELECT shop.orders.o_orderpriority, CAST(SUM(shop.orders.o_custkey) AS BIGINT) AS keys FROM shop.orders GROUP BY shop.orders.o_orderpriority"
+    return ask_tables(spark, "Sum of keys per priority", shop(d), lambda question, schema: sql).rows
+
+
+def corrects(question: str, schema: str) -> str:
+    """A model that names a table that is not there, then a column, and mends what it is told."""
+    if "no_such_table" not in question:
+        return "SELECT count(*) AS n FROM shop.no_such_table"
+    return "SELECT count(*) AS n, max(o_totalprice) AS top FROM shop.orders" if "`no_such_column`" in question else "SELECT no_such_column FROM shop.orders -- no_such_table"
+
+
+@query("ask_tables_corrected", "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders")
+def _(spark, d):
+    return ask_tables(spark, "How many orders are there", shop(d), corrects).rows
+
+
 @query("ask_sheet", "SELECT count(*) AS n FROM part")
 def _(spark, d):
     """A spreadsheet is one table behind a loader; without a model its rows are counted."""

@@ -92,6 +92,54 @@ def _(spark, d):
     return G.unknown_table_refs(events(spark, d, sql=I.QUERY_TEXT), "event_id", "sql", catalog(spark))
 
 
+# Query texts of twenty shapes, and the tables that each names: {t} is one of several names, {n} a line end, {q} a quote.
+SHAPES = [
+    ("SELECT * FROM shop.{t}", ["shop"]),
+    ("select `o`.`o_custkey` from `shop`.`{t}` `o`", ["shop"]),
+    ("SELECT o.x FROM shop.{t} AS o JOIN logs.{t} p ON o.x = p.x", ["shop", "logs"]),
+    ("SELECT 1 -- FROM no.table{n}FROM shop.{t}", ["shop"]),
+    ("SELECT /* JOIN no.table */ a.b FROM shop.{t} a", ["shop"]),
+    ("SELECT {q}text from no.table{q} AS x FROM shop.{t}", ["shop"]),
+    ('SELECT "text from no.table" FROM logs.{t}', ["logs"]),
+    ("WITH c AS (SELECT * FROM shop.{t}) SELECT c.x FROM c JOIN logs.{t} l ON c.x = l.x", ["shop", "logs"]),
+    ("SELECT shop.{t}.x FROM shop.{t}", ["shop"]),
+    ("SELECT * FROM shop.{t} a, logs.{t} b, other.{t} WHERE a.x = b.x", ["shop", "logs", "other"]),
+    ("SELECT EXTRACT(YEAR FROM o.day) FROM shop.{t} o", ["shop"]),
+    ("SELECT x IS DISTINCT FROM o.y FROM shop.{t} o", ["shop"]),
+    ("SELECT * FROM shop.{t} WHERE x IN (SELECT l.x FROM logs.{t} l WHERE l.y = {q}it{q}{q}s from no.table{q})", ["shop", "logs"]),
+    ("SELECT * FROM (shop.{t} a JOIN logs.{t} b ON a.x = b.x)", ["shop", "logs"]),
+    ("UPDATE shop.{t} SET a.x = 1 WHERE a.y = 2", ["shop"]),
+    ("INSERT INTO shop.{t} SELECT * FROM lake.logs.{t}", ["shop", "logs"]),
+    ("SELECT count(DISTINCT o.x), max(o.y) FROM shop . {t} o GROUP BY o.z", ["shop"]),
+    ("SELECT * FROM {t}", []),
+    ("SELECT * FROM `my shop`.`{t}` UNION ALL SELECT * FROM Logs.{t} ORDER BY a.x", ["my shop", "Logs"]),
+    ("SELECT (SELECT max(p.x) FROM logs.{t} p) AS m FROM shop.{t} s LEFT JOIN logs.events e ON s.x = e.x AND e.y = s.y", ["logs", "shop", "logs.events"]),
+]
+NAMED = "CASE event_id % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'events' ELSE 'missing' END"
+SHAPED = (
+    f"CASE event_id % {len(SHAPES)} "
+    + " ".join(f"WHEN {i} THEN '" + s.replace("{t}", f"' || {NAMED} || '").replace("{n}", "' || chr(10) || '").replace("{q}", "''") + "'" for i, (s, _) in enumerate(SHAPES))
+    + " END"
+)
+TOKEN_REFS_SQL = " UNION ALL ".join(
+    f"SELECT event_id, {k}::INTEGER AS ref_no, '{ref.partition('.')[0]}' AS db, " + (f"'{ref.partition('.')[2]}'" if "." in ref else NAMED) + f" AS tbl FROM events WHERE event_id % {len(SHAPES)} = {i}"
+    for i, (_, refs) in enumerate(SHAPES) for k, ref in enumerate(refs)
+)
+
+
+@query("g02_table_refs_by_tokens", TOKEN_REFS_SQL)
+def _(spark, d):
+    return G.extract_table_refs(events(spark, d, sql=SHAPED), "sql", "tokens")
+
+
+@query("g03_unknown_refs_by_tokens", f"""
+    WITH refs AS ({TOKEN_REFS_SQL}), cat AS ({CATALOG_SQL})
+    SELECT event_id, ref_no, db, tbl, lower(db) IN (SELECT db FROM cat) AS db_known FROM refs
+    WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.db = lower(refs.db) AND cat.tbl = lower(refs.tbl))""")
+def _(spark, d):
+    return G.unknown_table_refs(events(spark, d, sql=SHAPED), "event_id", "sql", catalog(spark), "tokens", match_case=False)
+
+
 def aggregate_sql(text: str) -> str:
     return "(" + " OR ".join(f"contains(upper({text}), '{m}')" for m in T.AGGREGATE_MARKS) + ")"
 

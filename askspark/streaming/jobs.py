@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from askspark.operators.chunking import chunk_documents, drop_empty_documents
 from askspark.operators.conversations import retain_recent, upsert_sessions
 from askspark.operators.lexical import TermIndex, index_of_tokens, term_stats
+from askspark.operators.segments import add_batch, open_index
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -60,6 +61,22 @@ def load_stream_index(spark: SparkSession, out: str) -> TermIndex:
     return index_of_tokens(chunks)._replace(postings=postings, terms=terms, stored=True)
 
 
+def stream_segments(source: DataFrame, path: str, checkpoint: str, size: int = 500, overlap: int = 50) -> StreamingQuery:
+    """Documents (doc_id, text) to a segment index at ``path``, one segment a batch.
+
+    A document that arrives again replaces what was there; one whose text is null or blank is deleted. Within a batch a
+    document comes once. A repeated batch changes nothing. ``segments.block_max_top_k`` searches the index.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        documents = batch.select("doc_id", "text")
+        chunks = chunk_documents(drop_empty_documents(documents), size, overlap)
+        keyed = chunks.select(F.col("doc_id").alias("document"), F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text")
+        add_batch(open_index(batch.sparkSession, path), keyed, documents.select(F.col("doc_id").alias("document")), batch_id)
+
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def compact_sessions(spark: SparkSession, out: str, into: str, as_of: str, days: int) -> None:
     """Write the versions under ``out`` that still matter to ``into``, where later batches may go on: per session the first
     and the last, and only of sessions updated within ``days`` before ``as_of`` or without a readable time."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askspark.operators.chunking import drop_empty_documents
+from askspark.operators import segments
+from askspark.operators.chunking import chunk_documents, drop_empty_documents
 from askspark.operators.lexical import bm25_top_k, term_stats
 from askspark.session import scratch_path
 from askspark.sources import files, sessions
@@ -155,3 +156,40 @@ def _(spark, d):
     turns = stream(spark, d, "events").selectExpr("user_id AS session_id", "ts")
     jobs.stream_activity(turns, out, scratch_path(spark, "activity-progress")).awaitTermination()
     return spark.read.schema("session_id bigint, day timestamp_ntz, n_turns bigint").parquet(out)
+
+
+def _segments(spark, d):
+    """An index of five batches of documents, of which the fourth sends some again and the last deletes some."""
+    docs = drop_empty_documents(table(spark, d, "documents").select("doc_id", "text"))
+    parts = [docs.where(f"doc_id % 3 = {i}") for i in range(3)]
+    parts += [docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("again "), "text")), docs.where("doc_id % 11 = 0")]
+    index = segments.open_index(spark, scratch_path(spark, "segments"))
+    for batch, part in enumerate(parts):
+        chunks = chunk_documents(part.limit(0) if batch == 4 else part, 500, 50)
+        keyed = chunks.select(F.col("doc_id").alias("document"), F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text")
+        index = segments.add_batch(index, keyed, part.select(F.col("doc_id").alias("document")), batch)
+    return index
+
+
+HELD_SQL = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'again ' || text ELSE text END AS text, 500 AS chunk_size, 50 AS chunk_overlap FROM documents WHERE doc_id % 11 <> 0"
+
+
+@query("x01_segment_search", f"""
+    WITH {bm25_ctes("SELECT item_id AS qid, text FROM benchmark", "SELECT doc_id || '#' || chunk_no AS key, " + WORDS + " AS tokens FROM (" + chunk_sql(HELD_SQL, "doc_id, chunk_no, text") + ")", WORDS, PLUS_ONE)}
+    SELECT qid, key, round(score, 6) AS score, rank FROM sparse""")
+def _(spark, d):
+    """What holds after all batches, searched by blocks."""
+    search = segments.block_max_top_k(table(spark, d, "benchmark").selectExpr("item_id AS qid", "text"), _segments(spark, d))
+    return search.hits.withColumn("score", F.round("score", 6))
+
+
+@query("d05_block_max_top_k", f"""
+    WITH {bm25_ctes("SELECT item_id AS qid, text FROM benchmark", "SELECT doc_id || '#' || chunk_no AS key, " + WORDS + " AS tokens FROM (" + chunk_sql(FIXED_SQL, "doc_id, chunk_no, text") + ")", WORDS, PLUS_ONE)}
+    SELECT qid, key, round(score, 6) AS score, rank FROM sparse""")
+def _(spark, d):
+    chunks = chunk_documents(drop_empty_documents(table(spark, d, "documents").select("doc_id", "text")), 500, 50)
+    keyed = chunks.select(F.col("doc_id").alias("document"), F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text")
+    index = segments.open_index(spark, scratch_path(spark, "segments"))
+    index = segments.add_batch(index, keyed, keyed.select("document"), 0)
+    search = segments.block_max_top_k(table(spark, d, "benchmark").selectExpr("item_id AS qid", "text"), index)
+    return search.hits.withColumn("score", F.round("score", 6))

@@ -130,3 +130,37 @@ def stream_activity(source: DataFrame, out: str, checkpoint: str, ts: str = "ts"
         .option("checkpointLocation", checkpoint).option("path", out)
         .trigger(availableNow=True).start()
     )
+
+
+def stream_activity_parts(source: DataFrame, out: str, checkpoint: str, ts: str = "ts", key: str = "session_id", days: int = 7) -> StreamingQuery:
+    """Turns per key and day of event time, on time and late ones apart.
+
+    A row is late where its day ended more than ``days`` before the newest event of the batches before its own. Every batch
+    writes its counts and its newest event under its own id, so a repeated batch replaces itself; ``read_activity`` adds
+    them up. Rows without a time belong to no day and are left out.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stamped = batch.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("at")).where("at IS NOT NULL")
+        newest = None
+        if batch_id:
+            earlier = spark.read.schema("newest timestamp, batch_id long").parquet(f"{out}/newest").where(F.col("batch_id") < batch_id)
+            newest = earlier.agg(F.max("newest")).first()[0]
+        day = F.date_trunc("day", "at")
+        closed = F.lit(False) if newest is None else day + F.expr("INTERVAL 1 DAY") <= F.lit(newest) - F.make_interval(days=F.lit(int(days)))
+        counts = stamped.groupBy("key", day.cast("timestamp_ntz").alias("day"), closed.alias("late")).agg(F.count(F.lit(1)).alias("n_turns"))
+        counts.write.mode("overwrite").parquet(_batch_folder(f"{out}/counts", batch_id))
+        stamped.agg(F.max("at").alias("newest")).write.mode("overwrite").parquet(_batch_folder(f"{out}/newest", batch_id))
+
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_activity(spark: SparkSession, out: str, key: str = "session_id", days: int = 7) -> DataFrame:
+    """(``key``, day, n_turns, n_late, closed) over all batches of ``stream_activity_parts``: the turns of a day that came on
+    time and late, and whether later ones would be late. ``n_turns`` of a closed day does not change any more."""
+    newest = spark.read.parquet(f"{out}/newest").agg(F.max("newest")).scalar()
+    counts = spark.read.parquet(f"{out}/counts").groupBy("key", "day")
+    sums = counts.agg(*(F.coalesce(F.sum(F.when(F.col("late") == late, F.col("n_turns"))), F.lit(0)).alias(n) for n, late in (("n_turns", False), ("n_late", True))))
+    closed = F.col("day").cast("timestamp") + F.expr("INTERVAL 1 DAY") <= newest - F.make_interval(days=F.lit(int(days)))
+    return sums.select(F.col("key").alias(key), "day", "n_turns", "n_late", closed.alias("closed"))

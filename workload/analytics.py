@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from askspark.operators import catalog as K
 from askspark.operators import relational as R
+from askspark.operators import sketches
+from askspark.operators.skew import interval_join, skew_join
 from askspark.plans.guard import guarded_sql
 from askspark.plans.tables import ask_tables
+from askspark.session import cut_lineage
 from workload.tables import NAMES, paths, table
 
 QUERIES, ORACLES = {}, {}
@@ -96,6 +99,30 @@ QUERIES["r06_join_tables_salted"] = lambda spark, d: _join(spark, d, salt=4)
 ORACLES["r06_join_tables_salted"] = JOIN_SQL
 
 
+@query("r06_skew_join", """
+    WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 1 ELSE user_id END AS c_custkey, value FROM events)
+    SELECT c_custkey, c_name, count(*) AS n, round(sum(value), 4) AS total FROM e JOIN customer USING (c_custkey) GROUP BY 1, 2""")
+def _(spark, d):
+    # One key has half of the rows; what it meets is repeated for the tasks that share it.
+    e = table(spark, d, "events").selectExpr("CASE WHEN event_id % 2 = 0 THEN 1 ELSE user_id END AS c_custkey", "value")
+    met = skew_join(e, table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    return R.group_totals(met, ["c_custkey", "c_name"], {"n": "count(1)", "total": "round(sum(value), 4)"})
+
+
+@query("r06_interval_join", """
+    WITH span AS (SELECT n_nationkey, step, TIMESTAMP '2024-01-01' + to_days(n_nationkey) AS low,
+            TIMESTAMP '2024-01-01' + to_days(n_nationkey) + to_seconds(step) AS high
+        FROM nation, (SELECT unnest([60, 3600, 86400, 2592000, 315360000]) AS step))
+    SELECT n_nationkey, step::BIGINT AS step, count(*) AS n, sum(event_id)::BIGINT AS ids FROM span JOIN events ON ts >= low AND ts < high GROUP BY 1, 2""")
+def _(spark, d):
+    """Intervals from one minute to ten years in one table."""
+    steps = "explode(array(60L, 3600L, 86400L, 2592000L, 315360000L)) AS step"
+    spans = table(spark, d, "nation").selectExpr("n_nationkey", "TIMESTAMP_NTZ '2024-01-01' + make_interval(0, 0, 0, n_nationkey) AS low", steps)
+    spans = spans.selectExpr("n_nationkey", "step", "low", "low + make_interval(0, 0, 0, 0, 0, 0, step) AS high")
+    met = interval_join(table(spark, d, "events").select("event_id", "ts"), spans, "ts", "low", "high")
+    return R.group_totals(met, ["n_nationkey", "step"], {"n": "count(1)", "ids": "sum(event_id)"})
+
+
 def top_customers(spark, d):
     spend = R.group_totals(table(spark, d, "orders"), ["o_custkey"], {"total_spend": "round(sum(o_totalprice), 2)", "n_orders": "count(1)"})
     # Only customers that exist compete, and names are looked up for the ten winners alone.
@@ -293,6 +320,22 @@ def _(spark, d):
     return R.distinct_values(table(spark, d, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("r14_distinct_by_sketches", """
+    SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, true AS users_near, true AS median_near FROM events GROUP BY event_type""")
+def _(spark, d):
+    """Users and median value per type from merged daily sketches: within 4 standard errors (6.5 %) and 2 % of the ranks."""
+    events = table(spark, d, "events")
+    days = cut_lineage(sketches.sketch_periods(events, "ts", "day", ["event_type"], ["user_id"], ["value"]), "daily-sketches")
+    month = sketches.read_sketches(sketches.merge_sketches(days, ["event_type"]), {"median": 0.5})
+    exact = events.join(month.select("event_type", "value_median"), "event_type")
+    exact = exact.groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("n_users"),
+        (F.abs(F.avg((F.col("value") <= F.col("value_median")).cast("double")) - 0.5) <= 0.02).alias("median_near"),
+    )
+    near = (F.abs(F.col("user_id_distinct") - F.col("n_users")) <= 0.065 * F.col("n_users")).alias("users_near")
+    return month.join(exact, "event_type").select("event_type", "n_rows", "n_users", near, "median_near")
+
+
 @query("r14_value_counts", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def _(spark, d):
     return R.value_counts(table(spark, d, "orders"), "o_orderpriority")

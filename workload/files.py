@@ -193,3 +193,20 @@ def _(spark, d):
     index = segments.add_batch(index, keyed, keyed.select("document"), 0)
     search = segments.block_max_top_k(table(spark, d, "benchmark").selectExpr("item_id AS qid", "text"), index)
     return search.hits.withColumn("score", F.round("score", 6))
+
+
+@query("x03_late_activity", """
+    WITH e AS (SELECT user_id AS session_id, ts, date_trunc('day', ts)::TIMESTAMP AS day, event_id % 5 = 0 AS second FROM events),
+    first_newest AS (SELECT max(ts) AS m FROM e WHERE NOT second), newest AS (SELECT max(ts) AS m FROM e)
+    SELECT session_id, day, count(*) FILTER (NOT late) AS n_turns, count(*) FILTER (late) AS n_late,
+           day + INTERVAL 1 DAY <= (SELECT m FROM newest) - INTERVAL 7 DAYS AS closed
+    FROM (SELECT *, second AND day + INTERVAL 1 DAY <= (SELECT m FROM first_newest) - INTERVAL 7 DAYS AS late FROM e) GROUP BY session_id, day""")
+def _(spark, d):
+    """Events in two batches, of which the second has a fifth of all days: what is late by then is counted apart."""
+    source, out = scratch_path(spark, "events"), scratch_path(spark, "activity-parts")
+    events, progress = table(spark, d, "events").selectExpr("user_id AS session_id", "ts", "event_id % 5 = 0 AS second"), scratch_path(spark, "activity-progress")
+    for second in (False, True):
+        events.where(F.col("second") == second).drop("second").write.mode("append").parquet(source)
+        arrived = jobs.file_stream(spark, f"{source}/*.parquet", spark.read.parquet(source).schema)
+        jobs.stream_activity_parts(arrived, out, progress).awaitTermination()
+    return jobs.read_activity(spark, out)

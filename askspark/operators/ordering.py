@@ -1,7 +1,7 @@
 """Exact order statistics that never put one group into one task.
 
-Values are cut into ranges by approximate quantiles, and work is done per (group, range): a small piece even when one
-group holds most of the rows. The quantiles only steer the balance; every result is exact whatever the cut points are.
+Values are cut into ranges by approximate quantiles or by sampled rows, and work is done per (group, range): a small piece
+even when one group holds most of the rows. The bounds only steer the balance; every result is exact whatever they are.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from askspark.session import cut_lineage
 
@@ -99,77 +98,57 @@ def exact_percentiles(
     return placed.groupBy(*keys).agg(*ends).select(*keys, *result)
 
 
-def _steer(df: DataFrame, name: str) -> Column:
-    """A double that never falls where the column rises; it picks ranges, and the column itself orders inside them."""
-    c, kind = F.col(name), df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        c = c.cast("timestamp")
-    value = c.cast("double")
-    return F.when(F.isnan(value), math.inf).otherwise(value)  # NaN is the largest number
-
-
 def exact_ranks(
     df: DataFrame, part: list[str], by: str, tie: str, descending: bool = True, ranges: int | None = None
 ) -> DataFrame:
     """row_number, rank and dense_rank of *every* row, exact for hot groups and for hot values inside a group.
 
-    Each group is cut into ranges of the value. A value common enough to span several quantiles has a range of its own,
-    cut again by ranges of the tie column. Rows are numbered inside these pieces and shifted by the sizes of the pieces
-    before theirs. ``by`` and ``tie`` are numeric, time or text columns, ``tie`` unique within its group. They are compared as
-    they are: NaN is the largest number, and rows without a value come last.
+    Rows are dealt to ranges of (group, ``by``, ``tie``). The bounds are sampled rows, compared as they are, so texts with a
+    common prefix, a value that fills a group and a group that fills the table are all cut, as ``tie`` is unique within its
+    group. Rows are numbered inside a range and shifted by what earlier ranges hold of their group, told by one row per group
+    and range. ``by`` and ``tie`` are columns that Spark can order: NaN is the largest number, rows without a value come last.
     """
-    value = _steer(df, by)
-    rows = df.withColumns({
-        "__group": F.to_json(F.struct(*part)),  # never NULL, so that the join below keeps the windows' partitioning
-        "__x": -value if descending else value,
-        "__tie": _steer(df, tie),
-    })
-    cuts, tie_cuts = ([c for c in found if math.isfinite(c)] for found in _cuts(rows, ["__x", "__tie"], _how_many(df, ranges)))
-    common = {a for a, b in zip(cuts, cuts[1:]) if a == b}
-    splits = sorted({*cuts, *(math.nextafter(v, math.inf) for v in common)})
-    rows = _number(_number(rows, "__x", splits, "__range"), "__tie", sorted(set(tie_cuts)), "__piece")
-    # Range number i + 1 starts at splits[i]; the last number stands for missing values, which are all alike.
-    one_value = [float(splits.index(v) + 1) for v in common] + [float(len(splits) + 1)]
-    if common and not isinstance(df.schema[by].dataType, T.DoubleType | T.FloatType | T.IntegerType | T.ShortType | T.ByteType | T.DateType):
-        # values too close for a double share a range that the tie column must not cut; at most one row per range comes back
-        several = rows.where(F.col("__range").isin(one_value)).groupBy("__range").agg((F.min(by) < F.max(by)).alias("several"))
-        mixed = {r["__range"] for r in several.where("several").collect()}
-        one_value = [v for v in one_value if v not in mixed]
-    rows = rows.withColumn("__piece", F.when(F.col("__range").isin(one_value), F.col("__piece")).otherwise(0.0))
-
-    cell = ["__group", "__range", "__piece"]
-    sizes = (
-        rows.groupBy(*cell, F.col(by).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*cell).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    how_many = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The group is never NULL, so that the join below keeps the windows' partitioning.
+    rows = df.withColumn("__group", F.to_json(F.struct(*part)))
+    dealt = rows.repartitionByRange(how_many, F.col("__group"), first, F.col(tie)).withColumn("__range", F.spark_partition_id())
+    # Written once: numbers and shifts must see the same ranges.
+    dealt = cut_lineage(dealt, "rank-ranges")
+
+    cell = ["__group", "__range"]
+    order = F.struct(F.col("__v").isNull() != F.lit(descending), "__v")
+    value = F.struct("__v", "n")
+    ends = [F.max_by(value, order), F.min_by(value, order)] if descending else [F.min_by(value, order), F.max_by(value, order)]
+    heads = (
+        dealt.groupBy(*cell, F.col(by).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*cell)
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), ends[0].alias("first"), ends[1].alias("last"))
     )
-    earlier = Window.unboundedPreceding, -1
-    by_range = Window.partitionBy("__group").orderBy("__range").rowsBetween(*earlier)
-    by_piece = Window.partitionBy("__group", "__range").orderBy("__piece").rowsBetween(*earlier)
-    # Pieces of one range share its values: a range has as many values as any of its pieces.
-    starts = (
-        sizes.groupBy("__group", "__range").agg(F.sum("n").alias("n"), F.max("d").alias("d"))
+    of_group = Window.partitionBy("__group").orderBy("__range")
+    before = of_group.rowsBetween(Window.unboundedPreceding, -1)
+    # The first value of a range may go on from the range before. Its rank is where it began: remembered at the last range in
+    # which a value began that reaches the range's end.
+    shifts = (
+        heads.withColumn("goes_on", F.coalesce(F.lag("last").over(of_group)["__v"].eqNullSafe(F.col("first.__v")) & (F.row_number().over(of_group) > 1), F.lit(False)))
+        .withColumn("__n0", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("began", F.when((F.col("d") > 1) | ~F.col("goes_on"), F.col("__n0") + F.col("n") - F.col("last.n") + 1))
         .select(
-            "__group", "__range",
-            F.coalesce(F.sum("n").over(by_range), F.lit(0)).alias("__n0"),
-            F.coalesce(F.sum("d").over(by_range), F.lit(0)).alias("__d0"),
+            *cell, "__n0",
+            F.when(F.col("goes_on"), F.last("began", ignorenulls=True).over(before)).alias("__began"),
+            F.coalesce(F.sum(F.col("d") - F.col("goes_on").cast("int")).over(before), F.lit(0)).alias("__d0"),
         )
     )
-    offsets = sizes.select(*cell, F.coalesce(F.sum("n").over(by_piece), F.lit(0)).alias("__p0")).join(starts, ["__group", "__range"])
     inside = Window.partitionBy(*cell)
-    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    numbered = rows.withColumns({
+    numbered = dealt.withColumns({
         "__row": F.row_number().over(inside.orderBy(first, tie)),
         "__rank": F.rank().over(inside.orderBy(first)),
         "__dense": F.dense_rank().over(inside.orderBy(first)),
     })
-    return numbered.join(offsets, cell).select(
+    goes_on = F.col("__began").isNotNull()
+    return numbered.join(shifts, cell).select(
         *df.columns,
-        (F.col("__n0") + F.col("__p0") + F.col("__row")).alias("row_number"),
-        (F.col("__n0") + F.col("__rank")).alias("rank"),
-        (F.col("__d0") + F.col("__dense")).alias("dense_rank"),
+        (F.col("__n0") + F.col("__row")).alias("row_number"),
+        F.when(goes_on & (F.col("__dense") == 1), F.col("__began")).otherwise(F.col("__n0") + F.col("__rank")).alias("rank"),
+        (F.col("__d0") + F.col("__dense") - goes_on.cast("int")).alias("dense_rank"),
     )

@@ -59,3 +59,31 @@ def test_without_keys_and_few_rows(spark):
     assert exact_percentiles(df, [], "v", {"m": 0.5}).first()["m"] == 1.5
     nothing = spark.createDataFrame([], "g string, v double, id bigint")
     assert exact_ranks(nothing, ["g"], "v", "id").count() == 0
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_text_ranks_with_a_common_prefix(spark, descending):
+    """Texts that share their first bytes, with one hot text and one hot group: pieces stay small and ranks exact."""
+    rng = np.random.default_rng(3)
+    n = 8000
+    names = [None if x == 0 else f"Customer#{x:09d}" for x in np.where(rng.random(n) < 0.5, 77, rng.integers(0, 400, n))]
+    frame = pd.DataFrame({"g": rng.choice(["hot", "cold"], n, p=[0.9, 0.1]), "v": names, "id": [f"https://host/{i:08d}" for i in rng.permutation(n)]})
+    df = spark.createDataFrame(list(frame.itertuples(index=False, name=None)), "g string, v string, id string")
+    got = exact_ranks(df, ["g"], "v", "id", descending, ranges=16).toPandas().set_index("id")
+    for _, group in frame.groupby("g"):
+        known = sorted({v for v in group.v if v is not None}, reverse=descending)
+        dense = {v: i + 1 for i, v in enumerate([*known, None])}
+        rows = sorted((dense[v], i) for v, i in zip(group.v, group.id))
+        starts = {}
+        for at, (d, i) in enumerate(rows, 1):
+            starts.setdefault(d, at)
+            assert tuple(got.loc[i, ["row_number", "rank", "dense_rank"]]) == (at, starts[d], d)
+
+
+def test_no_task_holds_a_hot_text(spark):
+    df = spark.range(20000).selectExpr("'g' AS g", "'Customer#1' AS v", "concat('https://host/', lpad(id, 9, '0')) AS id")
+    ranked = exact_ranks(df, ["g"], "v", "id", ranges=20)
+    assert ranked.where("rank = 1 AND dense_rank = 1").count() == 20000
+    (stored,) = {f.rsplit("/", 1)[0] for f in ranked.inputFiles()}
+    sizes = [r["count"] for r in spark.read.parquet(stored).groupBy("__range").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3000

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from askspark.operators.chunking import chunk_documents, drop_empty_documents
 from askspark.operators.conversations import upsert_sessions
 from askspark.operators.lexical import term_stats
 from askspark.streaming import jobs
+from askspark.streaming.session_table import read_session_table, stale_folders, stream_session_table
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -79,3 +81,58 @@ def test_compacted_sessions_are_the_recent_ones(spark, tmp_path):
     whole = jobs.current_sessions(spark, f"{tmp_path}/out").where("session_id <> 3")
     assert rows(jobs.current_sessions(spark, f"{tmp_path}/into")) == rows(whole)
     assert spark.read.parquet(f"{tmp_path}/into").count() == 3
+
+
+SESSION_VERSIONS = "session_id int, title string, created_at string, version bigint, deleted boolean"
+
+
+def replayed(batches):
+    """Plain form of the session table: batches in turn, each by version."""
+    state = {}
+    for batch in batches:
+        cuts = {}
+        for s, _, _, v, gone in batch:
+            if gone:
+                cuts[s] = max(cuts.get(s, -1), v)
+        for s in cuts:
+            state.pop(s, None)
+        for s, title, created, v, gone in batch:
+            if not gone and v > cuts.get(s, -1):
+                first, last = state.get(s, ((v, created), (v, title)))
+                state[s] = (min(first, (v, created)), max(last, (v, title)))
+    return sorted((first[1], s, last[1], last[0]) for s, (first, last) in state.items())
+
+
+def test_session_table(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    versions = [(int(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9])), f"t{v}", f"c{v:03d}", int(v), bool(rng.random() < 0.15)) for v in rng.permutation(120)]
+    # Each batch knows late and early versions; the last one only deletes, and empties the table of one session.
+    batches = [versions[:50], versions[50:60], versions[60:], [(3, None, None, 999, True), (77, None, None, 1, True)]]
+
+    def run(i):
+        stream = jobs.file_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/p0").schema)
+        stream_session_table(stream, f"{tmp_path}/out", f"{tmp_path}/progress", buckets=4).awaitTermination()
+        assert rows(read_session_table(spark, f"{tmp_path}/out")) == replayed(batches[: i + 1])
+
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, SESSION_VERSIONS).write.parquet(f"{tmp_path}/in/p{i}")
+        run(i)
+        for name in (str(i), f".{i}.crc"):  # lost after its output was written: the batch runs again
+            (tmp_path / "progress" / "commits" / name).unlink()
+        run(i)
+    table = read_session_table(spark, f"{tmp_path}/out")
+    folders = {f.rsplit("/", 2)[0] + "/" + f.rsplit("/", 2)[1] for f in table.inputFiles()}
+    assert sum(spark.read.parquet(f).count() for f in folders) == table.count()  # one stored row per session is read
+    assert len(folders) <= 4 and stale_folders(spark, f"{tmp_path}/out").count() >= 4
+
+
+def test_session_table_of_deletions_only(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "c", 1, True), (None, "b", "d", None, True)], SESSION_VERSIONS).write.parquet(f"{tmp_path}/in/p0")
+    for batch in ([(None, "x", "y", None, None)], [(None, "z", "w", 4, False)]):
+        stream = jobs.file_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/p0").schema)
+        stream_session_table(stream, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+        spark.createDataFrame(batch, SESSION_VERSIONS).write.mode("append").parquet(f"{tmp_path}/in/p1")
+    assert read_session_table(spark, f"{tmp_path}/out").select("session_id", "title", "created_at").collect() == [(None, "x", "y")]
+    stream = jobs.file_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/p0").schema)
+    stream_session_table(stream, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+    assert read_session_table(spark, f"{tmp_path}/out").select("session_id", "title", "created_at").collect() == [(None, "z", "y")]

@@ -10,6 +10,7 @@ from askspark.operators.lexical import bm25_top_k, term_stats
 from askspark.session import scratch_path
 from askspark.sources import files, sessions
 from askspark.streaming import jobs
+from askspark.streaming.session_table import read_session_table, stream_session_table
 from workload import tables as I
 from workload.documents import PLUS_ONE, WORDS, bm25_ctes, chunk_sql
 from workload.tables import table
@@ -148,6 +149,22 @@ def _(spark, d):
     return jobs.current_sessions(spark, out)
 
 
+@query("x02_session_table", f"""
+    WITH v AS (SELECT *, version % 3 * 1000000000 + version AS arrival, version % 5 = 4 AS deleted FROM ({I.select(VERSION_COLUMNS, "conversations")})),
+    cut AS (SELECT session_id, max(arrival) AS cut FROM v WHERE deleted GROUP BY session_id)
+    SELECT session_id, arg_min(created_at, version) AS created_at, arg_max(title, version) AS title, max(version) AS version
+    FROM v LEFT JOIN cut USING (session_id) WHERE NOT deleted AND (cut IS NULL OR arrival > cut) GROUP BY session_id""")
+def _(spark, d):
+    """Three batches, each with every third turn of all chats as versions; every fifth turn deletes its session."""
+    out, source, progress = (scratch_path(spark, f"session-table-{name}") for name in ("rows", "in", "progress"))
+    kept = ["session_id", "created_at", "title", "version"]
+    versions = table(spark, d, "conversations").selectExpr(*I.columns(VERSION_COLUMNS)).select(*kept, (F.col("version") % 5 == 4).alias("deleted"))
+    for batch in range(3):
+        versions.where(F.col("version") % 3 == batch).write.parquet(f"{source}/p{batch}")
+        stream_session_table(jobs.file_stream(spark, f"{source}/*", versions.schema), out, progress).awaitTermination()
+    return read_session_table(spark, out).select(*kept)
+
+
 @query("x03_stream_activity", """
     SELECT * FROM (SELECT user_id AS session_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n_turns FROM events GROUP BY 1, 2)
     WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS""")

@@ -1,4 +1,6 @@
 import base64
+import json
+import random
 
 import pytest
 
@@ -91,3 +93,44 @@ def test_text_function(spark):
     assert silent["answer"] is None and silent["answer_error"] is None
     with pytest.raises(ValueError):
         apply_text_fn(df, "{nope}")
+
+
+def tricky(rng, n):
+    text = lambda: "".join(rng.choice(['{', '}', '"', '\\', ',', 'é', '\n', 'a', ' ']) for _ in range(rng.randint(0, 12)))
+    return {f"{i}{text()}": {"title": text(), "summary": text(), "messages": [{"role": "user", "content": text()} for _ in range(rng.randint(0, 4))]} for i in range(n)}
+
+
+def test_history_files_are_read_in_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    files_of = {"one.json": (tricky(rng, 40), None), "two.json": (tricky(rng, 60), 2), "none.json": ({}, None)}
+    for name, (history, indent) in files_of.items():
+        (tmp_path / name).write_text(json.dumps(history, indent=indent, ensure_ascii=False))
+    (tmp_path / "blank.json").write_text(" \n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = sessions.read_history(spark, str(tmp_path))
+        got = {r["session_id"]: (r["title"], r["summary"], [m["content"] for m in r["messages"]]) for r in read.sessions.collect()}
+        blocks = spark.read.option("lineSep", "}").text(str(tmp_path / "two.json")).select("_metadata.file_block_start").distinct().count()
+        assert read.broken.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = {k: (v["title"], v["summary"], [m["content"] for m in v["messages"]]) for h, _ in files_of.values() for k, v in h.items()}
+    assert got == expected and blocks > 10
+
+
+def test_broken_history_is_counted(spark, tmp_path):
+    whole = {"a": {"title": "x", "messages": []}, "b": {"title": "y", "messages": []}}
+    cases = {
+        "cut": (json.dumps(whole)[:-12], ["a"], 2),  # b is cut off, and the object never ends
+        "open": (json.dumps(whole)[:-1], ["a", "b"], 1),
+        "number": ('{"a": {"title": "x"}, "n": 5, "b": {"title": "y"}}', ["a"], 1),
+        "text": ("no json at all", [], 2),
+        "colon": ('{"a": {"title" "x"}, "b": {"title": "y"}}', ["b"], 1),
+    }
+    for name, (text, ids, broken) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "h.json").write_text(text)
+        read = sessions.read_history(spark, str(tmp_path / name))
+        assert (sorted(r["session_id"] for r in read.sessions.collect()), read.broken.count()) == (ids, broken), name

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from askspark.operators import segments
@@ -98,6 +99,26 @@ def _(spark, d):
     return sessions.session_messages(read).join(heads, "session_id")
 
 
+@query("s07_history_in_blocks", f"""
+    SELECT session_id::VARCHAR AS session_id, title, file_metadata, created_at, updated_at, summary, turn, role, text AS content
+    FROM ({I.SESSIONS_SQL}) JOIN conversations ON session_id = conv_id""")
+def _(spark, d):
+    """Histories of one large JSON object each, made of members by ids, read block by block."""
+    path = scratch_path(spark, "history-objects")
+    messages = table(spark, d, "conversations").selectExpr("conv_id AS session_id", "turn", "role", "text AS content")
+    sessions.write_sessions(I.sessions(spark, d), messages, f"{path}/lines")
+    lines = spark.read.text(f"{path}/lines").select(
+        F.floor(F.regexp_extract("value", '"([0-9]+)"', 1).cast("bigint") / 5000).alias("object"), F.expr("substring(value, 2, length(value) - 2)").alias("member")
+    )
+    of_object = Window.partitionBy("object").orderBy("member")
+    first, last = F.lag("member").over(of_object).isNull(), F.lead("member").over(of_object).isNull()
+    rows = lines.select("object", F.concat(F.when(first, "{").otherwise(","), "member", F.when(last, "}").otherwise("")).alias("value"))
+    rows.write.partitionBy("object").text(f"{path}/objects")
+    read = sessions.read_history(spark, f"{path}/objects").sessions
+    heads = read.where("part = 0").drop("part", "messages")
+    return sessions.session_messages(read).join(heads, "session_id")
+
+
 def stream(spark, d, name):
     return jobs.file_stream(spark, f"{d}/{name}*.parquet", table(spark, d, name).schema)
 

@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askspark.llm.common import shuffle_parts
 from askspark.session import cut_lineage
 
-#: Queries that one pass of the exact check takes along; bounds a broadcast.
+#: Vectors and (about) queries that one group of the exact check holds.
+SLICE_ROWS = 32_768
 QUERY_BLOCK = 4096
 
 
@@ -68,7 +70,7 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
     return max(-1.0, min(1.0, total(a * b) / float(np.sqrt(total(a * a) * total(b * b)))))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
@@ -155,49 +157,50 @@ def window_hits(vectors: DataFrame, k: int, curves: int, dims: int, bits: int, w
 
 
 def check_hits(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Of all vectors, those that reach a query's bound, at most the best k + 4 per query and task. ``queries`` has q, vec
-    and bound, and is taken in blocks; ``vectors`` should be in an order that keeps near ones together."""
-    spark = vectors.sparkSession
+    """Of all vectors, those that reach a query's bound, at most the best k + 4 per query and slice.
+
+    ``queries`` has q, vec and bound; ``vectors`` a column ``slice`` that deals near ones to slices of bounded size. Blocks of
+    about ``QUERY_BLOCK`` queries, in no order, meet every slice in groups bounded on both sides; none passes the driver.
+    """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out: DataFrame | None = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        if not block:
-            continue
-        raw = np.array([np.frombuffer(r["vec"], np.float64) for r in block])
-        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in block]), raw, unit_rows(raw), np.array([r["bound"] for r in block]) - 1e-9))
-
-        def check(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, raw, unit, bound = shared.value
-            best: list[list] = [[] for _ in names]
-            bound = bound.copy()
-            for batch in batches:
-                ids, lists = batch.column("first").to_pylist(), batch.column("ids").to_pylist()
-                whole = matrix(batch.column("vec")) if ids else np.zeros((0, raw.shape[1]))
-                for start in range(0, len(ids), 1024):
-                    own = whole[start : start + 1024]
-                    to = unit_rows(own)
-                    middle = to.mean(axis=0)
-                    middle /= max(np.linalg.norm(middle), 1e-12)
-                    widest = np.arccos(np.clip((to @ middle).min(), -1, 1))
-                    nearest = np.cos(np.maximum(np.arccos(np.clip(unit @ middle, -1, 1)) - widest, 0))
-                    able = np.flatnonzero(nearest >= bound - 1e-6)
-                    score = unit[able] @ to.T
-                    for x, y in zip(*np.nonzero(score >= bound[able, None])):
-                        best[able[x]].append((score[x, y], ids[start + y], lists[start + y], own[y]))
-                    for x in able:
-                        if len(best[x]) > 4 * (k + 4):
-                            best[x] = sorted(best[x], key=lambda h: (-h[0], h[1]))[: k + 4]
-                            bound[x] = max(bound[x], best[x][-1][0] - 1e-9)
-            rows = []
-            for x, found in enumerate(best):
-                for _, i, own_ids, v in sorted(found, key=lambda h: (-h[0], h[1]))[: k + 4]:
-                    rows.append((int(names[x]), i, own_ids, exact_cosine(raw[x], v)))
-            yield hits(rows)
-
-        found = vectors.select("first", "ids", "vec").mapInArrow(check, HIT)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], HIT)
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    met = vectors.select(F.col("slice").alias("of")).distinct().select("of", every_block)
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    left = asked.join(met, "block").select("block", "of", "q", "vec", "bound")
+    right = vectors.select("slice", every_block, "key", "first", "ids", "vec")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([hits([])])
+        names, raw = left.column("q").to_numpy(), matrix(left.column("vec"))
+        unit, bound = unit_rows(raw), left.column("bound").to_numpy() - 1e-9
+        ids, lists = right.column("first").to_pylist(), right.column("ids").to_pylist()
+        whole = matrix(right.column("vec"))
+        by_place = np.lexsort((right.column("first").to_numpy(), right.column("key").to_numpy()))
+        best: list[list] = [[] for _ in names]
+        for start in range(0, len(by_place), 1024):
+            part = by_place[start : start + 1024]
+            own = whole[part]
+            to = unit_rows(own)
+            middle = to.mean(axis=0)
+            middle /= max(np.linalg.norm(middle), 1e-12)
+            widest = np.arccos(np.clip((to @ middle).min(), -1, 1))
+            nearest = np.cos(np.maximum(np.arccos(np.clip(unit @ middle, -1, 1)) - widest, 0))
+            able = np.flatnonzero(nearest >= bound - 1e-6)
+            score = unit[able] @ to.T
+            for x, y in zip(*np.nonzero(score >= bound[able, None])):
+                best[able[x]].append((score[x, y], ids[part[y]], lists[part[y]], own[y]))
+            for x in able:
+                if len(best[x]) > 4 * (k + 4):
+                    best[x] = sorted(best[x], key=lambda h: (-h[0], h[1]))[: k + 4]
+                    bound[x] = max(bound[x], best[x][-1][0] - 1e-9)
+        rows = []
+        for x, found in enumerate(best):
+            for _, i, own_ids, v in sorted(found, key=lambda h: (-h[0], h[1]))[: k + 4]:
+                rows.append((int(names[x]), i, own_ids, exact_cosine(raw[x], v)))
+        return pa.Table.from_batches([hits(rows)])
+
+    return left.groupBy("block", "of").cogroup(right.groupBy("block", "slice")).applyInArrow(check, HIT)
 
 
 def nearest(
@@ -225,7 +228,15 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"])
 
     kept = distinct_vectors(rows, k).mapInArrow(order, "first long, ids array<long>, asks boolean, vec binary, key long")
-    kept = cut_lineage(kept.repartitionByRange(shuffle_parts(vectors), "key", "first").sortWithinPartitions("key", "first"), "vectors")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            slices = (task << 32) + np.arange(done, done + batch.num_rows) // SLICE_ROWS
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slices, pa.int64())], names=[*batch.schema.names, "slice"])
+
+    along = kept.repartitionByRange(shuffle_parts(vectors), "key", "first").sortWithinPartitions("key", "first")
+    kept = cut_lineage(along.mapInArrow(deal, "first long, ids array<long>, asks boolean, vec binary, key long, slice long"), "vectors")
     best_first = Window.partitionBy("q").orderBy(F.desc("score"), "first")
 
     def best(found: DataFrame) -> DataFrame:

@@ -280,6 +280,17 @@ def test_nearest_is_exact_with_copies_and_unusable_vectors(spark):
     assert nearest(few, few.vec_id == 0).count() == 2
 
 
+def test_blocks_of_queries_meet_every_slice_of_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda: sorted(map(tuple, nearest(table, table.vec_id % 4 == 0, window=1, curves=1).collect()))
+    once = ask()
+    monkeypatch.setattr("askspark.llm.nearest.QUERY_BLOCK", 5)
+    monkeypatch.setattr("askspark.llm.nearest.SLICE_ROWS", 4)
+    assert ask() == once and len(once) == 23 * 5
+
+
 def test_windows_alone_find_neighbours_of_clustered_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(100, 16)) * 3

@@ -9,6 +9,7 @@ from askspark.operators import conversations as V
 from askspark.operators import routing as G
 from askspark.operators import traces
 from askspark.operators.catalog import catalog_table
+from askspark.plans.turns import take_turns
 from workload import tables as I
 from workload.tables import NAMES, table, texts
 
@@ -293,6 +294,41 @@ def _(spark, d):
     return V.compact_history(chats(spark, d), previous, trigger=6, keep=4)
 
 
+# Each user turn of a chat asks once more, the first of them now.
+NOW = "(SELECT * FROM conversations WHERE conv_id IN (SELECT conv_id FROM asked) UNION ALL SELECT conv_id, turn, 'user', prompt FROM asked)"
+TURN_CTES = f"""asked AS (SELECT conv_id, max(turn) + 1 AS turn, min_by(text, turn) FILTER (role = 'user' AND text IS NOT NULL) AS prompt FROM conversations
+        GROUP BY conv_id HAVING count(*) FILTER (role = 'user' AND text IS NOT NULL) > 0),
+    marked AS ({split_sql(10, 6).replace("FROM conversations", f"FROM {NOW}")}),
+    ses AS ({I.SESSIONS_SQL}),
+    told AS ({compacted_sql("SELECT * FROM marked", "SELECT session_id AS conv_id, summary FROM ses WHERE session_id IN (SELECT conv_id FROM asked)")}),
+    recent AS (SELECT conv_id, string_agg('[' || upper(role) || ']: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS lines
+        FROM marked WHERE NOT is_old AND role IN ('user', 'assistant') GROUP BY conv_id)"""
+
+
+def turns_taken(spark, d):
+    messages = chats(spark, d)
+    prompts = messages.where("role = 'user'").selectExpr("conv_id", "turn AS version", "text AS prompt")
+    return take_turns(I.sessions(spark, d), messages, prompts, "2024-02-01T00:00:00", lambda p: "Read " + p.str.len().astype(str) + " characters")
+
+
+@query("ask_chats_messages", f"""
+    WITH {TURN_CTES}
+    SELECT conv_id, turn, 'user' AS role, prompt AS text FROM asked UNION ALL
+    SELECT conv_id, turn + 1, 'assistant', 'Read ' || length('Summary:' || chr(10) || summary || chr(10) || chr(10) || lines) || ' characters'
+    FROM asked JOIN told USING (conv_id) JOIN recent USING (conv_id)""")
+def _(spark, d):
+    return turns_taken(spark, d).added
+
+
+@query("ask_chats_sessions", f"""
+    WITH {TURN_CTES}
+    SELECT session_id, CASE WHEN prompt IS NOT NULL AND title = 'New Session' THEN left(prompt, 18) ELSE title END AS title, file_metadata, created_at,
+           CASE WHEN prompt IS NOT NULL THEN '2024-02-01T00:00:00' ELSE updated_at END AS updated_at, coalesce(told.summary, ses.summary) AS summary
+    FROM ses LEFT JOIN asked ON asked.conv_id = session_id LEFT JOIN told ON told.conv_id = session_id""")
+def _(spark, d):
+    return turns_taken(spark, d).sessions
+
+
 @query("v07_normalize_content", f"""
     SELECT conv_id, turn, CASE
         WHEN json_type(j) = 'ARRAY' AND len(list_filter(json_extract(j, '$[*]'), lambda b: json_type(b) NOT IN ('VARCHAR', 'OBJECT'))) = 0 THEN coalesce((SELECT string_agg(t, chr(10) ORDER BY i) FROM (

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,19 +200,43 @@ def dense_top_k_in_cells(queries: DataFrame, cells: Cells, k: int = 4) -> DataFr
     return top_k_join(rows, asked, prepare, k, largest=False)
 
 
-def _buckets(col: str, dim: int) -> Column:
-    """Bucket below ``dim`` of each word: the first 32 bits of its MD5 digest, so that other engines find the same."""
-    tokens = F.coalesce(words(F.col(col)), F.array().cast("array<string>"))
-    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+def _counter(dim: int):
+    """Function from lists of words to a matrix with each row's words per bucket below ``dim``: the first 32 bits of the word's
+    MD5 digest, so that other engines find the same. Each distinct word of a batch is hashed once."""
+
+    def counts(lists: pa.Array) -> np.ndarray:
+        from hashlib import md5
+
+        coded = lists.flatten().dictionary_encode()
+        bucket = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in coded.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        place = row * dim + (bucket[coded.indices.to_numpy()] if len(row) else 0)
+        return np.bincount(place, minlength=len(lists) * dim).reshape(len(lists), dim)
+
+    return counts
+
+
+def _token_lists(col: str) -> Column:
+    return F.coalesce(words(F.col(col)), F.array().cast("array<string>"))
 
 
 def rarity_weights(corpus: DataFrame, col: str = "text", dim: int = 256) -> list[float]:
-    """Weights ln((n + 1) / (df + 1)) of the hashed terms of a corpus: counts are summed in Spark, ``dim`` numbers result."""
-    every = F.array_append(F.array_distinct(_buckets(col, dim)), F.lit(dim))  # bucket ``dim`` counts the rows
-    found = corpus.select(F.explode(every).alias("bucket")).groupBy("bucket").count().collect()
+    """Weights ln((n + 1) / (df + 1)) of the hashed terms of a corpus: every task counts its rows, ``dim`` numbers result."""
+    counter, rows_at_once = _counter(dim), 2048
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim + 1, np.int64)  # place ``dim`` counts the rows
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_at_once):
+                lists = batch.column(0).slice(start, rows_at_once)
+                total[:dim] += (counter(lists) > 0).sum(axis=0)
+                total[dim] += len(lists)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(total)], names=["bucket", "n"])
+
+    found = corpus.select(_token_lists(col).alias("w")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(dim + 1)
-    for r in found:
-        counts[r["bucket"]] = r["count"]
+    for r in found.collect():
+        counts[r["bucket"]] = r["n"]
     return np.log((counts[dim] + 1) / (counts[:dim] + 1)).tolist()
 
 
@@ -226,10 +249,15 @@ def embed_text(
     so that both sides share them. Texts without words get a zero vector. ``element`` is 'float' or 'double'.
     """
     scale = np.array(weights if weights is not None else rarity_weights(df, col, dim))
-
-    def unit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            rows = [np.bincount(b, minlength=len(scale)) * scale if len(b) else np.zeros(len(scale)) for b in batch]
-            yield pd.Series([r / max(np.linalg.norm(r), 1e-300) for r in rows], index=batch.index)
-
-    return df.withColumn("vector", F.pandas_udf(unit, f"array<{element}>")(_buckets(col, len(scale))))
+    counter, kind, rows_at_once = _counter(len(scale)), pa.float32() if element == "float" else pa.float64(), 2048
+
+    def unit(lists: pa.Array) -> pa.Array:
+        made = []
+        for start in range(0, max(len(lists), 1), rows_at_once):
+            m = counter(lists.slice(start, rows_at_once)) * scale
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            ends = np.arange(len(m) + 1, dtype=np.int32) * len(scale)
+            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel()).cast(kind)))
+        return pa.concat_arrays(made)
+
+    return df.withColumn("vector", F.arrow_udf(unit, f"array<{element}>")(_token_lists(col)))

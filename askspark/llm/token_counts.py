@@ -27,7 +27,7 @@ def token_counts(
 
     The tokenizer must drop white space and never join text across it. Pieces of up to ``known_chars`` characters are
     encoded once per worker: at most ``known_pieces`` lengths are kept, then the memory starts afresh. New pieces go to
-    the tokenizer in batches of about ``batch_bytes``; a longer piece is a batch of its own.
+    the tokenizer in batches of up to ``batch_bytes`` of UTF-8; a longer piece is a batch of its own.
     A null text is empty and has no tokens. Repeated rows give repeated rows; an empty table gives an empty one. No
     shuffle; other columns are ignored.
     """
@@ -48,11 +48,12 @@ def token_counts(
         def learn(pieces: set[str], into: dict) -> None:
             group, size = [], 0
             for piece in pieces:
-                group.append(piece)
-                size += len(piece)
-                if size >= batch_bytes:
+                n = len(piece) if piece.isascii() else len(piece.encode())
+                if group and size + n > batch_bytes:
                     encode(group, into)
                     group, size = [], 0
+                group.append(piece)
+                size += n
             if group:
                 encode(group, into)
 

@@ -241,13 +241,18 @@ def rarity_weights(corpus: DataFrame, col: str = "text", dim: int = 256) -> list
 
 
 def embed_text(
-    df: DataFrame, col: str = "text", dim: int = 256, weights: list[float] | None = None, element: str = "float"
+    df: DataFrame, col: str = "text", dim: int = 256, weights: list[float] | None = None, element: str = "float",
+    wordless: str = "zero",
 ) -> DataFrame:
     """Add ``vector``: a unit-length hashed term vector, weighted by the terms' rarity (by default in ``df`` itself).
 
     Deterministic and offline; stands where a model server would be asked. Pass the corpus weights when embedding queries,
-    so that both sides share them. Texts without words get a zero vector. ``element`` is 'float' or 'double'.
+    so that both sides share them. ``element`` is 'float' or 'double'. Texts without words that weigh anything get a zero
+    vector, or NULL with ``wordless="null"``: a search should use that, as a zero vector has no direction, yet by Euclidean
+    distance is nearer to any query than most texts that share words with it.
     """
+    if wordless not in ("zero", "null"):
+        raise ValueError("wordless must be 'zero' or 'null'")
     scale = np.array(weights if weights is not None else rarity_weights(df, col, dim))
     counter, kind, rows_at_once = _counter(len(scale)), pa.float32() if element == "float" else pa.float64(), 2048
 
@@ -255,9 +260,11 @@ def embed_text(
         made = []
         for start in range(0, max(len(lists), 1), rows_at_once):
             m = counter(lists.slice(start, rows_at_once)) * scale
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m /= np.where(norm > 0, norm, 1.0)
             ends = np.arange(len(m) + 1, dtype=np.int32) * len(scale)
-            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel()).cast(kind)))
+            gone = pa.array(norm[:, 0] == 0) if wordless == "null" else None
+            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel()).cast(kind), mask=gone))
         return pa.concat_arrays(made)
 
     return df.withColumn("vector", F.arrow_udf(unit, f"array<{element}>")(_token_lists(col)))

@@ -35,7 +35,7 @@ def index_documents(documents: DataFrame, dim: int = 256) -> Corpus:
     chunks = chunk_documents(chunk_tier(readable).drop("n_pages"))
     stored = cut_lineage(chunks.select(F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "doc_id", "text"), "chunks")
     weights = rarity_weights(stored, dim=dim)
-    vectors = embed_text(stored, dim=dim, weights=weights).select("key", "vector")
+    vectors = embed_text(stored, dim=dim, weights=weights, wordless="null").select("key", "vector")
     return Corpus(stored, term_stats(stored, "key"), vectors, weights)
 
 
@@ -48,7 +48,7 @@ def answer_questions(
     answer is the sentence of the context that shares most words with the question. Questions without any hit have no
     answer.
     """
-    subs = embed_text(sub_queries(questions), weights=corpus.weights)
+    subs = embed_text(sub_queries(questions), weights=corpus.weights, wordless="null")
     hits = retrieve(subs, corpus.index, corpus.vectors)
     contexts = assemble_context(questions, hits, corpus.chunks)
     filled = contexts.join(questions.select("qid", "question", "strategy"), "qid")

@@ -168,3 +168,13 @@ def test_null_text_is_no_hit(spark):
     rows = spark.createDataFrame([(1, None), (2, "a cat")], "id bigint, text string")
     queries = spark.createDataFrame([(1, "cat"), (2, None)], "qid int, text string")
     assert [(r["qid"], r["key"]) for r in L.bm25_top_k(queries, L.term_stats(rows, "id")).collect()] == [(1, 2)]
+
+
+def test_texts_without_words_are_near_to_nothing(spark):
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "\u4e2d\u6587 !!"), (3, None), (4, "omega psi"), (5, "")], "key long, text string")
+    weights = V.rarity_weights(rows)
+    made = {r["key"]: r["vector"] for r in V.embed_text(rows, weights=weights, wordless="null").collect()}
+    assert [k for k, v in made.items() if v is None] == [2, 3, 5]
+    asked = spark.createDataFrame([(1, "omega zeta eta theta iota kappa lambda mu"), (2, "?")], "qid long, text string")
+    hits = V.dense_top_k(V.embed_text(asked, weights=weights, wordless="null"), V.embed_text(rows, weights=weights, wordless="null")).collect()
+    assert [(r["qid"], r["key"]) for r in sorted(hits, key=lambda r: r["rank"])] == [(1, 4), (1, 1)]

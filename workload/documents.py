@@ -408,8 +408,8 @@ def _(spark, d):
     chunks = C.chunk_documents(tiered(spark, d).select("doc_id", "text", "chunk_size", "chunk_overlap"))
     keyed = cut_lineage(chunks.select(F.concat_ws("#", "doc_id", "chunk_no").alias("key"), "text"), "chunks")
     weights = V.rarity_weights(keyed)
-    queries = V.embed_text(asked(spark, d), weights=weights, element="double")
-    return V.dense_top_k(queries, V.embed_text(keyed, weights=weights, element="double")).withColumn("score", F.round("score", 6))
+    queries = V.embed_text(asked(spark, d), weights=weights, element="double", wordless="null")
+    return V.dense_top_k(queries, V.embed_text(keyed, weights=weights, element="double", wordless="null")).withColumn("score", F.round("score", 6))
 
 
 @query("ask_documents")

@@ -91,3 +91,17 @@ def test_streamed_documents_replace_and_delete(spark):
     index = S.open_index(spark, path)
     assert [s.number for s in index.segments] == [0, 1, 2]
     assert found(S.block_max_top_k(queries(spark), index).hits) == plain(spark, held)
+
+
+def test_blocks_hold_places_and_large_query_tables_come_in_parts(spark, monkeypatch):
+    """Postings are two numbers each, a slice names its chunks once, and queries beyond the shared size find the same."""
+    held = some(random.Random(3), range(80))
+    index = S.add_batch(S.open_index(spark, scratch_path(spark, "segments")), *frame(spark, held), 0)
+    blocks = index.read("blocks")
+    assert "entries" not in blocks.columns
+    assert blocks.where("term IS NULL").count() == blocks.select("slice").distinct().count()
+    whole = S.block_max_top_k(queries(spark), index)
+    monkeypatch.setattr(S, "MAX_SHARED_BYTES", 100)
+    parts = S.block_max_top_k(queries(spark), index)
+    assert found(parts.hits) == found(whole.hits) == plain(spark, held)
+    assert parts.read.first() == whole.read.first()

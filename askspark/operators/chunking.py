@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from askspark.functions.text import strip
 # Most pages of a tier, chunk size and overlap in characters.
 TIERS = [(5, 500, 50), (15, 1000, 100), (None, 2000, 200)]
 SEPARATORS = ("\n\n", "\n", " ", "")
+ROWS_AT_ONCE = 64
 
 
 def drop_empty_documents(df: DataFrame, col: str = "text", min_chars: int = 1) -> DataFrame:
@@ -62,14 +64,15 @@ def _splitter(separators: tuple[str, ...]) -> Callable[[str, int, int], list[tup
             lo, hi = np.searchsorted(inside, [start, end - len(sep) + 1])
             return inside[lo:hi]
 
-        def pack(b: np.ndarray) -> list[tuple[int, int]]:
+        def pack(bounds: np.ndarray) -> list[tuple[int, int]]:
+            b = bounds.tolist()
             out, i, last = [], 0, len(b) - 1
             while True:
-                j = min(int(np.searchsorted(b, b[i] + size, "right")) - 1, last)
-                out.append((int(b[i]), int(b[j])))
+                j = bisect_right(b, b[i] + size, i) - 1
+                out.append((b[i], b[j]))
                 if j == last:
                     return out
-                i = int(np.searchsorted(b, max(b[j] - overlap, b[j + 1] - size), "left"))
+                i = bisect_left(b, max(b[j] - overlap, b[j + 1] - size), i)
 
         def split(start: int, end: int, level: int) -> list[tuple[int, int]]:
             at = np.empty(0, dtype=np.int64)
@@ -116,10 +119,11 @@ def chunk_documents(
         [df.schema[k] for k in keys]
         + [T.StructField("chunk_no", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]
     )
-    spans = _splitter(separators)
+    spans, at_once = _splitter(separators), ROWS_AT_ONCE
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few rows at a time: what a task holds is then bounded by their texts, not by the engine's batch
+        for batch in (b.slice(start, at_once) for b in batches for start in range(0, b.num_rows, at_once)):
             rows, numbers, starts, chunks = [], [], [], []
             columns = [batch.column(n).to_pylist() for n in ("__text", "__size", "__overlap")]
             for row, (text, n, lap) in enumerate(zip(*columns)):

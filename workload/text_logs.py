@@ -259,8 +259,17 @@ GLUED_SQL = f"(SELECT {', '.join(GLUED)} FROM conversations, (SELECT unnest(rang
 
 
 def glued(spark, d):
-    repeated = table(spark, d, "conversations").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return repeated.selectExpr(*GLUED)
+    """A turn's number is the lengths of what comes before: copies, blocks of conversations, conversations. Only counts are
+    summed in order, so no task gathers a chat."""
+    said = table(spark, d, "conversations")
+    count = said.groupBy("conv_id").agg(F.count("*").alias("n")).selectExpr("conv_id AS id", "conv_id % 2 AS half", "floor(conv_id / 1024) AS block", "n")
+    blocks = count.groupBy("half", "block").agg(F.sum("n").alias("size")).selectExpr(
+        "half AS h", "block AS b", "sum(size) OVER (PARTITION BY half) AS whole", "sum(size) OVER (PARTITION BY half ORDER BY block) - size AS base")
+    starts = count.join(blocks, F.col("half").eqNullSafe(F.col("h")) & F.col("block").eqNullSafe(F.col("b"))).selectExpr(
+        "id", "half", "whole", "base + sum(n) OVER (PARTITION BY half, block ORDER BY id) - n AS start")
+    placed = said.selectExpr("*", "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place").join(starts, F.col("conv_id").eqNullSafe(F.col("id")))
+    repeated = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return repeated.selectExpr("half AS conv_id", "k * whole + start + place AS turn", "role", "text")
 
 
 @query("v05_format_transcript_parts", f"""

@@ -163,10 +163,14 @@ def compact_history(
     """
     old = split_for_summary(messages, trigger, keep).where("is_old").select("conv_id", "turn", "role", "text")
     if summarize is None:
+        # From where lines can show is found on positions alone, and joined back by parts: texts before it are not shuffled.
         latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-        old = old.withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= SUMMARY_CHARS).drop("rn")
+        shown = old.select("conv_id", "turn").withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= SUMMARY_CHARS)
+        shown = shown.groupBy("conv_id").agg(F.min("turn").alias("show_from"), F.max("turn").alias("show_to"))
+        parts = F.explode(F.sequence(_part(F.col("show_from")), _part(F.col("show_to")))).alias("part")
+        old = old.withColumn("part", _part(F.col("turn"))).join(shown.select("conv_id", "show_from", parts), ["conv_id", "part"])
         text = (
-            old.withColumn("line", transcript_line(F.col("role"), F.col("text")))
+            old.where(F.col("turn") >= F.col("show_from")).withColumn("line", transcript_line(F.col("role"), F.col("text")))
             .groupBy("conv_id")
             .agg(_joined("line", "\n").alias("transcript"))
         )

@@ -18,18 +18,19 @@ from pyspark.sql import types as T
 
 MAX_SHARED_BYTES = 64 << 20  # queries sent to every task; above it queries are shuffled in blocks of this size
 SLICE_BYTES = 256 << 20  # corpus per group when queries are shuffled
-SCORES_AT_ONCE = 4_000_000
+SCORES_AT_ONCE = 500_000
+ROWS_AT_ONCE = 1024
 SCORE_DIGITS = 9  # scores closer than this tie, and ties go to the smaller key
 
 
 def _best(prepare: Callable, k: int, largest: bool) -> Callable:
     """Task body: (queries, batches of corpus) to one table with the best k rows per query."""
-    at_once, digits = SCORES_AT_ONCE, SCORE_DIGITS
+    at_once, most_rows, digits = SCORES_AT_ONCE, ROWS_AT_ONCE, SCORE_DIGITS
     sign = 1.0 if largest else -1.0
 
     def run(queries: pa.Table, batches: Iterator) -> pa.Table:
         ids, score = prepare(queries)
-        step = max(1, at_once // max(1, len(ids)))
+        step = max(1, min(most_rows, at_once // max(1, len(ids))))  # bounds scores and the rows' own tokens or numbers
         floor = np.full(len(ids), -np.inf)  # score of the k-th best so far
         held: tuple | None = None
         for batch in batches:

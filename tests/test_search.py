@@ -178,3 +178,23 @@ def test_texts_without_words_are_near_to_nothing(spark):
     asked = spark.createDataFrame([(1, "omega zeta eta theta iota kappa lambda mu"), (2, "?")], "qid long, text string")
     hits = V.dense_top_k(V.embed_text(asked, weights=weights, wordless="null"), V.embed_text(rows, weights=weights, wordless="null")).collect()
     assert [(r["qid"], r["key"]) for r in sorted(hits, key=lambda r: r["rank"])] == [(1, 4), (1, 1)]
+
+
+def test_a_scoring_step_takes_a_bounded_number_of_rows():
+    import pyarrow as pa
+
+    from askspark.operators.search import _best
+
+    seen = []
+    prepare = lambda queries: (pa.array([1]), lambda part: seen.append(part.num_rows) or np.arange(part.num_rows, dtype=float)[None, :])
+    schema = pa.schema([("qid", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+    batch = pa.RecordBatch.from_pydict({"key": list(range(10_000))})
+    _best(prepare, 2, True)(pa.table({"qid": [1]}), iter([batch]), schema)
+    assert sum(seen) == 10_000 and max(seen) <= 1024
+
+
+def test_vectors_are_made_once_under_a_filter(spark):
+    rows = spark.createDataFrame([(1, "alpha beta")], "key long, text string")
+    made = V._usable(V.embed_text(rows, weights=[1.0] * 256))
+    plan = made._sc._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple")
+    assert plan.count("ArrowEvalPython") == 1

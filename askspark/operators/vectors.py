@@ -267,4 +267,5 @@ def embed_text(
             made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel()).cast(kind), mask=gone))
         return pa.concat_arrays(made)
 
-    return df.withColumn("vector", F.arrow_udf(unit, f"array<{element}>")(_token_lists(col)))
+    # A filter on the vectors would be moved below and make them twice, had the function no mark against it.
+    return df.withColumn("vector", F.arrow_udf(unit, f"array<{element}>").asNondeterministic()(_token_lists(col)))

@@ -234,7 +234,7 @@ def bpe_round_trip(
     types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.string()][: len(made)]
 
     def begin():
-        encoder = per_worker(f"bpe {tokenizer_file}", lambda: Encoder(tokenizer_file))
+        encoder = per_worker("bpe", tokenizer_file, lambda: Encoder(tokenizer_file))
 
         def encode(batch: pa.RecordBatch) -> list[pa.Array]:
             out: list[list] = [[] for _ in types]

@@ -101,7 +101,7 @@ def search_group(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFrame
         return [WuManber(ps) for ps in by_length.values()], items
 
     def begin():
-        held = per_worker("wu-manber tables", dict)
+        held = per_worker("decontaminate", "wu-manber tables", dict)
         if token not in held:
             held.clear()
             held[token] = tables()

@@ -60,7 +60,7 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    codes = np.fromiter(map(per_worker("word codes", WordCodes).__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(per_worker("jaccard join", "word codes", WordCodes).__getitem__, words), np.uint64, len(words))
     m = min(n, len(words))
     h = np.full(len(words) - m + 1, m, np.uint64)
     for k in range(m):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askspark.llm.common import append_arrow
+from askspark.llm.common import append_arrow, only_for
 from askspark.session import cut_lineage
 
 BITS = 18
@@ -64,6 +64,7 @@ def count_words(labelled: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     at = labelled.columns.index(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for("quality")
         sums = np.zeros((3, (1 << BITS) + 1), np.int64)
         for batch in batches:
             for value, p, t in zip(batch.column(at), batch.column("_is_poor").to_pylist(), batch.column("_is_toxic").to_pylist()):
@@ -127,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     at = half.columns.index(text_col)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for("quality")
         for batch in batches:
             rows = [measures(t, word_buckets(t), shared.value) for t in (v.as_py() or "" for v in batch.column(at))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("_is_poor"), batch.column("_is_toxic")], names=["x", "poor", "toxic"])
@@ -148,12 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     return Model(words, scale, weights, rates)
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """Adds the log likelihood ratios ``_poor`` and ``_toxic``, kept within 12 either way."""
+def with_evidence(docs: DataFrame, model: Model, text_col: str, instead_of_text: bool = False) -> DataFrame:
+    """Adds the log likelihood ratios ``_poor`` and ``_toxic``, kept within 12 either way; ``instead_of_text``, in place of the
+    last column, the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def begin():
+        only_for("quality")
         m = shared.value
 
         def score(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -163,7 +167,7 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
 
         return score
 
-    return append_arrow(docs, begin, {"_poor": "double", "_toxic": "double"})
+    return append_arrow(docs, begin, {"_poor": "double", "_toxic": "double"}, int(instead_of_text))
 
 
 def _logit(p: Column) -> Column:
@@ -218,8 +222,8 @@ def score_quality(
     plain = docs.drop(*made)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in path_cols))
-    own = dict.fromkeys([id_col, text_col, host_col, *path_cols])
-    narrow = with_evidence(plain.select(*own), model, text_col).select(host.alias("host"), path.alias("path"), "_poor", "_toxic")
+    sites = plain.select(host.alias("host"), path.alias("path"), F.col(text_col).alias("_text"))
+    narrow = with_evidence(sites, model, "_text", instead_of_text=True)
     priors = cut_lineage(site_priors(narrow, rates), "priors").withColumnsRenamed({"host": "_host", "path": "_path"}).drop("n")
     if priors.count() <= SMALL_TABLE:
         priors = F.broadcast(priors)

@@ -35,10 +35,10 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = per_worker(f"tokenizer {tokenizer_file}", lambda: Tokenizer.from_file(tokenizer_file))
+        tokenizer = per_worker("token counts", f"tokenizer {tokenizer_file}", lambda: Tokenizer.from_file(tokenizer_file))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        known = per_worker(f"lengths {tokenizer_file}", dict)
+        known = per_worker("token counts", f"lengths {tokenizer_file}", dict)
         find = re.compile(PIECE).findall
 
         def encode(pieces: list[str], into: dict) -> None:

@@ -164,7 +164,7 @@ def write_token_files(
     sorted_rows = rows.repartitionByRange(shuffle_parts(docs), F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"words {tokenizer_file}", lambda: WordEncoder(tokenizer_file))
+        encoder = per_worker("token files", tokenizer_file, lambda: WordEncoder(tokenizer_file))
         shard, before = TaskContext.get().partitionId(), 0
         names: list[bytes] = []
         sizes: list[np.ndarray] = []

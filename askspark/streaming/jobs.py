@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from askspark.operators.chunking import chunk_documents, drop_empty_documents
 from askspark.operators.conversations import retain_recent, upsert_sessions
-from askspark.operators.lexical import TermIndex, index_of_tokens, term_stats
+from askspark.operators.lexical import TermIndex, index_of_tokens, split_words
 from askspark.operators.segments import add_batch, open_index
 
 
@@ -34,8 +34,9 @@ def stream_chunks(
 ) -> StreamingQuery:
     """New documents (doc_id, text) to chunks, their tokens and postings, appended under ``out``/chunks, /tokens and /postings.
 
-    ``load_stream_index`` reads them for a search. A document arrives once, so its postings are complete within its batch. Give ``tasks`` when batches come in fewer files
-    than there are cores.
+    ``load_stream_index`` reads them for a search. A document arrives once, so its postings are complete within its batch.
+    They lie in runs, each sorted by term: one run for each Arrow batch of chunks, so no task sorts or spills all it has. Give
+    ``tasks`` when batches come in fewer files than there are cores.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -46,9 +47,9 @@ def stream_chunks(
         chunks = batch.sparkSession.read.parquet(path)
         keyed = chunks.withColumn("key", F.concat_ws("#", "doc_id", "chunk_no"))
         tokens = _batch_folder(f"{out}/tokens", batch_id)
-        term_stats(keyed, "key").chunks.write.mode("overwrite").parquet(tokens)
+        split_words(keyed, "key").write.mode("overwrite").parquet(tokens)
         index = index_of_tokens(batch.sparkSession.read.parquet(tokens))
-        index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(_batch_folder(f"{out}/postings", batch_id))
+        index.postings.write.mode("overwrite").parquet(_batch_folder(f"{out}/postings", batch_id))
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
